@@ -15,8 +15,6 @@ DATE_SHAPES = [
     (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
     (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"),
-    (r"^\d{1,2}-\d{1,2}-\d{2}$", "M-d-yy"),
     (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$", "yyyy-M-d H:mm:ss"),
     (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}$", "yyyy-M-d H:mm"),
     (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}$", "yyyy-M-d'T'H:mm:ss"),
@@ -53,9 +51,17 @@ EXPIRY_RESIDUE = [
 ]
 
 
+def _four_digit_year(c: Column) -> Column:
+    """``1/2/98`` to ``1/2/1998``: two-digit years from 69 on are in the last century."""
+    short = c.rlike(r"^\d{1,2}([/-])\d{1,2}\1\d{2}$")
+    century = F.when(F.right(c, F.lit(2)) >= "69", "19").otherwise("20")
+    start = F.substring(c, F.lit(1), F.length(c) - 2)
+    return F.when(short, F.concat(start, century, F.right(c, F.lit(2)))).otherwise(c)
+
+
 def parse_timestamp(c: Column) -> Column:
     """Text to timestamp by its shape; null where no shape fits or the date is impossible."""
-    text = strip(c)
+    text = _four_digit_year(strip(c))
     return reduce(
         lambda chain, shape: chain.when(text.rlike(shape[0]), F.try_to_timestamp(text, F.lit(shape[1]))),
         DATE_SHAPES[1:],
