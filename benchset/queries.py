@@ -12,7 +12,7 @@ from tillflow.functions import dates, keys, money, text, txn, units
 from tillflow.operators import audit, dedup, facts, mapping, match, product, recovery, rules
 from tillflow.plans import clean, dashboards, load
 from tillflow.schema import IMPORTANT_COLUMNS, RAW_COLUMNS, REQUIRED_HEADER, TARGET_COLUMNS
-from tillflow.session import new_dir
+from tillflow.session import materialise, new_dir
 from tillflow.sources import reports
 from tillflow.sources.catalogue import append_products, to_catalogue
 from tillflow.sources.tables import Warehouse
@@ -52,7 +52,7 @@ def typed_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def valued_rows(spark: SparkSession, sf: str) -> DataFrame:
-    typed = typed_rows(spark, sf)
+    typed = materialise(typed_rows(spark, sf), "typed")
     return clean.finish_values(typed, clean.file_facts(typed))
 
 
@@ -137,10 +137,8 @@ def expiry_normalize(spark, sf):
 
 @query
 def expiry_extract(spark, sf):
-    c = F.col("description")
-    return raw_cells(spark, sf).select("row_index", c.alias("raw_description"),
-                                       dates.expiry_from_description(c).alias("expiry"),
-                                       dates.description_without_expiry(c).alias("bare"))
+    rows = dates.split_expiry(raw_cells(spark, sf), "description", "expiry", "bare")
+    return rows.select("row_index", F.col("description").alias("raw_description"), "expiry", "bare")
 
 
 @query

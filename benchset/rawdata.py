@@ -12,7 +12,12 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A supplied table. One that has fewer splits than the session has cores is spread over them."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("lineitem", "documents") and rows.rdd.getNumPartitions() < cores:
+        return rows.repartition(cores)
+    return rows
 
 
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -38,15 +43,17 @@ def text(value: str) -> str:
 
 
 def cents_text(cents: str, point: str = ".") -> str:
-    return f"{text(half(cents, 100))} || '{point}' || lpad({text(f'({cents}) % 100')}, 2, '0')"
+    """Digits of whole cents with a point before the last two."""
+    digits = f"lpad({text(cents)}, greatest(3, length({text(cents)})), '0')"
+    return f"left({digits}, length({digits}) - 2) || '{point}' || right({digits}, 2)"
 
 
 def grouped_text(cents: str, comma: str = ",", point: str = ".") -> str:
-    """With a thousands separator; cents stay below one thousand million."""
-    whole = half(cents, 100)
+    """With a thousands separator; amounts stay below a million."""
+    shown = cents_text(cents, point)
     return (
-        f"CASE WHEN {whole} >= 1000 THEN {text(half(whole, 1000))} || '{comma}' || lpad({text(f'{whole} % 1000')}, 3, '0') "
-        f"ELSE {text(whole)} END || '{point}' || lpad({text(f'({cents}) % 100')}, 2, '0')"
+        f"CASE WHEN ({cents}) >= 100000 THEN left({text(cents)}, length({text(cents)}) - 5) || '{comma}' "
+        f"|| right({shown}, 6) ELSE {shown} END"
     )
 
 

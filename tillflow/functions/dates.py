@@ -2,30 +2,29 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillflow.functions.text import is_blank, strip
 
-# Each shape is tried only on text that looks like it, month before day. A failed parse
-# throws inside the JVM, so the guard keeps that off the hot path.
-DATE_SHAPES = [
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$", "yyyy-M-d H:mm:ss"),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}$", "yyyy-M-d H:mm"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}$", "yyyy-M-d'T'H:mm:ss"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "M/d/yyyy H:mm:ss"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/yyyy H:mm"),
+# Rewrites of numeric dates to ISO order, month before day. Two-digit years from 69 on are in
+# the last century.
+TO_ISO = [
+    (r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4})(?!\d)", "$4-$1-$3"),
+    (r"^(\d{1,2})([/-])(\d{1,2})\2(69|[7-9]\d)$", "19$4-$1-$3"),
+    (r"^(\d{1,2})([/-])(\d{1,2})\2([0-6]\d)$", "20$4-$1-$3"),
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+]
+ISO = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2})?)?$"
+
+# Shapes with letters. A failed parse throws inside the JVM, so each is tried only on text
+# that looks like it.
+LETTER_SHAPES = [
     (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} [AaPp][Mm]$", "M/d/yyyy h:mm a"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
     (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
     (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
     (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
-    (r"^\d{8}$", "yyyyMMdd"),
 ]
 
 EXPIRY_YEARS = (2020, 2045)
@@ -51,21 +50,27 @@ EXPIRY_RESIDUE = [
 ]
 
 
-def _four_digit_year(c: Column) -> Column:
-    """``1/2/98`` to ``1/2/1998``: two-digit years from 69 on are in the last century."""
-    short = c.rlike(r"^\d{1,2}([/-])\d{1,2}\1\d{2}$")
-    century = F.when(F.right(c, F.lit(2)) >= "69", "19").otherwise("20")
-    start = F.substring(c, F.lit(1), F.length(c) - 2)
-    return F.when(short, F.concat(start, century, F.right(c, F.lit(2)))).otherwise(c)
+def _numeric_timestamp(c: Column) -> Column:
+    iso = c
+    for pattern, order in TO_ISO:
+        iso = F.regexp_replace(iso, pattern, order)
+    return F.regexp_extract(iso, ISO, 0).try_cast("timestamp")
+
+
+def _letter_timestamp(c: Column) -> Column:
+    chain = F.when(F.lit(False), F.lit(None).cast("timestamp"))
+    for shape, fmt in LETTER_SHAPES:
+        chain = chain.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(fmt)))
+    return chain
 
 
 def parse_timestamp(c: Column) -> Column:
     """Text to timestamp by its shape; null where no shape fits or the date is impossible."""
-    text = _four_digit_year(strip(c))
-    return reduce(
-        lambda chain, shape: chain.when(text.rlike(shape[0]), F.try_to_timestamp(text, F.lit(shape[1]))),
-        DATE_SHAPES[1:],
-        F.when(text.rlike(DATE_SHAPES[0][0]), F.try_to_timestamp(text, F.lit(DATE_SHAPES[0][1]))),
+    trimmed = strip(c)
+    return (
+        F.when(trimmed.rlike(ISO), trimmed.try_cast("timestamp"))
+        .when(trimmed.rlike("[A-SU-Za-z]"), _letter_timestamp(trimmed))
+        .otherwise(_numeric_timestamp(trimmed))
     )
 
 
@@ -85,28 +90,38 @@ def lenient_expiry_text(c: Column) -> Column:
     return F.coalesce(F.date_format(parse_timestamp(c), "yyyy-MM-dd"), c)
 
 
-def _found(c: Column) -> list[Column]:
-    return [normalise_expiry(F.regexp_extract(c, f"(?iU){p}", 1)) for p in EXPIRY_PATTERNS]
-
-
 def _may_hold_expiry(c: Column) -> Column:
     return c.rlike(r"(?i)exp|bb|best|use|#|\d[/-]\d")
 
 
-def expiry_from_description(c: Column) -> Column:
-    return F.when(_may_hold_expiry(c), F.coalesce(*_found(c)))
-
-
-def description_without_expiry(c: Column) -> Column:
-    """The description with the pattern that gave its expiry date, and left-overs, cut out."""
-    cut = c
-    for pattern, day in reversed(list(zip(EXPIRY_PATTERNS, _found(c)))):
-        cut = F.when(day.isNotNull(), F.regexp_replace(c, f"(?iU){pattern}", "")).otherwise(cut)
-    cut = F.when(_may_hold_expiry(c), cut).otherwise(c)
+def split_expiry(rows: DataFrame, column: str, expiry: str, bare: str) -> DataFrame:
+    """Add the expiry date found in a description, and the description without it.
+
+    The first pattern that gives a valid date wins, and all its matches are cut out; then
+    left-over marks go. The date of each pattern is a column of its own, so no pattern is
+    evaluated twice.
+    """
+    c = F.col(column)
+    names = [f"_{expiry}_{i}" for i in range(len(EXPIRY_PATTERNS))]
+    low, high = EXPIRY_YEARS
+    found = {
+        n: F.when(_may_hold_expiry(c), _numeric_timestamp(F.regexp_extract(c, f"(?iU){p}", 1))).cast("date")
+        for n, p in zip(names, EXPIRY_PATTERNS)
+    }
+    dated = rows.withColumns(found)
+    valid = [F.when(F.year(F.col(n)).between(low, high), F.col(n)) for n in names]
+    chosen = F.when(F.lit(False), c)
+    for day, pattern in zip(valid, EXPIRY_PATTERNS):
+        chosen = chosen.when(day.isNotNull(), F.regexp_replace(c, f"(?iU){pattern}", ""))
+    cut = dated.withColumns({expiry: F.coalesce(*valid), bare: chosen.otherwise(c)}).drop(*names)
+    residue = F.col(bare)
     for pattern in EXPIRY_RESIDUE:
-        cut = F.regexp_replace(cut, f"(?iU){pattern}", "")
-    tidy = F.btrim(F.regexp_replace(cut, r"(?U)\s+", " "), F.lit(" ,-#:()"))
-    return F.when(is_empty(c) | (tidy == ""), c).otherwise(tidy)
+        residue = F.regexp_replace(residue, f"(?iU){pattern}", "")
+    residue = F.when(_may_hold_expiry(c), residue).otherwise(F.col(bare))
+    tidy = F.btrim(F.regexp_replace(residue, r"(?U)\s+", " "), F.lit(" ,-#:()"))
+    return cut.withColumn(bare, tidy).withColumn(
+        bare, F.when(is_empty(c) | (F.col(bare) == ""), c).otherwise(F.col(bare))
+    )
 
 
 def is_empty(c: Column) -> Column:

@@ -28,6 +28,11 @@ def _to_double(c: Column, thousands_comma: bool) -> Column:
     return _decimal_point(kept, thousands_comma).try_cast("double")
 
 
+def _plain_or(c: Column, parsed: Column) -> Column:
+    """Cast what already is a plain number; most values are, and skip the rewriting."""
+    return F.when(c.rlike(r"^-?\d+(\.\d*)?$"), c.try_cast("double")).otherwise(parsed)
+
+
 def _brackets_to_minus(c: Column) -> Column:
     return F.regexp_replace(c, r"^\(([^)]+)\)$", "-$1")
 
@@ -41,14 +46,14 @@ def money_parse(c: Column, paren_negative: bool = True, thousands_comma: bool =
     credit = text.rlike(r"(?i)\bCR\b")
     bare = strip(F.regexp_replace(text, r"(?i)\b[CD]R\b", ""))
     signed = F.when(credit, F.concat(F.lit("-"), bare)).otherwise(bare)
-    return _to_double(signed, thousands_comma)
+    return _plain_or(c, _to_double(signed, thousands_comma))
 
 
 def numeric_clean(c: Column, paren_negative: bool = True, thousands_comma: bool = False) -> Column:
     """Quantities and amounts of the report columns; null where nothing numeric is left."""
     text = _brackets_to_minus(strip(c)) if paren_negative else c
     bare = F.regexp_replace(text, r"^[$()]+|[$()]+$", "")
-    return _to_double(bare, thousands_comma)
+    return _plain_or(c, _to_double(bare, thousands_comma))
 
 
 def strict_numeric(c: Column) -> Column:

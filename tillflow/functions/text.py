@@ -55,7 +55,7 @@ def normalise_barcode(c: Column) -> Column:
 
 def _collapse(c: Column) -> Column:
     """Drop punctuation, turn runs of white space into one space, trim."""
-    words = F.regexp_replace(c, r"(?U)[^\p{L}\p{N}_\s]", "")
+    words = F.regexp_replace(c, r"(?U)[^\p{L}\p{N}_\s]+", "")
     return F.btrim(F.regexp_replace(words, r"(?U)\s+", " "))
 
 
@@ -75,9 +75,11 @@ def improved_name(c: Column) -> Column:
         r"#[a-z0-9-]+",
     ]
     text = F.lower(F.coalesce(c, F.lit("")))
+    cut = text
     for pattern in cut_patterns:
-        text = F.regexp_replace(text, pattern, "")
-    return _collapse(text)
+        cut = F.regexp_replace(cut, pattern, "")
+    # Names without any mark to cut, the usual case, skip the six patterns.
+    return _collapse(F.when(text.rlike(r"[(\[{#]|exp"), cut).otherwise(text))
 
 
 def blank_to_null(c: Column) -> Column:

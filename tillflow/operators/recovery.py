@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillflow.functions.money import is_nonzero
@@ -39,20 +39,28 @@ def _candidates(rows: DataFrame, column: str) -> DataFrame:
     )
 
 
-def sales_sources(rows: DataFrame) -> DataFrame:
-    """Per file, where Sales comes from: ``sales``, ``literal``, ``other``, ``payment`` or ``none``.
-
-    ``rows`` has ``plain_sales`` (the column where it already is a number), the parsed arrays
-    ``literal_amounts`` and ``other_amounts``, ``payment_amount``, ``payment`` and ``receipt``.
-    Receipts are counted only for files nothing else could fill.
-    """
-    basics = rows.groupBy("file").agg(
+def file_basics(rows: DataFrame, *more: Column) -> DataFrame:
+    """One row per file with the counts :func:`sales_sources` starts from, and any ``more``."""
+    return rows.groupBy("file").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(is_nonzero(F.col("plain_sales"))).alias("sales_nonzero"),
         F.count_if(is_nonzero(F.col("payment_amount"))).alias("payment_nonzero"),
         F.count("receipt").alias("with_receipt"),
+        *more,
     )
+
+
+def sales_sources(rows: DataFrame, basics: DataFrame) -> DataFrame:
+    """Add where Sales comes from: ``sales``, ``literal``, ``other``, ``payment`` or ``none``.
+
+    ``rows`` has ``plain_sales`` (the column where it already is a number), the parsed arrays
+    ``literal_amounts`` and ``other_amounts``, ``payment_amount``, ``payment`` and ``receipt``.
+    Only files with an empty column are looked at again; where there are none, as is usual,
+    the lines are not read a second time.
+    """
     empty = basics.where(F.col("sales_nonzero") == 0)
+    if empty.isEmpty():
+        return basics.withColumns({"sales_source": F.lit("sales"), "sales_slot": F.lit(0)})
     in_empty = rows.join(empty.select("file"), "file", "left_semi")
     literal = _candidates(in_empty, "literal_amounts").where(F.col("nonzero") > 0).groupBy("file").agg(
         F.min("slot").alias("literal_slot")
@@ -72,7 +80,7 @@ def sales_sources(rows: DataFrame) -> DataFrame:
     )
     return (
         basics.join(literal, "file", "left").join(other, "file", "left").join(variety, "file", "left")
-        .select("file", "rows", source.alias("sales_source"),
+        .select(*basics.columns, source.alias("sales_source"),
                 F.coalesce("literal_slot", "other_slot", F.lit(0)).alias("sales_slot"))
     )
 
@@ -90,5 +98,5 @@ def recovered_sales():
 
 def recover_sales(rows: DataFrame) -> DataFrame:
     """Replace ``sales`` by the recovered value where the file's column is empty."""
-    sourced = file_lookup(rows, sales_sources(rows), "rows")
-    return sourced.withColumn("sales", recovered_sales()).drop("rows", "sales_slot")
+    sources = sales_sources(rows, file_basics(rows)).select("file", "rows", "sales_source", "sales_slot")
+    return file_lookup(rows, sources, "rows").withColumn("sales", recovered_sales()).drop("rows", "sales_slot")

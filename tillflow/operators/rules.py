@@ -112,14 +112,16 @@ def rejected(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("error_reason").isNotNull())
 
 
+def gate_measures(important_null: Column, share: float = GATE_SHARE) -> list[Column]:
+    """Aggregates of a file: lines whose important fields are all null, and whether they are too many."""
+    return [
+        F.count_if(important_null).alias("empty_rows"),
+        (F.avg(important_null.cast("double")) > share).alias("gate_fired"),
+    ]
+
+
 def quality_gate(rows: DataFrame, important_null: Column, share: float = GATE_SHARE) -> DataFrame:
-    """Per file: share of lines whose important fields are all null, and whether that is too many."""
-    empty_share = F.avg(important_null.cast("double"))
-    return rows.groupBy("file").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(important_null.cast("long")).alias("empty_rows"),
-        (empty_share > share).alias("gate_fired"),
-    )
+    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), *gate_measures(important_null, share))
 
 
 def needs_category(either: bool = False) -> Column:

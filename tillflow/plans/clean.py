@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillflow.functions import dates, keys, money, text, txn, units
 from tillflow.operators import dedup, rules
-from tillflow.operators.recovery import recovered_sales, sales_sources
+from tillflow.operators.recovery import file_basics, recovered_sales, sales_sources
 from tillflow.operators.skew import file_lookup
 from tillflow.schema import IDENTITY_COLUMNS, POSITION
 from tillflow.session import materialise
@@ -34,10 +34,7 @@ class Cleaned:
 def type_lines(raw: DataFrame) -> DataFrame:
     """Every cell parsed once. Text of numbers that did not parse is kept for the error table."""
     description = F.col("description")
-    staged = raw.withColumns({
-        "_found_expiry": dates.expiry_from_description(description),
-        "_bare_description": dates.description_without_expiry(description),
-    })
+    staged = dates.split_expiry(raw, "description", "_found_expiry", "_bare_description")
     typed: dict[str, Column] = {
         "summary": rules.summary_pattern(F.col("raw_text")),
         "row_is_empty": F.col("row_is_empty"),
@@ -63,10 +60,10 @@ def type_lines(raw: DataFrame) -> DataFrame:
 
 
 def file_facts(typed: DataFrame) -> DataFrame:
-    """What the rules need to know about a whole file: one row each."""
-    gate = rules.quality_gate(typed, F.col("important_null")).select("file", "gate_fired", "empty_rows")
-    unit = typed.groupBy("file").agg(F.max("unit_given").alias("has_unit"))
-    return sales_sources(typed).join(gate, "file").join(unit, "file")
+    """What the rules need to know about a whole file, from one aggregation: one row each."""
+    gate = rules.gate_measures(F.col("important_null"))
+    basics = materialise(file_basics(typed, *gate, F.max("unit_given").alias("has_unit")), "files")
+    return sales_sources(typed, basics)
 
 
 def finish_values(typed: DataFrame, per_file: DataFrame, scale_inferred: bool = False) -> DataFrame:
@@ -126,7 +123,7 @@ def clean_raw(raw: DataFrame, files: DataFrame) -> Cleaned:
     then read from columns of the typed table.
     """
     typed = materialise(type_lines(raw), "typed")
-    per_file = materialise(file_facts(typed), "files")
+    per_file = file_facts(typed)
     labelled = label_lines(finish_values(typed, per_file))
     lines = materialise(finish_lines(labelled), "lines")
     return Cleaned(lines, reject_rows(labelled), file_report(files, per_file))
