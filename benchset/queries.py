@@ -70,14 +70,15 @@ def products(spark: SparkSession, sf: str) -> DataFrame:
 
 def probes(spark: SparkSession, sf: str) -> DataFrame:
     named = R.run_sql(spark, sf, R.PROBES)
-    return named.select(text.improved_name(F.col("name")).alias("name")).where(F.col("name") != "").distinct()
+    names = named.select(text.improved_name(F.col("name")).alias("name")).where(F.col("name") != "").distinct()
+    return materialise(names, "probes")
 
 
 def matched_pairs(spark: SparkSession, sf: str) -> DataFrame:
     pairs = typed_rows(spark, sf).groupBy("item_code", F.col("match_name").alias("name")).agg(
         F.count(F.lit(1)).alias("lines")
     )
-    return match.match_products(pairs, catalogue(spark, sf))
+    return match.match_products(materialise(pairs, "pairs"), catalogue(spark, sf))
 
 
 def event_products(spark: SparkSession, sf: str) -> DataFrame:
@@ -379,7 +380,7 @@ def barcode_match(spark, sf):
 @query
 def name_match(spark, sf):
     lines = typed_rows(spark, sf).select("file", "chunk", "row_index", F.col("match_name").alias("name"))
-    matched = match.match_names(lines, catalogue(spark, sf), ["file", "chunk", "row_index"])
+    matched = match.match_names(lines, match.name_lookup(catalogue(spark, sf)), ["file", "chunk", "row_index"])
     return matched.select("row_index", "name", "name_category", "name_tab")
 
 

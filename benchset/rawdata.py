@@ -44,7 +44,7 @@ def text(value: str) -> str:
 
 def cents_text(cents: str, point: str = ".") -> str:
     """Digits of whole cents with a point before the last two."""
-    digits = f"lpad({text(cents)}, greatest(3, length({text(cents)})), '0')"
+    digits = f"lpad({text(cents)}, CAST(greatest(3, length({text(cents)})) AS INT), '0')"
     return f"left({digits}, length({digits}) - 2) || '{point}' || right({digits}, 2)"
 
 

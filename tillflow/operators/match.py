@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillflow.functions.lcs import block_matcher
 from tillflow.functions.text import blank_to_null, improved_name, normalise_barcode
 from tillflow.operators.skew import hottest, left_lookup
+from tillflow.session import materialise
 
 THRESHOLD = 0.7
 
@@ -20,9 +21,15 @@ BLOCK_NAMES = 4096
 TASK_PROBES = 20_000
 
 
-def skewed_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
-    """:func:`left_lookup` where the hot keys are those most frequent in ``rows``."""
-    frequent = hottest(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "_n").select(*keys)
+def skewed_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: list[str],
+                  counted: DataFrame | None = None) -> DataFrame:
+    """:func:`left_lookup` where the hot keys are those most frequent in ``rows``.
+
+    ``counted`` is a stored table with the same keys to count instead, where ``rows`` is
+    the result of earlier joins and would be computed twice.
+    """
+    base = rows if counted is None else counted
+    frequent = hottest(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "_n").select(*keys)
     hot = lookup.join(F.broadcast(frequent), keys, "left_semi")
     return left_lookup(rows, lookup, keys, hot, spread)
 
@@ -67,12 +74,10 @@ def match_barcodes(keys: DataFrame, catalogue: DataFrame, spread: list[str]) ->
     return skewed_lookup(coded, lookup, ["barcode"], spread).drop("barcode")
 
 
-def match_names(keys: DataFrame, catalogue: DataFrame, spread: list[str]) -> DataFrame:
-    """Add ``name_category`` and ``name_tab`` by normalised name."""
-    lookup = name_lookup(catalogue).drop("position").withColumnsRenamed(
-        {"category": "name_category", "tab": "name_tab"}
-    )
-    return skewed_lookup(keys, lookup, ["name"], spread)
+def match_names(keys: DataFrame, names: DataFrame, spread: list[str], counted: DataFrame | None = None) -> DataFrame:
+    """Add ``name_category`` and ``name_tab`` from a :func:`name_lookup`."""
+    lookup = names.drop("position").withColumnsRenamed({"category": "name_category", "tab": "name_tab"})
+    return skewed_lookup(keys, lookup, ["name"], spread, counted)
 
 
 def _band(length: Column) -> Column:
@@ -132,9 +137,11 @@ def similar_names(probes: DataFrame, names: DataFrame, threshold: float = THRESH
     salted_names = entries.join(salts, block).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
 
     group = [*block, "salt"]
+    theirs = [f"entry_{g}" for g in group]
+    entry_groups = salted_names.select("name", "position", *[F.col(g).alias(t) for g, t in zip(group, theirs)])
     found = (
         salted_probes.select("name", *group).groupBy(*group)
-        .cogroup(salted_names.select("name", "position", *group).groupBy(*group))
+        .cogroup(entry_groups.groupBy(*theirs))
         .applyInPandas(block_matcher(threshold, top), "name string, match string, position long, score double")
     )
     return _best(found, top)
@@ -172,23 +179,22 @@ def _best(found: DataFrame, top: int) -> DataFrame:
 
 
 def match_products(keys: DataFrame, catalogue: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Add category, tab and match method to distinct (item_code, name) pairs.
+    """Add category, tab and match method to a stored table of distinct (item_code, name) pairs.
 
     The barcode decides; what it leaves open the exact name fills, then the most similar name.
     Only names still open reach the similarity step, each once.
     """
     spread = ["item_code", "name"]
-    exact = match_names(match_barcodes(keys, catalogue, spread), catalogue, spread)
+    entries = materialise(name_lookup(catalogue), "names")
+    exact = match_names(match_barcodes(keys, catalogue, spread), entries, spread, keys)
     category = F.coalesce("barcode_category", "name_category")
     tab = F.coalesce("barcode_tab", "name_tab")
     no_name_hit = F.col("name_category").isNull() & F.col("name_tab").isNull()
     open_name = F.when((category.isNull() | tab.isNull()) & no_name_hit & (F.col("name") != ""), F.col("name"))
-    opened = exact.withColumn("open_name", open_name)
-    entries = name_lookup(catalogue)
-    similar = similar_names(
-        opened.where(F.col("open_name").isNotNull()).select(F.col("open_name").alias("name")).distinct(),
-        entries.select("name", "position"),
-        threshold,
+    opened = materialise(exact.withColumn("open_name", open_name), "opened")
+    names = opened.where(F.col("open_name").isNotNull()).select(F.col("open_name").alias("name")).distinct()
+    similar = materialise(
+        similar_names(materialise(names, "open-names"), entries.select("name", "position"), threshold), "similar"
     )
     values = entries.select(F.col("name").alias("match"), F.col("category").alias("similar_category"),
                             F.col("tab").alias("similar_tab"))
@@ -212,17 +218,19 @@ def match_products(keys: DataFrame, catalogue: DataFrame, threshold: float = THR
 
 def match_lines(lines: DataFrame, catalogue: DataFrame, threshold: float = THRESHOLD,
                 spread: list[str] | None = None) -> DataFrame:
-    """Attach category and tab to lines with ``item_code`` and ``match_name``."""
-    keyed = lines.withColumn("_pair", F.xxhash64("item_code", "match_name"))
+    """Attach category and tab to lines with ``item_code`` and ``match_name``.
+
+    Each distinct pair is matched once, however many lines carry it.
+    """
     pairs = lines.groupBy("item_code", F.col("match_name").alias("name")).agg(F.count(F.lit(1)).alias("lines"))
-    matched = match_products(pairs, catalogue, threshold)
+    matched = materialise(match_products(materialise(pairs, "pairs"), catalogue, threshold), "matches")
     packed = matched.select(
         F.coalesce("item_code", F.lit("")).alias("_code"),
         F.coalesce("name", F.lit("")).alias("_name"),
         F.struct("category", "tab").alias("_match"),
         "lines",
     )
-    sided = keyed.drop("_pair").withColumns({
+    sided = lines.withColumns({
         "_code": F.coalesce("item_code", F.lit("")),
         "_name": F.coalesce("match_name", F.lit("")),
     })
@@ -266,7 +274,7 @@ def similar_products(probes: DataFrame, catalogue: DataFrame, threshold: float =
     """The ``top`` catalogue rows most similar to each probe name."""
     named = catalogue.withColumn("match", improved_name(F.col("product_name")))
     entries = named.where(F.col("match") != "").groupBy(F.col("match").alias("name")).agg(F.min("position").alias("position"))
-    best = similar_names(probes, entries, threshold, top).select("name", "match", "score")
+    best = similar_names(probes, materialise(entries, "entries"), threshold, top).select("name", "match", "score")
     # Of one name no more than ``top`` rows can make the list; the limit is applied before the shuffle.
     nth = Window.partitionBy("match").orderBy("position")
     first_rows = named.withColumn("_nth", F.row_number().over(nth)).where(F.col("_nth") <= top).drop("_nth")
