@@ -509,7 +509,7 @@ def _trend(source, by=""):
     return f"""
     WITH w AS (SELECT {comma}CAST(date_trunc('week', date) AS DATE) AS week, sum(CAST(price AS DECIMAL(18,2))) AS total FROM ({source}) GROUP BY ALL)
     SELECT {comma}week, CAST(total AS DOUBLE) AS sales,
-      round(CAST(sum(total) OVER t AS DOUBLE) / count(*) OVER t, 2) AS trend FROM w
+      CAST(sum(total) OVER t AS DOUBLE) / count(*) OVER t AS trend FROM w
     WINDOW t AS ({part}ORDER BY week ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"""
 
 
@@ -560,7 +560,7 @@ FROM c WHERE before > 0 AND now * days > 2.0 * before"""
 
 ORACLE["report_scan"] = f"WITH {CHAIN} SELECT file, {', '.join(CELLS)} FROM cells"
 ORACLE["report_files"] = f"""
-SELECT file, 'OK' AS status, count(*) + 4 AS lines FROM ({RAW}) GROUP BY 1
+SELECT file, 'OK' AS status, count(*) + 3 AS lines FROM ({RAW}) GROUP BY 1
 UNION ALL SELECT DISTINCT 'bad-' || file, 'HEADER_NOT_FOUND', 1 FROM ({RAW})"""
 ORACLE["clean_report"] = f"""
 WITH {CHAIN} SELECT file, CAST(date AS DATE) AS date, receipt, so, item_code, description, expiration_date, unit,

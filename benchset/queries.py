@@ -52,8 +52,13 @@ def typed_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def valued_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _valued(spark, sf)[0]
+
+
+def _valued(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     typed = materialise(typed_rows(spark, sf), "typed")
-    return clean.finish_values(typed, clean.file_facts(typed))
+    per_file = clean.file_facts(typed)
+    return clean.finish_values(typed, per_file), per_file
 
 
 def staged(spark: SparkSession, sf: str) -> DataFrame:
@@ -305,7 +310,7 @@ def typing_profile(spark, sf):
 
 @query
 def dedup_first(spark, sf):
-    labelled = clean.label_lines(valued_rows(spark, sf))
+    labelled = clean.label_lines(*_valued(spark, sf))
     return labelled.select("row_index", "error_stage", "error_reason", "item_code", F.round("sales", 2).alias("sales"))
 
 
@@ -380,7 +385,7 @@ def barcode_match(spark, sf):
 @query
 def name_match(spark, sf):
     lines = typed_rows(spark, sf).select("file", "chunk", "row_index", F.col("match_name").alias("name"))
-    matched = match.match_names(lines, match.name_lookup(catalogue(spark, sf)), ["file", "chunk", "row_index"])
+    matched = match.match_names(lines, materialise(match.name_lookup(catalogue(spark, sf)), "names"), ["file", "chunk", "row_index"])
     return matched.select("row_index", "name", "name_category", "name_tab")
 
 

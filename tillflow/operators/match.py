@@ -28,9 +28,11 @@ def skewed_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: l
     ``counted`` is a stored table with the same keys to count instead, where ``rows`` is
     the result of earlier joins and would be computed twice.
     """
-    base = rows if counted is None else counted
-    frequent = hottest(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "_n").select(*keys)
-    hot = lookup.join(F.broadcast(frequent), keys, "left_semi")
+    def hot() -> DataFrame:
+        base = rows if counted is None else counted
+        frequent = hottest(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "_n").select(*keys)
+        return lookup.join(F.broadcast(frequent), keys, "left_semi")
+
     return left_lookup(rows, lookup, keys, hot, spread)
 
 
@@ -69,7 +71,9 @@ def name_lookup(catalogue: DataFrame) -> DataFrame:
 
 def match_barcodes(keys: DataFrame, catalogue: DataFrame, spread: list[str]) -> DataFrame:
     """Add ``barcode_category`` and ``barcode_tab`` by item code."""
-    lookup = barcode_lookup(catalogue).withColumnsRenamed({"category": "barcode_category", "tab": "barcode_tab"})
+    lookup = materialise(barcode_lookup(catalogue), "barcodes").withColumnsRenamed(
+        {"category": "barcode_category", "tab": "barcode_tab"}
+    )
     coded = keys.withColumn("barcode", normalise_barcode(F.col("item_code")))
     return skewed_lookup(coded, lookup, ["barcode"], spread).drop("barcode")
 
@@ -99,6 +103,9 @@ def similar_names(probes: DataFrame, names: DataFrame, threshold: float = THRESH
     probes, so no task gets more than a slice of either; inside a task only the best
     ``top`` per probe leave.
     """
+    none_found = "name string, match string, position long, score double" + ("" if top == 1 else ", rank int")
+    if probes.isEmpty():
+        return probes.sparkSession.createDataFrame([], none_found)
     total = names.count()
     letters = SIGNATURE[: max(0, min(len(SIGNATURE), int(math.log2(max(total, 1) / 1024)) if total > 1024 else 0))]
 
@@ -193,14 +200,13 @@ def match_products(keys: DataFrame, catalogue: DataFrame, threshold: float = THR
     open_name = F.when((category.isNull() | tab.isNull()) & no_name_hit & (F.col("name") != ""), F.col("name"))
     opened = materialise(exact.withColumn("open_name", open_name), "opened")
     names = opened.where(F.col("open_name").isNotNull()).select(F.col("open_name").alias("name")).distinct()
-    similar = materialise(
-        similar_names(materialise(names, "open-names"), entries.select("name", "position"), threshold), "similar"
-    )
+    names = materialise(names, "open-names")
+    similar = materialise(similar_names(names, entries.select("name", "position"), threshold), "similar")
     values = entries.select(F.col("name").alias("match"), F.col("category").alias("similar_category"),
                             F.col("tab").alias("similar_tab"))
-    lookup = skewed_lookup(
+    lookup = materialise(skewed_lookup(
         similar.select(F.col("name").alias("open_name"), "match", "score"), values, ["match"], ["open_name"]
-    ).select("open_name", "similar_category", "similar_tab", "score")
+    ).select("open_name", "similar_category", "similar_tab", "score"), "similar-values")
     joined = skewed_lookup(opened, lookup, ["open_name"], spread)
     method = (
         F.when(F.col("barcode_category").isNotNull() | F.col("barcode_tab").isNotNull(), "barcode")
@@ -216,8 +222,7 @@ def match_products(keys: DataFrame, catalogue: DataFrame, threshold: float = THR
     )
 
 
-def match_lines(lines: DataFrame, catalogue: DataFrame, threshold: float = THRESHOLD,
-                spread: list[str] | None = None) -> DataFrame:
+def match_lines(lines: DataFrame, catalogue: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Attach category and tab to lines with ``item_code`` and ``match_name``.
 
     Each distinct pair is matched once, however many lines carry it.
@@ -234,8 +239,7 @@ def match_lines(lines: DataFrame, catalogue: DataFrame, threshold: float = THRES
         "_code": F.coalesce("item_code", F.lit("")),
         "_name": F.coalesce("match_name", F.lit("")),
     })
-    lookup = packed.groupBy("_code", "_name").agg(F.max("_match").alias("_match"), F.sum("lines").alias("lines"))
-    out = left_lookup(sided, lookup, ["_code", "_name"], hottest(lookup, "lines"), *([spread] if spread else []))
+    out = left_lookup(sided, packed, ["_code", "_name"], lambda: hottest(packed, "lines"))
     return out.select(*lines.columns, F.col("_match.category").alias("category"), F.col("_match.tab").alias("tab"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillflow.functions.money import is_nonzero
 from tillflow.operators.skew import file_lookup
+from tillflow.session import materialise
 
 # Names of further columns that may hold line amounts.
 AMOUNT_NAME = (
@@ -78,11 +79,11 @@ def sales_sources(rows: DataFrame, basics: DataFrame) -> DataFrame:
               & ((F.col("with_receipt") == 0) | (F.col("varying_share") >= VARYING_SHARE)), "payment")
         .otherwise("none")
     )
-    return (
-        basics.join(literal, "file", "left").join(other, "file", "left").join(variety, "file", "left")
-        .select(*basics.columns, source.alias("sales_source"),
-                F.coalesce("literal_slot", "other_slot", F.lit(0)).alias("sales_slot"))
-    )
+    sources = basics.join(literal, "file", "left").join(other, "file", "left").join(variety, "file", "left")
+    return materialise(sources.select(
+        *basics.columns, source.alias("sales_source"),
+        F.coalesce("literal_slot", "other_slot", F.lit(0)).alias("sales_slot"),
+    ), "sources")
 
 
 def recovered_sales():
@@ -98,5 +99,6 @@ def recovered_sales():
 
 def recover_sales(rows: DataFrame) -> DataFrame:
     """Replace ``sales`` by the recovered value where the file's column is empty."""
-    sources = sales_sources(rows, file_basics(rows)).select("file", "rows", "sales_source", "sales_slot")
+    basics = materialise(file_basics(rows), "files")
+    sources = sales_sources(rows, basics).select("file", "rows", "sales_source", "sales_slot")
     return file_lookup(rows, sources, "rows").withColumn("sales", recovered_sales()).drop("rows", "sales_slot")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,21 +13,36 @@ from tillflow.schema import POSITION
 # 1 / HOT_KEYS of the rows, so no shuffle partition can be dominated by one key.
 HOT_KEYS = 1000
 
+# A lookup is broadcast whole only when a count shows it has no more rows than this.
+SMALL_ROWS = 100_000
+
+
+def is_small(lookup: DataFrame) -> bool:
+    return lookup.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+
 
 def hottest(counts: DataFrame, by: str, hot_keys: int = HOT_KEYS) -> DataFrame:
     """The ``hot_keys`` rows with the largest count; a bounded table by construction."""
     return counts.orderBy(F.desc(by)).limit(hot_keys)
 
 
-def left_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], hot: DataFrame,
+def left_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], hot: Callable[[], DataFrame],
                 spread: list[str] = POSITION) -> DataFrame:
-    """Left join of ``rows`` with ``lookup``, which is unique on ``keys``.
+    """Left join of ``rows`` with ``lookup``, a stored table that is unique on ``keys``.
 
-    ``hot`` is the bounded part of ``lookup`` for the most frequent keys: it is broadcast,
-    so rows of hot keys never need the shuffle. They, and rows with a null key, are spread
-    over all partitions by ``spread`` in the join that serves the remaining keys. Whether
-    that join shuffles at all is left to the measured size of ``lookup``.
+    A lookup that is counted and found small is broadcast. Otherwise ``hot`` gives its
+    bounded part for the most frequent keys: that part is broadcast, so rows of hot keys
+    need no shuffle. They, and rows with a null key, are spread over all partitions by
+    ``spread`` in the shuffle join that serves the remaining keys.
     """
+    if is_small(lookup):
+        return rows.join(F.broadcast(lookup), keys, "left").select(
+            *rows.columns, *[c for c in lookup.columns if c not in keys]
+        )
+    return _split_lookup(rows, lookup, keys, hot(), spread)
+
+
+def _split_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], hot: DataFrame, spread: list[str]) -> DataFrame:
     values = [c for c in lookup.columns if c not in keys]
     served = F.broadcast(hot.select(*keys, F.struct(*values).alias("_hot")))
     first = rows.join(served, keys, "left")
@@ -54,4 +71,4 @@ def left_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], hot: DataFr
 
 def file_lookup(rows: DataFrame, per_file: DataFrame, count: str) -> DataFrame:
     """Attach a table with one row per file, whose ``count`` column is the file's line count."""
-    return left_lookup(rows, per_file, ["file"], hottest(per_file, count))
+    return left_lookup(rows, per_file, ["file"], lambda: hottest(per_file, count))

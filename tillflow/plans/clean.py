@@ -13,7 +13,7 @@ from tillflow.operators.recovery import file_basics, recovered_sales, sales_sour
 from tillflow.operators.skew import file_lookup
 from tillflow.schema import IDENTITY_COLUMNS, POSITION
 from tillflow.session import materialise
-from tillflow.sources.reports import parse_reports, read_lines, require_readable
+from tillflow.sources.reports import PARSERS, below_header, file_status, read_lines, require_readable
 
 NUMBERS = ["qty", "discount", "sales", "cost", "profit"]
 TEXTS = ["receipt", "so", "payment", "cashier_id"]
@@ -56,13 +56,17 @@ def type_lines(raw: DataFrame) -> DataFrame:
         "unit_column": units.canonical_unit(F.col("unit")),
         "unit_found": units.canonical_unit(units.unit_from_description(F.col("_bare_description"))),
     }
-    return staged.select(*POSITION, *[e.alias(c) for c, e in typed.items()])
+    carried = [c for c in ("is_header",) if c in raw.columns]
+    return staged.select(*POSITION, *carried, *[e.alias(c) for c, e in typed.items()])
 
 
 def file_facts(typed: DataFrame) -> DataFrame:
     """What the rules need to know about a whole file, from one aggregation: one row each."""
     gate = rules.gate_measures(F.col("important_null"))
-    basics = materialise(file_basics(typed, *gate, F.max("unit_given").alias("has_unit")), "files")
+    # Lines with a description and nothing else that identifies them; hardly any file has one.
+    bare = F.coalesce(*[F.col(c).cast("string") for c in IDENTITY_COLUMNS]).isNull() & F.col("description").isNotNull()
+    unit = F.max("unit_given").alias("has_unit")
+    basics = materialise(file_basics(typed, *gate, unit, F.count_if(bare).alias("bare_lines")), "files")
     return sales_sources(typed, basics)
 
 
@@ -82,18 +86,27 @@ def finish_values(typed: DataFrame, per_file: DataFrame, scale_inferred: bool =
     })
 
 
-def label_lines(values: DataFrame) -> DataFrame:
+def label_lines(values: DataFrame, per_file: DataFrame) -> DataFrame:
     """Reject rules, then keep-first duplicates among what they keep, then the post-map rule."""
     labelled = rules.label_rejects(values)
     kept = F.col("error_reason").isNull()
+    if per_file.where(F.col("bare_lines") > 0).isEmpty():
+        key = dedup.identity_key()
+    else:
+        labelled = _flag_files_without_identity(labelled, kept)
+        whole_row = [c for c in LINE_COLUMNS if c not in (*POSITION, "match_name")]
+        key = dedup.identity_key(whole_row=whole_row, by_whole_row=F.col("_no_identity"))
+    marked = dedup.mark_repeats(labelled, F.when(kept, key))
+    return rules.label_repeats(marked).drop("_kept", "_no_identity")
+
+
+def _flag_files_without_identity(labelled: DataFrame, kept: Column) -> DataFrame:
+    """Flag files none of whose kept lines has an identity value; their duplicates are whole rows."""
     has_identity = F.coalesce(*[F.col(c).cast("string") for c in IDENTITY_COLUMNS]).isNotNull()
-    per_file = labelled.where(kept).groupBy("file").agg(
+    flags = labelled.where(kept).groupBy("file").agg(
         F.count(F.lit(1)).alias("_kept"), (~F.max(has_identity)).alias("_no_identity")
     )
-    labelled = file_lookup(labelled, per_file, "_kept")
-    whole_row = [c for c in LINE_COLUMNS if c not in (*POSITION, "match_name")]
-    key = F.when(kept, dedup.identity_key(whole_row=whole_row, by_whole_row=F.col("_no_identity")))
-    return rules.label_repeats(dedup.mark_repeats(labelled, key)).drop("_kept", "_no_identity")
+    return file_lookup(labelled, materialise(flags, "flags"), "_kept")
 
 
 def finish_lines(labelled: DataFrame) -> DataFrame:
@@ -116,17 +129,24 @@ def reject_rows(labelled: DataFrame) -> DataFrame:
     )
 
 
-def clean_raw(raw: DataFrame, files: DataFrame) -> Cleaned:
-    """Clean parsed rows. Typed rows and cleaned lines are written once to the shared folder.
+def clean_lines_of(lines: DataFrame, mode: str = "strict") -> Cleaned:
+    """Clean placed report lines. Typed, labelled and finished lines are each written once.
 
-    Text is parsed a single time; the per-file facts, duplicate keys and both outputs are
-    then read from columns of the typed table.
+    Text is parsed a single time, which also fixes the lines' places. Headers, per-file facts
+    and duplicate keys are read from columns of the typed table, both outputs from the
+    labelled one.
     """
-    typed = materialise(type_lines(raw), "typed")
-    per_file = file_facts(typed)
-    labelled = label_lines(finish_values(typed, per_file))
-    lines = materialise(finish_lines(labelled), "lines")
-    return Cleaned(lines, reject_rows(labelled), file_report(files, per_file))
+    typed = materialise(type_lines(PARSERS[mode](lines)), "typed")
+    files = materialise(file_status(typed), "status")
+    require_readable(files)
+    body = below_header(typed, files)
+    per_file = file_facts(body)
+    labelled = materialise(label_lines(finish_values(body, per_file), per_file), "labelled")
+    return Cleaned(
+        materialise(finish_lines(labelled), "lines"),
+        reject_rows(labelled),
+        file_report(files.select("file", "status", "lines"), per_file),
+    )
 
 
 def file_report(files: DataFrame, per_file: DataFrame) -> DataFrame:
@@ -135,12 +155,6 @@ def file_report(files: DataFrame, per_file: DataFrame) -> DataFrame:
     return files.join(facts, "file", "left").withColumn("status", warned).drop("gate_fired")
 
 
-def clean_lines_of(lines: DataFrame, mode: str = "strict") -> Cleaned:
-    raw, files = parse_reports(lines, mode)
-    require_readable(files)
-    return clean_raw(raw, files)
-
-
 def clean_reports(spark: SparkSession, paths: str | list[str], mode: str = "strict") -> Cleaned:
     """Read and clean all reports below ``paths``; bad files are reported in ``files``."""
     return clean_lines_of(read_lines(spark, paths), mode)

@@ -61,7 +61,7 @@ def weekly_trend(sales: DataFrame, by: list[str] = (), weeks: int = TREND_WEEKS)
     )
     trailing = Window.partitionBy(*by).orderBy("week").rowsBetween(1 - weeks, 0)
     mean = F.sum("total").over(trailing).cast("double") / F.count(F.lit(1)).over(trailing)
-    return weekly.select(*by, "week", F.col("total").cast("double").alias("sales"), F.round(mean, 2).alias("trend"))
+    return weekly.select(*by, "week", F.col("total").cast("double").alias("sales"), mean.alias("trend"))
 
 
 def month_over_month(purchases: DataFrame) -> DataFrame:
