@@ -520,10 +520,10 @@ ORACLE["weekly_category_revenue"] = _trend(LINE_SALES, "category")
 ORACLE["mom_change"] = f"""
 WITH m AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS revenue,
   CAST(count(*) AS DOUBLE) AS orders FROM ({PURCHASES}) GROUP BY 1), v AS (SELECT *, revenue / orders AS order_value FROM m)
-SELECT month, revenue, orders, round(order_value, 4) AS order_value,
-  round((revenue - lag(revenue) OVER w) * 100 / lag(revenue) OVER w, 4) AS revenue_change,
-  round((orders - lag(orders) OVER w) * 100 / lag(orders) OVER w, 4) AS orders_change,
-  round((order_value - lag(order_value) OVER w) * 100 / lag(order_value) OVER w, 4) AS order_value_change
+SELECT month, revenue, orders, order_value,
+  (revenue - lag(revenue) OVER w) * 100 / lag(revenue) OVER w AS revenue_change,
+  (orders - lag(orders) OVER w) * 100 / lag(orders) OVER w AS orders_change,
+  (order_value - lag(order_value) OVER w) * 100 / lag(order_value) OVER w AS order_value_change
 FROM v WINDOW w AS (ORDER BY month)"""
 ORACLE["last_30_days"] = f"""
 WITH p AS ({PURCHASES}) SELECT id, price, status FROM p WHERE date >= (SELECT max(date) FROM p) - INTERVAL 30 DAY"""

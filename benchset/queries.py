@@ -251,7 +251,8 @@ def sales_recovery(spark, sf):
         "payment_amount": money.money_parse(F.col("payment")),
         "sales": money.numeric_clean(F.col("sales")),
     })
-    return recovery.recover_sales(parsed).select("row_index", "file", "sales_source", "sales")
+    stored = materialise(parsed, "parsed")
+    return recovery.recover_sales(stored).select("row_index", "file", "sales_source", "sales")
 
 
 @query

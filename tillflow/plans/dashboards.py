@@ -73,9 +73,9 @@ def month_over_month(purchases: DataFrame) -> DataFrame:
 
     def change(c: str) -> Column:
         previous = F.lag(c).over(before)
-        return F.round(F.try_divide((F.col(c) - previous) * 100, previous), 4).alias(f"{c}_change")
+        return F.try_divide((F.col(c) - previous) * 100, previous).alias(f"{c}_change")
 
-    return monthly.select("month", "revenue", "orders", F.round("order_value", 4).alias("order_value"),
+    return monthly.select("month", "revenue", "orders", "order_value",
                           *[change(c) for c in ("revenue", "orders", "order_value")])
 
 
