@@ -92,6 +92,11 @@ def _letter_count(name: Column, letter: str) -> Column:
     return F.length(name) - F.length(F.replace(name, F.lit(letter), F.lit("")))
 
 
+def signature_letters(total: int) -> str:
+    """Enough letters that a block holds about a thousand names."""
+    return SIGNATURE[: max(0, int(math.log2(max(total, 1) / 1024)))]
+
+
 def similar_names(probes: DataFrame, names: DataFrame, threshold: float = THRESHOLD, top: int = 1) -> DataFrame:
     """For each probe ``name`` the ``top`` entries of ``names`` (name, position) above ``threshold``.
 
@@ -107,7 +112,7 @@ def similar_names(probes: DataFrame, names: DataFrame, threshold: float = THRESH
     if probes.isEmpty():
         return probes.sparkSession.createDataFrame([], none_found)
     total = names.count()
-    letters = SIGNATURE[: max(0, min(len(SIGNATURE), int(math.log2(max(total, 1) / 1024)) if total > 1024 else 0))]
+    letters = signature_letters(total)
 
     placed = names.where(F.col("name") != "").select(
         "name",
