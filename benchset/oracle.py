@@ -562,6 +562,7 @@ ORACLE["report_scan"] = f"WITH {CHAIN} SELECT file, {', '.join(CELLS)} FROM cell
 ORACLE["report_files"] = f"""
 SELECT file, 'OK' AS status, count(*) + 3 AS lines FROM ({RAW}) GROUP BY 1
 UNION ALL SELECT DISTINCT 'bad-' || file, 'HEADER_NOT_FOUND', 1 FROM ({RAW})"""
+ORACLE["file_rows"] = f"SELECT file, count(*) AS rows FROM ({RAW}) GROUP BY 1"
 ORACLE["clean_report"] = f"""
 WITH {CHAIN} SELECT file, CAST(date AS DATE) AS date, receipt, so, item_code, description, expiration_date, unit,
   {', '.join(f'round({c}, 4) AS {c}' for c in ('qty', 'discount', 'sales', 'cost', 'profit'))}, payment, cashier_id, txn_type, row_hash FROM lines"""

@@ -636,6 +636,11 @@ def report_files(spark, sf):
     return files.select(file_label().alias("file"), "status", "lines")
 
 
+@query
+def file_rows(spark, sf):
+    return audit.rows_per_file(raw_cells(spark, sf))
+
+
 @query
 def lenient_scan(spark, sf):
     rows, _ = reports.scan_reports(spark, write_reports(spark, sf), mode="lenient")

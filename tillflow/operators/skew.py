@@ -21,9 +21,9 @@ def is_small(lookup: DataFrame) -> bool:
     return lookup.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
 
 
-def hottest(counts: DataFrame, by: str, hot_keys: int = HOT_KEYS) -> DataFrame:
-    """The ``hot_keys`` rows with the largest count; a bounded table by construction."""
-    return counts.orderBy(F.desc(by)).limit(hot_keys)
+def hottest(counts: DataFrame, by: str) -> DataFrame:
+    """The ``HOT_KEYS`` rows with the largest count; a bounded table by construction."""
+    return counts.orderBy(F.desc(by)).limit(HOT_KEYS)
 
 
 def left_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], hot: Callable[[], DataFrame],
