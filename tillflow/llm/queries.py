@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillflow.llm.license_scan import label_digest, scan_licenses
+from tillflow.llm.substring_dedup import remove_repeats
+from tillflow.llm.suffix_dedup import remove_repeated_bytes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +20,20 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_digest(scan_licenses(_table(spark, sf_dir, "documents")))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
 }
 
 #: SQL for the queries that SQL can express; the others are tested against brute force.
