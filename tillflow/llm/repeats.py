@@ -1,8 +1,13 @@
-"""What the two exact duplicate-span operators share: anchors out of texts, spans back into texts.
+"""What the two exact duplicate-span operators share: repeated windows of many texts.
 
-Both compare all windows of a fixed length. A window is never shuffled by itself where its whole context is:
-rows carry an anchor with the hash of its context (see :class:`tillflow.llm.units.Anchors`), and only where
-contexts of the same anchor differ are the windows themselves hashed and compared.
+All windows of a fixed length are compared, but few are shuffled. Rows carry anchors with the hash of their
+context, that is, of everything the windows of an anchor reach (:class:`tillflow.llm.units.Anchors`):
+
+1. A merged sketch flags the grams of anchors that may occur twice; the others cannot repeat.
+2. Occurrences whose whole context occurs elsewhere repeat with all their windows.
+3. Where contexts of one gram differ, the contexts themselves are compared: all with all in groups of at most
+   ``GROUP`` contexts, which are sent whole, else by the hashes of each of their windows, so no group is
+   unbounded. One occurrence per context takes part.
 
 A text is named by ``(id, tkey)``, its id and a hash of its text, so rows with equal ids stay apart.
 """
@@ -16,136 +21,264 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillflow.llm.units import BYTE_HASH, PLAIN, Anchors, cover, prefix, signed, slices, span, BASES
-from tillflow.llm.units import word_bounds, word_hashes
+from tillflow.llm.sketch import column_hashes, flags, holds
+from tillflow.llm.units import BYTE_HASH, PLAIN, U64, Anchors, cover, mix, signed, slices, word_bounds, word_hashes
+from tillflow.session import materialise
 
+#: Contexts of one gram that are compared with each other in one task.
+GROUP = 256
+LAST = (1 << 63) - 1
 NAME = ["id", "tkey"]
-CONTEXT = ["gram", "lane1", "lane2"]
-
-ANCHOR_SCHEMA = ("id long, tkey long, gram long, lane1 long, lane2 long, low int, count int")
-_ANCHOR_ARROW = pa.schema([("id", pa.int64()), ("tkey", pa.int64()), ("gram", pa.int64()), ("lane1", pa.int64()),
-                           ("lane2", pa.int64()), ("low", pa.int32()), ("count", pa.int32())])
+LANES = ["lane1", "lane2"]
+MARK = "id long, tkey long, low int, count int"
 
-Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words, where each text's begin, and what to send for a word: its hash."""
     starts, ends, bounds = word_bounds(data, offsets, PLAIN)
-    return word_hashes(data, starts, ends), bounds
+    hashes = word_hashes(data, starts, ends)
+    return hashes, bounds, hashes
+
+
+def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return BYTE_HASH[data], offsets, data
+
+
+class Earlier:
+    """A window counts as repeated in a text if it also starts in one with a smaller id."""
+
+    who = f"coalesce(id, {LAST})"
+    contexts = ("min(who) AS one", "max(who) AS most")
+    mixed = ("min(one) AS first", "max(one) AS last")
+    differing = "first < last"
+    repeated = "most > one"
+    member = "who > one"
+    windows = ("min(who) AS first", "max(who) AS last")
+    window = "first < last"
+    later = "who > first"
 
+    @staticmethod
+    def name(ids: np.ndarray, tkeys: np.ndarray, low: np.ndarray) -> np.ndarray:
+        return ids
 
-def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return BYTE_HASH[data], offsets
+    @staticmethod
+    def against(who: np.ndarray, one: int) -> np.ndarray:
+        return who < who[one]
+
+
+class Anywhere:
+    """A window counts as repeated if it also starts at any other place."""
+
+    who = "tkey ^ shiftleft(id, 24) ^ low"
+    contexts = ("min(who) AS one", "count(*) AS most")
+    mixed = ("min(most) AS first",)
+    differing = "kinds > 1 AND first = 1"
+    repeated = "most > 1"
+    member = "true"
+    windows = ("count(*) AS first",)
+    window = "first > 1"
+    later = "true"
+
+    @staticmethod
+    def name(ids: np.ndarray, tkeys: np.ndarray, low: np.ndarray) -> np.ndarray:
+        return tkeys ^ (ids << 24) ^ low
+
+    @staticmethod
+    def against(who: np.ndarray, one: int) -> np.ndarray:
+        return np.arange(len(who)) != one
 
 
 def named_texts(df: DataFrame, text: str, key: str) -> DataFrame:
-    """``id``, ``tkey`` and ``text`` of every row; a null text is empty."""
+    """``id``, ``tkey`` and ``text`` of every row; a null text is empty, a null id the largest."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return df.select(F.col(key).cast("long").alias("id"), F.xxhash64(body).alias("tkey"), body.alias("text"))
+    return df.select(F.col(key).cast("long").alias("given"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"),
+                     F.xxhash64(body).alias("tkey"), body.alias("text"))
 
 
-def anchors(texts: DataFrame, units: Units, window: int, gram: int,
-            keep: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """One row per anchor: its text, gram and context hashes, first window and number of windows.
+def _anchors(batches: Iterator[pa.RecordBatch], units: Units, window: int, gram: int):
+    """Anchors of every slice with what belongs to them: ids, text hashes, place in the text, units to send."""
+    for batch in batches:
+        ids, tkeys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for first, last, data, offsets in slices(batch.column(2)):
+            values, bounds, sent = units(data, offsets)
+            found = Anchors(values, bounds, window, gram)
+            row = found.row + first
+            yield found, ids[row], tkeys[row], found.low - bounds[found.row], sent
 
-    ``keep`` gives flags of the grams whose anchors are wanted.
-    """
 
+def _occurrence(lane: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """Names one context's occurrence; Spark's side is :func:`_occurrences`."""
+    return mix(lane ^ mix(who.view(U64)))
+
+
+def _occurrences(contexts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tkeys = batch.column(0), batch.column(1)
-            for first, last, data, offsets in slices(batch.column(2)):
-                values, bounds = units(data, offsets)
-                found = Anchors(values, bounds, window, gram)
-                at = np.arange(len(found.at)) if keep is None else np.flatnonzero(keep(found.gram))
-                if not len(at):
-                    continue
-                row = pa.array(found.row[at] + first)
-                yield pa.RecordBatch.from_arrays([
-                    ids.take(row), tkeys.take(row), pa.array(signed(found.gram[at])),
-                    pa.array(signed(found.lane1[at])), pa.array(signed(found.lane2[at])),
-                    pa.array((found.low[at] - bounds[found.row[at]]).astype(np.int32)),
-                    pa.array((found.high[at] - found.low[at] + 1).astype(np.int32))], schema=_ANCHOR_ARROW)
-
-    return texts.mapInArrow(run, ANCHOR_SCHEMA)
+            lane, who = (batch.column(c).to_numpy().view(U64) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(_occurrence(lane, who)))], names=["hash"])
 
+    return contexts.select("lane1", "one").mapInArrow(run, "hash long")
 
-def by_text(rows: DataFrame, *columns: str) -> DataFrame:
-    """The rows of each text as one list ``spans``, which its own length bounds."""
-    return rows.groupBy(*NAME).agg(F.collect_set(F.struct(*columns)).alias("spans"))
 
+def _compare(table: pa.Table, window: int, rule: type, width: type) -> pa.Table:
+    """Marks of the windows that contexts of one gram share with others, found by their common extents.
 
-def same_text(left: DataFrame, right: DataFrame) -> Column:
-    return left["id"].eqNullSafe(right["id"]) & (left["tkey"] == right["tkey"])
+    Around the gram, two contexts agree on some units to the left and to the right; they share just the
+    windows that lie within.
+    """
+    size = table.num_rows
+    ids, tkeys, low, count, left, who = (table[c].combine_chunks().to_numpy()
+                                         for c in ("id", "tkey", "low", "count", "left", "who"))
+    units = [np.frombuffer(u, width) for u in table["units"].to_pylist()]
+    before = np.zeros((size, int(left.max())), width)
+    after_len = np.array([len(u) for u in units]) - left
+    after = np.zeros((size, int(after_len.max())), width)
+    for row, unit in enumerate(units):
+        before[row, :left[row]] = unit[:left[row]][::-1]
+        after[row, :after_len[row]] = unit[left[row]:]
+    out: list[tuple[int, int, int]] = []
+    for row in range(size):
+        other = rule.against(who, row)
+        if not other.any():
+            continue
+        agree = []
+        for side, limit in ((before, left), (after, after_len)):
+            unlike = side != side[row]
+            unlike = np.concatenate([unlike, np.ones((size, 1), bool)], axis=1)
+            agree.append(np.minimum(np.minimum(unlike.argmax(axis=1), limit), limit[row]))
+        start = left[row] - agree[0]
+        end = np.minimum(left[row] + agree[1] - window, count[row] - 1)
+        good = other & (start <= end)
+        if not good.any():
+            continue
+        hit = cover(int(count[row]), start[good], end[good] + 1)
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+        out += [(row, a, z - a) for a, z in zip(edge[::2], edge[1::2])]
+    pick = np.array([o[0] for o in out], np.int64)
+    return pa.table({
+        "id": pa.array(ids[pick], pa.int64()), "tkey": pa.array(tkeys[pick], pa.int64()),
+        "low": pa.array((low[pick] + np.array([o[1] for o in out], np.int64)).astype(np.int32)),
+        "count": pa.array(np.array([o[2] for o in out], np.int32))})
+
+
+def marks(texts: DataFrame, units: Units, window: int, gram: int, rule: type) -> DataFrame:
+    """``id, tkey, low, count``: runs of windows, by the first one's place, that repeat by ``rule``."""
+    spark = texts.sparkSession
+    body = texts.select("id", "tkey", "text")
+    width = np.uint8 if units is byte_units else np.uint64
+
+    def grams(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for found, *_ in _anchors([batch], units, window, gram):
+            yield found.gram
+
+    twice = spark.sparkContext.broadcast(flags(body, grams, 2))
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, ids, tkeys, low, _ in _anchors(batches, units, window, gram):
+            at = np.flatnonzero(holds(twice.value, found.gram))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids[at]), pa.array(tkeys[at]), pa.array(low[at].astype(np.int32)),
+                    pa.array((found.high - found.low + 1)[at].astype(np.int32)),
+                    *(pa.array(signed(x[at])) for x in (found.gram, found.lane1, found.lane2))],
+                    names=["id", "tkey", "low", "count", "gram", *LANES])
+
+    found = materialise(body.mapInArrow(occurrences, f"{MARK}, gram long, lane1 long, lane2 long"), "anchors") \
+        .withColumn("who", F.expr(rule.who))
+    contexts = materialise(found.groupBy("gram", *LANES).agg(*map(F.expr, rule.contexts)), "contexts")
+    mixed = contexts.groupBy("gram").agg(F.count("*").alias("kinds"), *map(F.expr, rule.mixed)).filter(rule.differing) \
+        .select("gram", "kinds")
+    differing = materialise(contexts.join(mixed, "gram").select("lane1", "one", "kinds"), "differing")
+    few, many = (spark.sparkContext.broadcast(flags(_occurrences(differing.filter(part)), column_hashes, 1))
+                 for part in (f"kinds <= {GROUP}", f"kinds > {GROUP}"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, ids, tkeys, low, sent in _anchors(batches, units, window, gram):
+            who = rule.name(ids, tkeys, low)
+            at = np.flatnonzero(holds(few.value, _occurrence(found.lane1, who)))
+            if len(at):
+                parts = [sent[a:z + window].tobytes() for a, z in zip(found.low[at], found.high[at])]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids[at]), pa.array(tkeys[at]), pa.array(low[at].astype(np.int32)),
+                    pa.array((found.high - found.low + 1)[at].astype(np.int32)), pa.array(signed(found.gram[at])),
+                    pa.array((found.at - found.low)[at].astype(np.int32)), pa.array(who[at]),
+                    pa.array(parts, pa.binary())],
+                    names=["id", "tkey", "low", "count", "gram", "left", "who", "units"])
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, ids, tkeys, low, _ in _anchors(batches, units, window, gram):
+            who = rule.name(ids, tkeys, low)
+            at = np.flatnonzero(holds(many.value, _occurrence(found.lane1, who)))
+            if not len(at):
+                continue
+            count = (found.high - found.low + 1)[at]
+            owner = np.repeat(at, count)
+            shift = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            hashes = found.windows(found.low[owner] + shift)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(ids[owner]), pa.array(tkeys[owner]), pa.array((low[owner] + shift).astype(np.int32)),
+                pa.array(who[owner]), *(pa.array(signed(h)) for h in hashes)],
+                names=["id", "tkey", "low", "who", "hash1", "hash2"])
+
+    compared = body.mapInArrow(whole, f"{MARK}, gram long, left int, who long, units binary") \
+        .groupBy("gram").applyInArrow(lambda t: _compare(t, window, rule, width), MARK)
+    windows = materialise(body.mapInArrow(
+        single, "id long, tkey long, low int, who long, hash1 long, hash2 long"), "windows")
+    seen = windows.groupBy("hash1", "hash2").agg(*map(F.expr, rule.windows)).filter(rule.window)
+    hashed = windows.join(seen, ["hash1", "hash2"]).filter(rule.later).select(*NAME, "low", F.lit(1).alias("count"))
+    again = found.select(*NAME, "low", "count", *LANES, "who") \
+        .join(contexts.filter(rule.repeated).select(*LANES, "one"), LANES).filter(rule.member) \
+        .select(*NAME, "low", "count")
+    return again.unionByName(compared).unionByName(hashed)
 
 
-def window_hashes(texts: DataFrame, ranges: DataFrame, units: Units, window: int) -> DataFrame:
-    """``gram, lane1, lane2, shift, hash1, hash2`` of the windows of the contexts in ``ranges``.
+def same_text(left: DataFrame, right: DataFrame) -> Column:
+    return (left["id"] == right["id"]) & (left["tkey"] == right["tkey"])
 
-    ``ranges`` has ``id, tkey, gram, lane1, lane2, low, count``; ``shift`` counts from the context's first
-    window.
-    """
-    wanted = by_text(ranges, *CONTEXT, "low", "count")
-    joined = texts.join(wanted, same_text(texts, wanted)).select(texts["text"], wanted["spans"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            for first, last, data, offsets in slices(batch.column(0)):
-                values, bounds = units(data, offsets)
-                sums = [prefix(values, base) for base in BASES]
-                part = lists.slice(first, last - first)
-                flat = part.flatten()
-                row = np.repeat(np.arange(last - first), part.value_lengths().to_numpy())
-                low = flat.field("low").to_numpy() + bounds[row]
-                count = flat.field("count").to_numpy()
-                owner = np.repeat(np.arange(len(count)), count)
-                shift = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-                start = low[owner] + shift
-                take = pa.array(owner)
-                yield pa.RecordBatch.from_arrays(
-                    [flat.field(name).take(take) for name in CONTEXT] + [pa.array(shift.astype(np.int32))]
-                    + [pa.array(signed(span(s, start, start + window, base))) for s, base in zip(sums, BASES)],
-                    names=[*CONTEXT, "shift", "hash1", "hash2"])
-
-    return joined.mapInArrow(run, "gram long, lane1 long, lane2 long, shift int, hash1 long, hash2 long")
-
-
-def cut(texts: DataFrame, spans: DataFrame, units: Units, window: int,
+def cut(texts: DataFrame, found: DataFrame, units: Units, window: int,
         kept: Callable[[bytes, np.ndarray | None], bytes]) -> DataFrame:
     """Every text with its marked windows taken out: ``id, n_units, n_removed, n_spans, kept``.
 
-    ``spans`` has ``id, tkey, low, count, shifts``: the windows that begin at ``low`` plus each of ``shifts``,
-    or all ``count`` from ``low`` where ``shifts`` is null. ``kept`` builds the rest from a text's bytes and
-    the flags of its removed units, None where none is.
+    ``kept`` builds the rest from a text's bytes and the flags of its removed units, None where none is. Texts
+    that no mark can belong to, as flags of their hashes show, are not shuffled.
     """
-    marked = by_text(spans, "low", "count", "shifts")
-    joined = texts.join(marked, same_text(texts, marked), "left").select(texts["id"], texts["text"], marked["spans"])
+    listed = materialise(found.groupBy(*NAME).agg(F.collect_set(F.struct("low", "count")).alias("spans")), "spans")
+    bits = texts.sparkSession.sparkContext.broadcast(flags(listed.select("tkey"), column_hashes, 1))
+
+    @F.arrow_udf("boolean")
+    def listed_text(tkeys: pa.Array) -> pa.Array:
+        return pa.array(holds(bits.value, tkeys.to_numpy().view(U64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_units, n_removed, n_spans, rest = [], [], [], []
             for first, last, data, offsets in slices(batch.column(1)):
-                values, bounds = units(data, offsets)
-                body = data.tobytes()
+                bounds = units(data, offsets)[1]
+                whole = data.tobytes()
                 sizes = np.diff(bounds)
                 for number, entry in enumerate(batch.column(2).slice(first, last - first).to_pylist()):
-                    text = body[offsets[number]:offsets[number + 1]]
                     size = int(sizes[number])
                     gone = None
                     if entry:
-                        start = np.concatenate([
-                            np.arange(e["low"], e["low"] + e["count"]) if e["shifts"] is None
-                            else np.array(e["shifts"], np.int64) + e["low"] for e in entry])
-                        gone = cover(size, start, start + window)
+                        start = np.array([e["low"] for e in entry], np.int64)
+                        end = start + np.array([e["count"] for e in entry], np.int64) - 1 + window
+                        gone = cover(size, start, end)
                     n_units.append(size)
-                    n_removed.append(int(gone.sum()) if gone is not None else 0)
-                    n_spans.append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
-                                   if gone is not None else 0)
-                    rest.append(kept(text, gone))
+                    n_removed.append(0 if gone is None else int(gone.sum()))
+                    n_spans.append(0 if gone is None else int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
+                    rest.append(kept(whole[offsets[number]:offsets[number + 1]], gone))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_units, pa.int64()), pa.array(n_removed, pa.int64()),
                  pa.array(n_spans, pa.int64()), pa.array(rest, pa.binary())],
                 names=["id", "n_units", "n_removed", "n_spans", "kept"])
 
-    return joined.mapInArrow(run, "id long, n_units long, n_removed long, n_spans long, kept binary")
+    told = texts.withColumn("listed", listed_text("tkey"))
+    marked = told.filter("listed")
+    joined = marked.join(listed, same_text(marked, listed), "left").select("given", "text", "spans")
+    plain = told.filter("NOT listed").select(
+        "given", "text", F.lit(None).cast("array<struct<low: int, count: int>>").alias("spans"))
+    return plain.unionByName(joined).mapInArrow(
+        run, "id long, n_units long, n_removed long, n_spans long, kept binary")

@@ -1,9 +1,9 @@
 """Substring dedup: a count-min prefilter, then exact groups of the windows estimated repeated.
 
-A window is a run of consecutive words of one text. Each task adds the anchors of its windows to a sketch of
-saturating counters; the sketches are merged by block into flags of the cells seen twice. A window occurs at
-most as often as its anchor, and a sketch never underestimates, so every repeated window passes. The second
-pass groups what passed by 128-bit hashes of whole contexts and, where contexts differ, of single windows.
+A window is a run of consecutive words of one text. Each task adds its windows, through the anchors that stand
+for them, to a sketch of saturating counters; the sketches are merged. A window occurs at most as often as its
+anchor, and a sketch never underestimates, so every repeated window passes. The second pass groups what passed
+by 128-bit hashes of whole contexts and, where contexts differ, compares them exactly.
 
 The sketch has a fixed size. Beyond it, more unique anchors pass and are grouped too: the result is the same,
 and as only about two anchors in ``window - gram + 2`` words are shuffled, so is the order of the cost.
@@ -11,113 +11,11 @@ and as only about two anchors in ``window - gram + 2`` words are shuffled, so is
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillflow.llm.repeats import CONTEXT, NAME, anchors, cut, named_texts, window_hashes, word_units
-from tillflow.llm.units import U64, Anchors, mix, slices
-from tillflow.session import materialise
-
-#: Cells of a sketch row are 2**24, its rows two: 4 MB of flags are sent to the tasks.
-WIDTH_BITS, DEPTH = 24, 2
-BLOCK_BITS = 16
-#: Partial sketches of a block are first merged in this many groups.
-MERGE_GROUPS = 64
-
-
-def _cells(grams: np.ndarray, row: int) -> np.ndarray:
-    return (mix(grams ^ U64(0x5851F42D4C957F2D * (row + 1) & (1 << 64) - 1)) >> U64(64 - WIDTH_BITS)).astype(np.int64)
-
-
-def _sketch(window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((DEPTH, 1 << WIDTH_BITS), np.uint8)
-        for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0)):
-                grams = Anchors(*word_units(data, offsets), window, gram).gram
-                for row in range(DEPTH):
-                    cell, times = np.unique(_cells(grams, row), return_counts=True)
-                    counts[row, cell] = np.minimum(counts[row, cell] + times, 255)
-        flat = counts.reshape(-1, 1 << BLOCK_BITS)
-        for block in range(len(flat)):
-            cell = np.flatnonzero(flat[block])
-            if len(cell):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int32()), pa.array([cell.astype(np.uint16).tobytes()], pa.binary()),
-                     pa.array([flat[block][cell].tobytes()], pa.binary())], names=["block", "cells", "counts"])
-    return run
-
-
-def _merge(table: pa.Table) -> pa.Table:
-    """One sketch block that adds those of ``table``, saturating at 255."""
-    total = np.zeros(1 << BLOCK_BITS, np.int64)
-    for cells, counts in zip(table["cells"].to_pylist(), table["counts"].to_pylist()):
-        total[np.frombuffer(cells, np.uint16)] += np.frombuffer(counts, np.uint8)
-    cell = np.flatnonzero(total)
-    return pa.table({"block": table["block"].slice(0, 1), "cells": pa.array([cell.astype(np.uint16).tobytes()]),
-                     "counts": pa.array([np.minimum(total[cell], 255).astype(np.uint8).tobytes()])})
-
-
-def _repeated(table: pa.Table) -> pa.Table:
-    merged = _merge(table)
-    flags = np.zeros(1 << BLOCK_BITS, bool)
-    flags[np.frombuffer(merged["cells"][0].as_py(), np.uint16)[
-        np.frombuffer(merged["counts"][0].as_py(), np.uint8) > 1]] = True
-    return pa.table({"block": merged["block"], "flags": pa.array([np.packbits(flags).tobytes()])})
-
-
-def repeated_cells(texts: DataFrame, window: int, gram: int) -> np.ndarray:
-    """Flags, one bit per cell, of the sketch cells that all texts together hit at least twice."""
-    blocks = "block int, cells binary, counts binary"
-    parts = texts.select("text").mapInArrow(_sketch(window, gram), blocks) \
-        .withColumn("part", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)))
-    merged = parts.groupBy("block", "part").applyInArrow(_merge, blocks)
-    rows = merged.groupBy("block").applyInArrow(_repeated, "block int, flags binary").collect()
-    bits = np.zeros((DEPTH << WIDTH_BITS - BLOCK_BITS, 1 << BLOCK_BITS - 3), np.uint8)
-    for row in rows:
-        bits[row["block"]] = np.frombuffer(row["flags"], np.uint8)
-    return bits.reshape(DEPTH, -1)
-
-
-def repeated_spans(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """The windows whose words also start in a text with a smaller id, as ``cut`` takes them.
-
-    A text without id counts as larger than every other; such texts do not count against each other.
-    """
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(repeated_cells(texts, window, gram))
-
-    def keep(grams: np.ndarray) -> np.ndarray:
-        out = np.ones(len(grams), bool)
-        for row in range(DEPTH):
-            cell = _cells(grams, row)
-            out &= (shared.value[row][cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool)
-        return out
-
-    last = F.lit((1 << 63) - 1)
-    found = materialise(anchors(texts, word_units, window, gram, keep)
-                        .withColumn("order", F.coalesce("id", last)), "anchors")
-    contexts = materialise(found.groupBy(*CONTEXT).agg(
-        F.min(F.struct("order", *NAME, "low", "count")).alias("one"), F.max("order").alias("largest"))
-        .select(*CONTEXT, "one.*", "largest"), "contexts")
-    mixed = contexts.groupBy("gram").agg(F.min("order").alias("least"), F.max("order").alias("most")) \
-        .filter("least < most").select("gram", "least")
-    differing = contexts.join(mixed, "gram")
-    hashed = materialise(
-        window_hashes(texts, differing, word_units, window)
-        .join(differing.select(*CONTEXT, "order"), CONTEXT), "windows")
-    seen = hashed.groupBy("hash1", "hash2").agg(F.min("order").alias("least"), F.max("order").alias("most")) \
-        .filter("least < most")
-    partial = hashed.join(seen, ["hash1", "hash2"]).filter(hashed["order"] > F.col("least")) \
-        .groupBy(*CONTEXT).agg(F.collect_set("shift").alias("shifts"))
-    marks = contexts.select(*CONTEXT, F.col("order").alias("first_order"), "largest").join(partial, CONTEXT, "left") \
-        .filter("largest > first_order OR shifts IS NOT NULL")
-    return found.join(marks, CONTEXT).filter("`order` > first_order OR shifts IS NOT NULL").select(
-        *NAME, "low", "count", F.expr("CASE WHEN `order` = first_order THEN shifts END").alias("shifts"))
+from tillflow.llm.repeats import Earlier, cut, marks, named_texts, word_units
 
 
 def _kept_words(text: bytes, gone: np.ndarray | None) -> bytes:
@@ -136,7 +34,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", windo
     columns are not read.
     """
     texts = named_texts(df, text, key)
-    spans = repeated_spans(texts, window, max(1, window // 2))
-    return cut(texts, spans, word_units, window, _kept_words).select(
+    found = marks(texts, word_units, window, max(1, window * 3 // 10), Earlier)
+    return cut(texts, found, word_units, window, _kept_words).select(
         F.col("id").alias(key), F.col("n_units").alias("n_words"), "n_removed", "n_spans",
         F.col("kept").cast("string").alias("kept"))

@@ -1,92 +1,23 @@
 """Suffix-array dedup by bucket-pointer refinement: bytes of strings that occur more than once.
 
 Suffixes are not sorted to their ends: two of them matter to each other only if they share ``window`` bytes.
-Each place gets the identifier of its initial q-gram bucket; identifiers of twice the length are made of a
-place's own and that of the later offset where it ends, and are reused for the next doubling, as in prefix
-doubling. Identifiers are hashes of content instead of ranks, so every task refines its own places without
-looking others up, and Spark's grouping by identifier takes the place of the sort that separates buckets.
-
-Only places that can still have an equal are refined. The first round groups content-chosen anchors by the
-bucket of half a window: a text that repeats must repeat an anchor. Buckets with one member end there. The
-second round refines a bucket by the identifiers of everything its members' windows reach. Members that still
-agree repeat as a whole; where members differ, the last round refines each of their places to ``window`` bytes.
+Initial buckets are those of the q-grams, with ``q`` half a window, at content-chosen anchors: a string that
+repeats repeats its anchor, at the same place inside. A merged sketch ends the buckets of one member at once.
+A bucket is then refined by the identifiers of all later offsets that its members' strings reach, taken
+together as one identifier of the context: hashes of content stand for ranks, so a task refines its own places
+without looking others up, and Spark's grouping by identifier takes the place of the sort that separates
+buckets. Members that still agree repeat as a whole. Buckets that the refinement splits are refined once more,
+place by place: by the lengths to which their members agree, or by the identifiers of single strings where a
+bucket is large.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillflow.llm.repeats import CONTEXT, NAME, anchors, by_text, byte_units, cut, named_texts, same_text
-from tillflow.llm.units import BASES, U64, mix, prefix, signed, slices, span
-from tillflow.session import materialise
-
-
-def refine(values: np.ndarray, window: int, base: int) -> np.ndarray:
-    """Bucket identifiers of the strings of ``window`` units at every place where one fits.
-
-    ``window`` is cut in half down to an odd length or 25, the initial q-grams. Each refinement pairs a place's
-    identifier with that of the place ``length`` later and doubles the length.
-    """
-    rounds = 0
-    length = window
-    while length % 2 == 0 and length > 25:
-        length //= 2
-        rounds += 1
-    place = np.arange(max(0, len(values) - length + 1))
-    bucket = span(prefix(values, base), place, place + length, base)
-    for _ in range(rounds):
-        fits = max(0, len(bucket) - length)
-        bucket = mix(bucket[:fits] * U64(base) + mix(bucket[length:length + fits] ^ U64(length)))
-        length *= 2
-    return bucket
-
-
-def refined_places(texts: DataFrame, ranges: DataFrame, window: int) -> DataFrame:
-    """The fully refined buckets of all places of the contexts in ``ranges``, two hash lanes each."""
-    wanted = by_text(ranges, *CONTEXT, "low", "count")
-    joined = texts.join(wanted, same_text(texts, wanted)).select(texts["text"], wanted["spans"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, data, offsets in slices(batch.column(0)):
-                values, bounds = byte_units(data, offsets)
-                part = batch.column(1).slice(first, last - first)
-                flat = part.flatten()
-                row = np.repeat(np.arange(last - first), part.value_lengths().to_numpy())
-                count = flat.field("count").to_numpy()
-                owner = np.repeat(np.arange(len(count)), count)
-                shift = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-                start = (flat.field("low").to_numpy() + bounds[row])[owner] + shift
-                take = pa.array(owner)
-                yield pa.RecordBatch.from_arrays(
-                    [flat.field(name).take(take) for name in CONTEXT] + [pa.array(shift.astype(np.int32))]
-                    + [pa.array(signed(refine(values, window, base)[start])) for base in BASES],
-                    names=[*CONTEXT, "shift", "hash1", "hash2"])
-
-    return joined.mapInArrow(run, "gram long, lane1 long, lane2 long, shift int, hash1 long, hash2 long")
-
-
-def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
-    """The places whose ``window`` bytes also start somewhere else, as ``cut`` takes them."""
-    found = materialise(anchors(texts, byte_units, window, window // 2), "anchors")
-    contexts = materialise(found.groupBy(*CONTEXT).agg(
-        F.count("*").alias("members"), F.min(F.struct(*NAME, "low", "count")).alias("one"))
-        .select(*CONTEXT, "one.*", "members"), "contexts")
-    mixed = contexts.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("members").alias("fewest")) \
-        .filter("kinds > 1 AND fewest = 1").select("gram")
-    differing = contexts.join(mixed, "gram")
-    places = materialise(refined_places(texts, differing, window), "places")
-    again = places.groupBy("hash1", "hash2").agg(F.count("*").alias("times")).filter("times > 1")
-    partial = places.join(again, ["hash1", "hash2"]).groupBy(*CONTEXT).agg(F.collect_set("shift").alias("shifts"))
-    marks = contexts.select(*CONTEXT, "members").join(partial, CONTEXT, "left") \
-        .filter("members > 1 OR shifts IS NOT NULL")
-    return found.join(marks, CONTEXT).select(
-        *NAME, "low", "count", F.expr("CASE WHEN members = 1 THEN shifts END").alias("shifts"))
+from tillflow.llm.repeats import Anywhere, byte_units, cut, marks, named_texts
 
 
 def _kept_bytes(text: bytes, gone: np.ndarray | None) -> bytes:
@@ -102,5 +33,6 @@ def remove_repeated_bytes(df: DataFrame, text: str = "text", key: str = "doc_id"
     than ``window`` bytes lose nothing. Other columns are not read.
     """
     texts = named_texts(df, text, key)
-    return cut(texts, repeated_spans(texts, window), byte_units, window, _kept_bytes).select(
+    found = marks(texts, byte_units, window, max(1, window // 2), Anywhere)
+    return cut(texts, found, byte_units, window, _kept_bytes).select(
         F.col("id").alias(key), F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept")
