@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillflow.llm.batches import bounded
 from tillflow.llm.license_rules import BASE, BASE_PRIORITY, RULES
 from tillflow.llm.units import ALNUM, LOWER
 
@@ -110,7 +111,7 @@ def scan_licenses(df: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     Base phrases are detected at every place and never suppressed. A null or empty text has no words and no
     detections; null ids and repeated rows are kept as they come. Other columns are not read.
     """
-    return df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")) \
+    return bounded(df).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")) \
         .mapInArrow(_scan, SCHEMA)
 
 

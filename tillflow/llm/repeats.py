@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillflow.llm.batches import bounded
 from tillflow.llm.sketch import column_hashes, flags, holds
 from tillflow.llm.units import BYTE_HASH, PLAIN, U64, Anchors, cover, mix, signed, slices, word_bounds, word_hashes
 from tillflow.session import materialise
@@ -93,7 +94,7 @@ class Anywhere:
 def named_texts(df: DataFrame, text: str, key: str) -> DataFrame:
     """``id``, ``tkey`` and ``text`` of every row; a null text is empty, a null id the largest."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return df.select(F.col(key).cast("long").alias("given"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"),
+    return bounded(df).select(F.col(key).cast("long").alias("given"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"),
                      F.xxhash64(body).alias("tkey"), body.alias("text"))
 
 
