@@ -7,18 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillflow.llm.jaccard_join import join_similar
 from tillflow.llm.license_scan import label_digest, scan_licenses
 from tillflow.llm.mixing import mix_sources
+from tillflow.llm.neighbours import search
+from tillflow.llm.pieces import decode, encode_samples
 from tillflow.llm.quality import score_quality
 from tillflow.llm.substring_dedup import remove_repeats
 from tillflow.llm.suffix_dedup import remove_repeated_bytes
 from tillflow.llm.toxicity import score_toxicity
+from tillflow.llm.vector_dedup import link_vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_similar(_table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_digest(scan_licenses(_table(spark, sf_dir, "documents")))
 
@@ -28,6 +36,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -45,14 +57,72 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every text, decoded again."""
+    return decode(encode_samples(_table(spark, sf_dir, "documents"))).select(
+        "doc_id", "sample", F.size("pieces").cast("long").alias("n_pieces"), "log_prob", "perturbed", "inclusion",
+        F.xxhash64("pieces").alias("pieces_hash"), F.sha2("text", 256).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_license_scan": op2_license_scan,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_toxicity": op5_toxicity,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
+    "op9_vector_dedup": op9_vector_dedup,
+    "op10_sampled_pieces": op10_sampled_pieces,
 }
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
 #: SQL for the queries that SQL can express; the others are tested against brute force.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_jaccard_join": f"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '{_WORD}') AS w
+            FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE
+                WHEN len(w) = 0 THEN []
+                WHEN len(w) < 5 THEN [md5(array_to_string(w, ' ') || len(w))]
+                ELSE list_transform(range(len(w) - 4), lambda i: md5(array_to_string(w[i + 1:i + 5], ' '))) END) AS s
+            FROM words),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+            FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        links AS (
+            SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+            WHERE 100 * both >= 80 * (x.n + y.n - both)),
+        reach AS (
+            SELECT a AS doc_id, b AS other FROM links
+            UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other),
+        least AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(other, d.doc_id)) AS component_id
+        FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)""",
+    "op3_substring_dedup": f"""
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+        windows AS (
+            SELECT doc_id, at, md5(array_to_string(w[at + 1:at + 50], ' ')) AS h
+            FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 49, 0))) AS at FROM words)),
+        again AS (
+            SELECT doc_id, at FROM (SELECT doc_id, at, min(doc_id) OVER (PARTITION BY h) AS first FROM windows)
+            WHERE first < doc_id),
+        gone AS (SELECT DISTINCT doc_id, at + k AS at FROM again, (SELECT unnest(range(50)) AS k)),
+        places AS (SELECT doc_id, list(at) AS at, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(array_to_string(
+            CASE WHEN n IS NULL THEN w ELSE list_transform(list_filter(range(len(w)),
+                lambda i: NOT list_contains(at, i)), lambda i: w[i + 1]) END, ' '), '')) AS kept_sha256
+        FROM words LEFT JOIN places USING (doc_id)""",
+}
