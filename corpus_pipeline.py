@@ -1,17 +1,79 @@
-"""A corpus in stages: each takes the documents its predecessor kept."""
+"""A corpus in stages: each takes the documents its predecessor kept.
+
+Toxic documents go; one document of each group of near duplicates stays; word windows that an earlier document
+holds are taken out; sources are mixed to their targets, a document standing once per copy; and every copy is
+encoded as sampled pieces. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tillflow.llm.jaccard_join import join_similar
+from tillflow.llm.mixing import mix_sources
+from tillflow.llm.pieces import encode_samples
+from tillflow.llm.substring_dedup import remove_repeats
+from tillflow.llm.toxicity import scorer, train
+from tillflow.session import materialise
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below one half; a null text counts as empty and stays."""
+    score = scorer(spark, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    kept = docs.withColumn("toxicity score", score(F.col("text").cast("string")))
+    return kept.filter(F.col("toxicity score") < 0.5).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id; of rows that share it, one text.
+
+    Documents without words are no group and stay. Groups in which no row has an id keep one text.
+    """
+    found = join_similar(docs)
+    alone = found.filter("n_shingles = 0").select("doc_id", "text_hash")
+    leading = found.filter("n_shingles > 0 AND doc_id <=> component_id") \
+        .groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
+    nameless = found.filter("n_shingles > 0 AND doc_id IS NULL AND component_id IS NULL").select("doc_id", "text_hash")
+    kept = leading.filter("doc_id IS NOT NULL").unionByName(alone).unionByName(nameless).distinct()
+    hashed = docs.withColumn("text hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    same = hashed["doc_id"].eqNullSafe(kept["doc_id"]) & (hashed["text hash"] == kept["text_hash"])
+    return hashed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text hash"]).select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the words of windows that a document with a smaller id holds.
+
+    A document that loses nothing keeps its text as it is; of others, words are joined by one space and
+    ``n_chars`` is counted anew. A document may become empty; none is dropped.
+    """
+    done = remove_repeats(docs, carried=docs.columns, keep_form=True)
+    changed = {"text": F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text")),
+               "n_chars": F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("row.n_chars"))}
+    return done.select(*(changed.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of its source takes it: not at all, once or twice."""
+    mixed = mix_sources(docs, carry=True).filter("copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
+        *(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled pieces of every document, copies of one document alike."""
+    return encode_samples(docs)
+
 
-STAGES = []
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("substring_dedup", substring_dedup),
+          ("mixing", mixing), ("encoding", encoding)]
 
-#: SQL cannot express these stages; tests/llm compares them with brute force.
+#: SQL cannot express the learned and sampled stages; tests/llm compares each stage with its definition.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -211,7 +211,7 @@ def _named_columns(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def join_similar(df: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 80, size: int = 5) -> DataFrame:
-    """``key, n_shingles, component_id`` for every row of ``df``.
+    """``key, n_shingles, component_id, text_hash`` for every row of ``df``.
 
     Two rows link when 100 times the intersection of their sets of ``size``-word shingles is at least ``percent``
     times the union; words are runs of characters other than ASCII white space, with A-Z lower-cased.
@@ -219,8 +219,9 @@ def join_similar(df: DataFrame, text: str = "text", key: str = "doc_id", percent
     shingles and link with nothing. Rows without id take part in links but name no component: theirs is null
     where no row with id is reachable. Other columns are not read.
     """
-    texts = bounded(df).select(F.col(key).cast("long").alias("id"),
-                               F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    texts = bounded(df).select(F.col(key).cast("long").alias("id"), body.alias("text"),
+                               F.xxhash64(body).alias("text_hash"))
     spark = df.sparkSession
     limit = 1 - percent / 100
 
@@ -229,10 +230,11 @@ def join_similar(df: DataFrame, text: str = "text", key: str = "doc_id", percent
             for first, bounds, shingles in shingle_sets(batch.column(1), size):
                 count = np.diff(bounds)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(count)), pa.array(signed(class_ids(bounds, shingles))),
-                     pa.array(count.astype(np.int64))], names=["id", "class", "n_shingles"])
+                    [batch.column(0).slice(first, len(count)), batch.column(2).slice(first, len(count)),
+                     pa.array(signed(class_ids(bounds, shingles))), pa.array(count.astype(np.int64))],
+                    names=["id", "text_hash", "class", "n_shingles"])
 
-    rows = materialise(texts.mapInArrow(describe, "id long, class long, n_shingles long"), "classes")
+    rows = materialise(texts.mapInArrow(describe, "id long, text_hash long, class long, n_shingles long"), "classes")
     level = spark.sparkContext.broadcast(levels(texts, size))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,4 +282,4 @@ def join_similar(df: DataFrame, text: str = "text", key: str = "doc_id", percent
     classes = named.join(component, "root").select("class", "component")
     return rows.join(classes, "class", "left").select(
         F.col("id").alias(key), "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+        F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"), "text_hash")

@@ -37,6 +37,9 @@ OWN_MARK = "\ud800"
 #: Edges of cached word lattices before the cache starts anew, and letters of texts drawn together.
 CACHE_EDGES, SLICE_CHARS = 3_000_000, 1 << 19
 ZIPF_OFFSET = 10.0
+#: Shares are cut to multiples of 1 / GRID, and logs added as multiples of 1 / FIXED: sums and comparisons are
+#: then exact, whatever texts and words stand beside.
+GRID, FIXED = float(1 << 30), float(1 << 32)
 
 SCHEMA = ("id long, sample int, log_prob double, perturbed double, inclusion double, pieces array<int>")
 _ARROW = pa.schema([("id", pa.int64()), ("sample", pa.int32()), ("log_prob", pa.float64()),
@@ -215,7 +218,7 @@ class Lattices:
         after = np.where(place + 1 < degree[state], beyond[state, np.minimum(place + 1, table.shape[1] - 1)], 0.0)
         with np.errstate(divide="ignore"):
             others = np.log(before + after)
-        reach = upto[state, place] / upto[:, -1][state]
+        reach = np.floor(upto[state, place] / upto[:, -1][state] * GRID) / GRID
         reach[first[1:] - 1] = 1.0
         base, edges = self.states, self.reach.size
         spelled = np.flatnonzero(piece < 0)
@@ -247,8 +250,8 @@ class Lattices:
         walkers, edges = [], []
         step = 0
         while len(walker):
-            draw = uniform(key[walker], place[walker], step)
-            edge = np.searchsorted(reach, at + np.minimum(draw, 1 - 2.0 ** -20), "right")
+            draw = np.floor(uniform(key[walker], place[walker], step) * GRID) / GRID
+            edge = np.searchsorted(reach, at + draw, "right")
             walkers.append(walker)
             edges.append(edge)
             at = target[edge]
@@ -291,10 +294,10 @@ class Paths:
                  top: np.ndarray, closed: np.ndarray, shut: list[set[int]], key: np.ndarray, stream: int):
         self.bounds, self.edge, self.word, self.top, self.closed, self.shut = bounds, edge, word, top, closed, shut
         size = np.diff(bounds)
-        share = lattices.share.all[edge]
-        total = np.concatenate([[0.0], np.cumsum(share)])
-        before = total[:-1] - np.repeat(total[bounds[:-1]], size)
-        self.log_prob = total[bounds[1:]] - total[bounds[:-1]]
+        share = np.rint(lattices.share.all[edge] * FIXED).astype(np.int64)
+        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(share)])
+        before = (total[:-1] - np.repeat(total[bounds[:-1]], size)) / FIXED
+        self.log_prob = (total[bounds[1:]] - total[bounds[:-1]]) / FIXED
         place = np.arange(len(edge)) - np.repeat(bounds[:-1], size)
         rest = before + lattices.others.all[edge]
         for text in np.flatnonzero(closed >= 0):
@@ -386,11 +389,10 @@ def draw_samples(lattices: Lattices, texts: list[str], key: np.ndarray, samples:
                                      text_of[walker]])
         parts_word = np.concatenate([*prefix_words, alt_word, word_of[walker]])
         parts_edge = np.concatenate([*prefix_edges, alternative, edge])
+        # Stable by text: the prefix, the edge taken, the rest of its word, the later words.
         order = np.argsort(parts_text, kind="stable")
-        walked_order = order  # prefix, alternative, then walked words in order: the rest of its word comes first
-        text_sorted = parts_text[walked_order]
-        bounds = np.searchsorted(text_sorted, np.arange(len(open_rows) + 1))
-        path = Paths(lattices, bounds, parts_edge[walked_order], parts_word[walked_order], threshold[open_rows], closed,
+        bounds = np.searchsorted(parts_text[order], np.arange(len(open_rows) + 1))
+        path = Paths(lattices, bounds, parts_edge[order], parts_word[order], threshold[open_rows], closed,
                      shut, key[open_rows], 1000 + number)
         paths.append((open_rows, path))
         found.append((open_rows, path))

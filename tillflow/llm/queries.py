@@ -24,7 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_similar(_table(spark, sf_dir, "documents"))
+    return join_similar(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,11 +99,11 @@ ORACLE: dict[str, str] = {
             FROM words),
         sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
         shared AS (
-            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
             FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
         links AS (
             SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
-            WHERE 100 * both >= 80 * (x.n + y.n - both)),
+            WHERE 100 * common >= 80 * (x.n + y.n - common)),
         reach AS (
             SELECT a AS doc_id, b AS other FROM links
             UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other),
@@ -114,15 +114,15 @@ ORACLE: dict[str, str] = {
         WITH words AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
         windows AS (
-            SELECT doc_id, at, md5(array_to_string(w[at + 1:at + 50], ' ')) AS h
-            FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 49, 0))) AS at FROM words)),
+            SELECT doc_id, pos, md5(array_to_string(w[pos + 1:pos + 50], ' ')) AS h
+            FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 49, 0))) AS pos FROM words)),
         again AS (
-            SELECT doc_id, at FROM (SELECT doc_id, at, min(doc_id) OVER (PARTITION BY h) AS first FROM windows)
+            SELECT doc_id, pos FROM (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY h) AS first FROM windows)
             WHERE first < doc_id),
-        gone AS (SELECT DISTINCT doc_id, at + k AS at FROM again, (SELECT unnest(range(50)) AS k)),
-        places AS (SELECT doc_id, list(at) AS at, count(*) AS n FROM gone GROUP BY doc_id)
+        gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM again, (SELECT unnest(range(50)) AS k)),
+        places AS (SELECT doc_id, list(pos) AS pos, count(*) AS n FROM gone GROUP BY doc_id)
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(array_to_string(
             CASE WHEN n IS NULL THEN w ELSE list_transform(list_filter(range(len(w)),
-                lambda i: NOT list_contains(at, i)), lambda i: w[i + 1]) END, ' '), '')) AS kept_sha256
+                lambda i: NOT list_contains(pos, i)), lambda i: w[i + 1]) END, ' '), '')) AS kept_sha256
         FROM words LEFT JOIN places USING (doc_id)""",
 }

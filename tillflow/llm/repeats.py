@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tillflow.llm.batches import bounded
 from tillflow.llm.sketch import column_hashes, flags, holds
@@ -91,11 +92,14 @@ class Anywhere:
         return np.arange(len(who)) != one
 
 
-def named_texts(df: DataFrame, text: str, key: str) -> DataFrame:
-    """``id``, ``tkey`` and ``text`` of every row; a null text is empty, a null id the largest."""
+def named_texts(df: DataFrame, text: str, key: str, carried: list[str] | None = None) -> DataFrame:
+    """``id``, ``tkey`` and ``text`` of every row; a null text is empty, a null id the largest.
+
+    ``given`` is the id as it came, and ``row`` holds the columns to carry along.
+    """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     return bounded(df).select(F.col(key).cast("long").alias("given"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"),
-                     F.xxhash64(body).alias("tkey"), body.alias("text"))
+                     F.xxhash64(body).alias("tkey"), body.alias("text"), F.struct(*(carried or [key])).alias("row"))
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], units: Units, window: int, gram: int):
@@ -241,7 +245,7 @@ def same_text(left: DataFrame, right: DataFrame) -> Column:
 
 def cut(texts: DataFrame, found: DataFrame, units: Units, window: int,
         kept: Callable[[bytes, np.ndarray | None], bytes]) -> DataFrame:
-    """Every text with its marked windows taken out: ``id, n_units, n_removed, n_spans, kept``.
+    """Every text with its marked windows taken out: ``id, n_units, n_removed, n_spans, kept, row``.
 
     ``kept`` builds the rest from a text's bytes and the flags of its removed units, None where none is. Texts
     that no mark can belong to, as flags of their hashes show, are not shuffled.
@@ -273,13 +277,14 @@ def cut(texts: DataFrame, found: DataFrame, units: Units, window: int,
                     rest.append(kept(whole[offsets[number]:offsets[number + 1]], gone))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_units, pa.int64()), pa.array(n_removed, pa.int64()),
-                 pa.array(n_spans, pa.int64()), pa.array(rest, pa.binary())],
-                names=["id", "n_units", "n_removed", "n_spans", "kept"])
+                 pa.array(n_spans, pa.int64()), pa.array(rest, pa.binary()), batch.column(3)],
+                names=["id", "n_units", "n_removed", "n_spans", "kept", "row"])
 
     told = texts.withColumn("listed", listed_text("tkey"))
     marked = told.filter("listed")
-    joined = marked.join(listed, same_text(marked, listed), "left").select("given", "text", "spans")
+    joined = marked.join(listed, same_text(marked, listed), "left").select("given", "text", "spans", "row")
     plain = told.filter("NOT listed").select(
-        "given", "text", F.lit(None).cast("array<struct<low: int, count: int>>").alias("spans"))
-    return plain.unionByName(joined).mapInArrow(
-        run, "id long, n_units long, n_removed long, n_spans long, kept binary")
+        "given", "text", F.lit(None).cast("array<struct<low: int, count: int>>").alias("spans"), "row")
+    schema = StructType.fromDDL("id long, n_units long, n_removed long, n_spans long, kept binary") \
+        .add("row", texts.schema["row"].dataType)
+    return plain.unionByName(joined).mapInArrow(run, schema)

@@ -25,16 +25,22 @@ def _kept_words(text: bytes, gone: np.ndarray | None) -> bytes:
     return b" ".join(words)
 
 
-def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", window: int = 50) -> DataFrame:
+def _kept_text(text: bytes, gone: np.ndarray | None) -> bytes:
+    return text if gone is None else _kept_words(text, gone)
+
+
+def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", window: int = 50,
+                   carried: list[str] | None = None, keep_form: bool = False) -> DataFrame:
     """Take every word out that a window covers whose words also start in a text with a smaller id.
 
     Returns one row per row of ``df``: ``key, n_words, n_removed, n_spans, kept``, the kept words joined by one
-    space. Windows are judged on the input. Null and empty texts, and texts of fewer than ``window`` words,
-    lose nothing; rows with equal ids do not count against each other; a null id counts as the largest. Other
-    columns are not read.
+    space, and a struct ``row`` of the columns to carry along (the id where none are named). With ``keep_form``
+    a text that loses nothing stays as it is. Windows are judged on the input. Null and empty texts, and texts
+    of fewer than ``window`` words, lose nothing; rows with equal ids do not count against each other; a null
+    id counts as the largest. Other columns are not read.
     """
-    texts = named_texts(df, text, key)
+    texts = named_texts(df, text, key, carried)
     found = marks(texts, word_units, window, max(1, window * 3 // 10), Earlier)
-    return cut(texts, found, word_units, window, _kept_words).select(
+    return cut(texts, found, word_units, window, _kept_text if keep_form else _kept_words).select(
         F.col("id").alias(key), F.col("n_units").alias("n_words"), "n_removed", "n_spans",
-        F.col("kept").cast("string").alias("kept"))
+        F.col("kept").cast("string").alias("kept"), "row")

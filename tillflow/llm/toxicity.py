@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillflow.llm.batches import bounded
@@ -140,7 +140,8 @@ def tables(top: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _slot(run: np.ndarray, size: np.ndarray | int, kind: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
     """A run's slot and its tag, never 0."""
-    hashed = mix(run ^ mix(np.asarray(size).astype(U64) << U64(3) ^ (np.asarray(kind) + 1).astype(U64) ^ U64(BASES[1])))
+    table = np.atleast_1d(size).astype(U64) << U64(3) ^ (np.atleast_1d(kind) + 1).astype(U64)
+    hashed = mix(run ^ mix(table ^ U64(BASES[1])))
     return (hashed >> U64(64 - SLOT_BITS)).astype(np.int64), (hashed & U64(0xFFFF)).astype(np.uint16) | np.uint16(1)
 
 
@@ -196,28 +197,32 @@ def log_ratios(units: np.ndarray, of_runs, of_contexts) -> np.ndarray:
     return np.log(both[1]) - np.log(both[0])
 
 
+def describe(column: pa.Array, model) -> np.ndarray:
+    """``mean, above, strong, n`` of every text: what its score is made of; zeros for a text without letters."""
+    parts = [np.zeros((4, 0))]
+    for _, _, data, offsets in slices(column):
+        units, bounds = _units(data, offsets)
+        ratio = log_ratios(units, *model) if len(units) else np.zeros(0)
+        ratio = np.where(_within(bounds, ORDER), ratio, 0)
+        n = np.maximum(np.diff(bounds) - (ORDER - 1), 0)
+        sums = [np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])
+                for x in (ratio, np.maximum(ratio, 0), ratio > STRONG)]
+        parts.append(np.stack([(s[bounds[1:]] - s[bounds[:-1]]) / np.maximum(n, 1) for s in sums] + [n]))
+    return np.concatenate(parts, axis=1)
+
+
 def features(texts: DataFrame, model) -> DataFrame:
-    """``id, mean, above, strong`` of every text, and ``n`` scored letters; zeros for a text without any."""
+    """``id, class`` and what :func:`describe` finds, for every row."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for _, _, data, offsets in slices(batch.column(1)):
-                units, bounds = _units(data, offsets)
-                ratio = log_ratios(units, *shared.value) if len(units) else np.zeros(0)
-                ratio = np.where(_within(bounds, ORDER), ratio, 0)
-                n = np.maximum(np.diff(bounds) - (ORDER - 1), 0)
-                sums = [np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])
-                        for x in (ratio, np.maximum(ratio, 0), ratio > STRONG)]
-                parts.append(np.stack([(s[bounds[1:]] - s[bounds[:-1]]) / np.maximum(n, 1) for s in sums] + [n]))
-            found = np.concatenate(parts, axis=1) if parts else np.zeros((4, 0))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in (0, 2, 3)] + [pa.array(f) for f in found],
-                names=["id", "fold", "class", "mean", "above", "strong", "n"])
+                [batch.column(0), batch.column(2)] + [pa.array(f) for f in describe(batch.column(1), shared.value)],
+                names=["id", "class", "mean", "above", "strong", "n"])
 
-    return texts.select("id", "text", "fold", "class").mapInArrow(
-        score, "id long, fold long, class int, mean double, above double, strong double, n double")
+    return texts.select("id", "text", "class").mapInArrow(
+        run, "id long, class int, mean double, above double, strong double, n double")
 
 
 def _inputs(mean: np.ndarray, above: np.ndarray, strong: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -239,29 +244,43 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray
     return w
 
 
-def score_toxicity(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
-                   label: str = "toxic") -> DataFrame:
-    """``key, held_out, score, predicted, mean, above, strong`` for every row of ``df``.
-
-    ``labels`` gives a class 0 or 1 to some ids; other values and repeated disagreeing labels (the larger
-    counts) do no harm. Rows with ``crc32(id) mod 5 = 0`` and rows without id are held out of all learning.
-    Null and empty texts, and texts of fewer letters than a run, get the score of no evidence. Without labels
-    of both classes the score is a fixed function of the mean ratio. Other columns are not read.
-    """
+def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic"):
+    """``(model, weights)`` from the labelled rows of ``df`` outside the held-out fold."""
     known = labels.select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("class")) \
         .filter("id IS NOT NULL AND class IN (0, 1)").groupBy("id").agg(F.max("class").alias("class"))
     texts = fold(bounded(df).select(F.col(key).cast("long").alias("id"),
-                           F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "id")
-    classed = texts.join(known, "id").filter(F.col("fold") != HELD_OUT)
+                                    F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "id")
+    classed = texts.filter(F.col("fold") != HELD_OUT).join(known, "id")
     top = materialise(count_runs(classed.filter(F.col("fold") != CALIBRATION).select("text", "class")), "runs")
     model = tuple(layout(table) for table in tables(top))
     sample = features(classed.filter(F.col("fold") == CALIBRATION), model) \
         .orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS).collect()
     x = _inputs(*(np.array([r[c] for r in sample], float) for c in ("mean", "above", "strong", "n")))
-    weights = fit_weights(x, np.array([r["class"] for r in sample], float))
-    scaled = (F.col("mean") * 10, F.col("above") * 10, F.sqrt("strong") * 10, F.log1p("n"), F.lit(1.0))
-    linear = sum((F.lit(float(w)) * v for w, v in zip(weights, scaled)), F.lit(0.0))
-    return features(texts.withColumn("class", F.lit(0)), model).select(
-        F.col("id").alias(key), (F.col("fold") == HELD_OUT).alias("held_out"),
-        (1 / (1 + F.exp(-linear))).alias("score"), "mean", "above", "strong") \
+    return model, fit_weights(x, np.array([r["class"] for r in sample], float))
+
+
+def scorer(spark: SparkSession, trained):
+    """A column function from texts to scores; null and empty texts get the score of no evidence."""
+    shared = spark.sparkContext.broadcast(trained)
+
+    @F.arrow_udf("double")
+    def score(column: pa.Array) -> pa.Array:
+        model, weights = shared.value
+        return pa.array(1 / (1 + np.exp(-np.clip(_inputs(*describe(column, model)) @ weights, -500, 500))))
+
+    return score
+
+
+def score_toxicity(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
+                   label: str = "toxic") -> DataFrame:
+    """``key, held_out, score, predicted`` for every row of ``df``; ``predicted`` is 1 from 0.5 up.
+
+    ``labels`` gives a class 0 or 1 to some ids; other values are left out and of several classes of an id the
+    larger counts. Rows with ``crc32(id) mod 5 = 0`` and rows without id are held out of all learning. Null and
+    empty texts, and texts of fewer letters than a run, get the score of no evidence. Without labels of both
+    classes the score is a fixed function of the mean ratio. Other columns are not read.
+    """
+    score = scorer(df.sparkSession, train(df, labels, text, key, label))
+    return fold(bounded(df).select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text")), key) \
+        .select(key, (F.col("fold") == HELD_OUT).alias("held_out"), score("text").alias("score")) \
         .withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
