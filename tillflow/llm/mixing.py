@@ -18,7 +18,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillflow.session import materialise
@@ -31,6 +31,11 @@ SEED = 7
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+def _total(column: Column) -> Column:
+    """A sum that does not depend on the order of its rows."""
+    return F.sum(column.cast("decimal(38,9)")).cast("double")
+
+
 def sized(df: DataFrame, text: str, key: str, source: str, carry: bool) -> DataFrame:
     """``id, name, size, draw`` of every row, with the row itself as ``row`` if it is to be carried.
 
@@ -84,8 +89,8 @@ def multipliers(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
         capped = power >= math.log(LIMIT)
         words = F.col("n") * F.col("size") * F.when(capped, F.lit(float(LIMIT))).otherwise(F.exp(power))
         summed = counts.join(state.select("name", "tilt", "mean"), "name").groupBy("name").agg(
-            F.sum(words).alias("words"),
-            F.sum(F.when(capped, F.lit(0.0)).otherwise(words * F.col("size") / F.col("mean"))).alias("bend"))
+            _total(words).alias("words"),
+            _total(F.when(capped, F.lit(0.0)).otherwise(words * F.col("size") / F.col("mean"))).alias("bend"))
         over = F.col("words") - F.col("target")
         step = F.col("tilt") - over / F.col("bend")
         state = materialise(
@@ -135,7 +140,7 @@ def mix_sources(df: DataFrame, text: str = "text", key: str = "doc_id", source:
         .withColumn("bin", F.floor((F.col("draw") - F.col("rate") + F.col("base") + 1) * (BINS // 2)).cast("int"))
     bins = rated.filter("size > 0").groupBy("name", "kind", "bin").agg(
         F.sum("size").alias("words"), F.sum(F.col("size") * F.col("base")).alias("base"),
-        F.sum(F.col("size") * F.col("rate")).alias("expected"))
+        _total(F.col("size") * F.col("rate")).alias("expected"))
     cuts = materialise(bins.groupBy("name").applyInPandas(_thresholds, "name string, kind int, until int"), "cuts")
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(
         F.col("base") + (F.col("bin") < F.col("until")).cast("long")).cast("long")

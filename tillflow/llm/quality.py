@@ -26,7 +26,7 @@ BUCKETS = 1 << 14
 RANK = 8
 #: Labelled rows that the model is fitted on at most.
 SAMPLE_ROWS = 8_000
-EPOCHS, BATCH, RATE, DECAY, SEED = 12, 256, 0.02, 1e-4, 20240607
+STEPS, BATCH, RATE, DECAY, SEED = 400, 256, 0.02, 1e-4, 20240607
 
 _CLASSES = np.stack([
     byte_table((0x41, 0x5A)), byte_table((0x61, 0x7A)), byte_table((0x30, 0x39)), byte_table((0x80, 0xFF)),
@@ -140,9 +140,8 @@ class Machine:
         moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (self.weight, self.vector)]
         bias_moment = [0.0, 0.0]
         steps = 0
-        for epoch in range(EPOCHS):
+        while steps < STEPS:
             order = random.permutation(len(rows))
-            rate = RATE / (1 + epoch / 3)
             for begin in range(0, len(order), BATCH):
                 some = [rows[i] for i in order[begin:begin + BATCH]]
                 y = label[order[begin:begin + BATCH]]
@@ -152,6 +151,7 @@ class Machine:
                 margin, summed, parts = self.margin(len(some), row, feature, value)
                 error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) / len(some)
                 steps += 1
+                rate = RATE / (1 + 4 * steps / STEPS)
                 used, place = np.unique(feature, return_inverse=True)
                 pull = error[row] * value
                 gradients = (
