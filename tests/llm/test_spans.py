@@ -7,6 +7,7 @@ import random
 import pytest
 
 from tests.llm import brute
+from tillflow.llm import repeats
 from tillflow.llm.substring_dedup import remove_repeats
 from tillflow.llm.suffix_dedup import remove_repeated_bytes
 
@@ -41,15 +42,17 @@ def ordered(rows):
     return sorted(rows, key=repr)
 
 
-@pytest.mark.parametrize("seed,letters,window", [(1, 2, 6), (2, 8, 8), (3, 4, 5), (4, 8, 20)])
-def test_words_against_definition(spark, seed, letters, window):
+@pytest.mark.parametrize("seed,letters,window,group", [(1, 2, 6, 8192), (2, 8, 8, 2), (3, 4, 5, 0), (4, 8, 20, 8192)])
+def test_words_against_definition(spark, monkeypatch, seed, letters, window, group):
+    monkeypatch.setattr(repeats, "GROUP", group)
     rows = texts(seed, letters)
     got = remove_repeats(frame(spark, rows), window=window).select("doc_id", "n_words", "n_removed", "kept").collect()
     assert ordered(tuple(r) for r in got) == ordered(brute.word_dedup(rows, window))
 
 
-@pytest.mark.parametrize("seed,letters,window", [(1, 2, 12), (2, 8, 16), (3, 4, 52), (5, 8, 9)])
-def test_bytes_against_definition(spark, seed, letters, window):
+@pytest.mark.parametrize("seed,letters,window,group", [(1, 2, 12, 8192), (2, 8, 16, 3), (3, 4, 52, 0), (5, 8, 9, 8192)])
+def test_bytes_against_definition(spark, monkeypatch, seed, letters, window, group):
+    monkeypatch.setattr(repeats, "GROUP", group)
     rows = texts(seed, letters)
     got = remove_repeated_bytes(frame(spark, rows), window=window).collect()
     want = brute.byte_dedup(rows, window)
