@@ -65,6 +65,10 @@ def plain(x):
     return f"CASE WHEN regexp_full_match({x}, '\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*') THEN TRY_CAST({x} AS DOUBLE) END"
 
 
+def number_text(x):
+    return f"CASE WHEN {x} = floor({x}) AND abs({x}) < 1e15 THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END"
+
+
 def moment(x):
     """The date shapes the derived data has."""
     t = strip(x)
@@ -215,7 +219,7 @@ lines AS (
     sha256(concat_ws('|', COALESCE(CASE WHEN CAST(date AS TIME) = TIME '00:00:00' THEN strftime(date, '%Y-%m-%d')
                                         ELSE strftime(date, '%Y-%m-%dT%H:%M:%S') END, ''),
       COALESCE(receipt, ''), COALESCE(so, ''), COALESCE(item_code, ''),
-      {', '.join(f"COALESCE(CAST(CAST({c} AS DECIMAL(28,4)) AS VARCHAR), '')" for c in ('qty', 'sales', 'cost'))})) AS row_hash,
+      {', '.join(f"COALESCE({number_text(c)}, '')" for c in ('qty', 'sales', 'cost'))})) AS row_hash,
     CASE WHEN regexp_matches(lower(COALESCE(description, '')), '{TXN_ADJUST}') THEN 'ADJUSTMENT'
          WHEN qty < 0 OR regexp_matches(lower(COALESCE(description, '')), '(return|refund|rtn|rtv)') THEN 'RETURN' ELSE 'SALE' END AS txn_type
   FROM filled),
@@ -333,7 +337,7 @@ ORACLE["row_key"] = f"""
 WITH {CHAIN}
 SELECT row_index, sha256(concat_ws('|', COALESCE(CASE WHEN CAST(date AS TIME) = TIME '00:00:00' THEN strftime(date, '%Y-%m-%d')
     ELSE strftime(date, '%Y-%m-%dT%H:%M:%S') END, ''), COALESCE(receipt, ''), COALESCE(so, ''), COALESCE(item_code, ''),
-    {', '.join(f"COALESCE(CAST(CAST({c} AS DECIMAL(28,4)) AS VARCHAR), '')" for c in ('qty', 'sales', 'cost'))})) AS row_hash
+    {', '.join(f"COALESCE({number_text(c)}, '')" for c in ('qty', 'sales', 'cost'))})) AS row_hash
 FROM typed"""
 ORACLE["contains_search"] = "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%ring%'"
 
@@ -519,7 +523,8 @@ ORACLE["weekly_trend"] = _trend(PURCHASES)
 ORACLE["weekly_category_revenue"] = _trend(LINE_SALES, "category")
 ORACLE["mom_change"] = f"""
 WITH m AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS revenue,
-  CAST(count(*) AS DOUBLE) AS orders FROM ({PURCHASES}) GROUP BY 1), v AS (SELECT *, revenue / orders AS order_value FROM m)
+  CAST(count(*) FILTER (WHERE status = 'completed') AS DOUBLE) AS orders FROM ({PURCHASES}) GROUP BY 1),
+  v AS (SELECT *, revenue / NULLIF(orders, 0) AS order_value FROM m)
 SELECT month, revenue, orders, order_value,
   (revenue - lag(revenue) OVER w) * 100 / lag(revenue) OVER w AS revenue_change,
   (orders - lag(orders) OVER w) * 100 / lag(orders) OVER w AS orders_change,

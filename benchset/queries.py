@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from benchset import rawdata as R
 from tillflow.functions import dates, keys, money, text, txn, units
-from tillflow.operators import audit, dedup, facts, mapping, match, product, recovery, rules
+from tillflow.operators import audit, dedup, facts, mapping, match, product, recovery, rules, skew
 from tillflow.plans import clean, dashboards, load
 from tillflow.schema import IMPORTANT_COLUMNS, RAW_COLUMNS, REQUIRED_HEADER, TARGET_COLUMNS
 from tillflow.session import materialise, new_dir
@@ -527,7 +527,7 @@ def line_sales(spark, sf):
     lines = R.table(spark, sf, "lineitem").select("l_partkey", F.col("l_shipdate").alias("date"),
                                                  F.col("l_extendedprice").alias("price"), F.col("l_quantity").cast("long").alias("units"))
     parts = R.table(spark, sf, "part").select(F.col("p_partkey").alias("product"), F.col("p_name").alias("name"), F.col("p_type").alias("category"))
-    return match.skewed_lookup(lines.withColumnRenamed("l_partkey", "product"), parts, ["product"], ["date", "price"])
+    return skew.left_lookup(lines.withColumnRenamed("l_partkey", "product"), parts, ["product"])
 
 
 def product_views(spark, sf):

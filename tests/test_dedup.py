@@ -4,17 +4,17 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tillflow.operators import dedup, match, skew
+from tillflow.operators import dedup, skew
 from tillflow.plans import load
 
 
-@pytest.fixture(params=["small", "split"])
-def lookup_path(request, monkeypatch):
-    """Both ways a lookup can be joined must give the same rows."""
-    if request.param == "split":
-        monkeypatch.setattr(skew, "SMALL_ROWS", -1)
-        monkeypatch.setattr(skew, "HOT_KEYS", 3)
-    return request.param
+@pytest.fixture(params=["broadcast", "shuffled"])
+def lookup_path(request, spark):
+    """Both ways Spark can join a lookup must give the same rows."""
+    if request.param == "shuffled":
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield request.param
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def placed(spark, n=4000, seed=1):
@@ -39,7 +39,7 @@ def test_keep_first(spark, lookup_path):
 def test_skewed_lookup(spark, lookup_path):
     rows = placed(spark)
     lookup = rows.where("k is not null").groupBy("k").agg(F.max("v").alias("top"))
-    found = match.skewed_lookup(rows, lookup, ["k"], ["file", "chunk", "row_index"])
+    found = skew.left_lookup(rows, lookup, ["k"])
     wanted = rows.join(lookup, "k", "left").select(*found.columns)
     assert found.count() == rows.count()
     assert found.exceptAll(wanted).isEmpty()

@@ -34,6 +34,11 @@ def test_dates(column):
         "1/2/98": dt.datetime(1998, 1, 2), "1/2/24": dt.datetime(2024, 1, 2), "13/45/2023": None, "1970-01-01": None,
         "2023-01-05 14:30:00": dt.datetime(2023, 1, 5, 14, 30), "3/4/2023 7:05": dt.datetime(2023, 3, 4, 7, 5),
         "Jan 5, 2023": dt.datetime(2023, 1, 5), "5 Feb 2023": dt.datetime(2023, 2, 5), "20230105": dt.datetime(2023, 1, 5),
+        "2023-01-15 14:30:00.123": dt.datetime(2023, 1, 15, 14, 30, 0, 123000), "2023-01-15T14:30:00Z": dt.datetime(2023, 1, 15, 14, 30),
+        "1/15/23 14:30": dt.datetime(2023, 1, 15, 14, 30), "1/15/23 2:30 PM": dt.datetime(2023, 1, 15, 14, 30),
+        "01/15/2023 2:30:15 PM": dt.datetime(2023, 1, 15, 14, 30, 15), "2023/01/15 14:30": dt.datetime(2023, 1, 15, 14, 30),
+        "January 5, 2023": dt.datetime(2023, 1, 5), "Jan 5, 2023 2:30 PM": dt.datetime(2023, 1, 5, 14, 30),
+        "5 January 2023": dt.datetime(2023, 1, 5), "2023.01.15": dt.datetime(2023, 1, 15), "Nov 2024": dt.datetime(2024, 11, 1),
         "3/4/2023 7:05 PM": dt.datetime(2023, 3, 4, 19, 5), "soon": None, "": None, "12:30": None, "12345": None,
         "2023-02-30": None, None: None,
     }
@@ -66,7 +71,7 @@ def test_text(column):
     assert column(text.clean_text, [" a ", "NaN", "none", "\t\xa0", "NONE", "x "]) == ["a", None, None, None, "NONE", "x"]
     assert column(text.clean_item_code, [" ab1 "]) == ["AB1"]
     assert column(text.csv_missing_to_null, ["N/A", "<NA>", "a", ""]) == [None, None, "a", None]
-    assert column(lambda c: text.number_text(c.cast("double")), ["12.5", None]) == ["12.5000", None]
+    assert column(lambda c: text.number_text(c.cast("double")), ["12.5", "8", "8.00001", None]) == ["12.5", "8", "8.00001", None]
 
 
 def test_names(column):

@@ -58,7 +58,7 @@ def test_similar_names_equal_brute_force(spark, monkeypatch, letters):
     monkeypatch.setattr(match, "BLOCK_NAMES", 4)
     monkeypatch.setattr(match, "TASK_PROBES", 5)
     if letters:
-        monkeypatch.setattr(match, "signature_letters", lambda total: match.SIGNATURE[:letters])
+        monkeypatch.setattr(match, "SIGNATURE", "aeroilntscdm"[:letters])
     probes, names = data(7)
     p = spark.createDataFrame([(x,) for x in probes], "name string")
     n = spark.createDataFrame([(x, i) for i, x in enumerate(names)], "name string, position long")

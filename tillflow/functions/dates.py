@@ -10,21 +10,30 @@ from tillflow.functions.text import is_blank, strip
 # Rewrites of numeric dates to ISO order, month before day. Two-digit years from 69 on are in
 # the last century.
 TO_ISO = [
-    (r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4})(?!\d)", "$4-$1-$3"),
-    (r"^(\d{1,2})([/-])(\d{1,2})\2(69|[7-9]\d)$", "19$4-$1-$3"),
-    (r"^(\d{1,2})([/-])(\d{1,2})\2([0-6]\d)$", "20$4-$1-$3"),
-    (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3"),
+    (r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4})(?!\d)", "$4-$1-$3"),
+    (r"^(\d{1,2})([/.-])(\d{1,2})\2(69|[7-9]\d)(?= |$)", "19$4-$1-$3"),
+    (r"^(\d{1,2})([/.-])(\d{1,2})\2([0-6]\d)(?= |$)", "20$4-$1-$3"),
+    (r"^(\d{4})([/.])(\d{1,2})\2(\d{1,2})(?= |$)", "$1-$3-$4"),
     (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
 ]
-ISO = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2})?)?$"
+ISO = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?Z?)?$"
 
 # Shapes with letters. A failed parse throws inside the JVM, so each is tried only on text
 # that looks like it.
 LETTER_SHAPES = [
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} [AaPp][Mm]$", "M/d/yyyy h:mm a"),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2} ?[AaPp][Mm]$", "yyyy-M-d h:mm[ ]a"),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2} ?[AaPp][Mm]$", "yyyy-M-d h:mm:ss[ ]a"),
     (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4} \d{1,2}:\d{2} [AaPp][Mm]$", "MMM d, yyyy h:mm a"),
+    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4} \d{1,2}:\d{2} [AaPp][Mm]$", "MMMM d, yyyy h:mm a"),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4} \d{1,2}:\d{2}$", "MMM d, yyyy H:mm"),
     (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "d MMMM yyyy"),
     (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{2}$", "d-MMM-yy"),
+    (r"^[A-Za-z]{3} \d{4}$", "MMM yyyy"),
+    (r"^[A-Za-z]{4,9} \d{4}$", "MMMM yyyy"),
 ]
 
 EXPIRY_YEARS = (2020, 2045)
@@ -50,14 +59,19 @@ EXPIRY_RESIDUE = [
 ]
 
 
-def _numeric_timestamp(c: Column) -> Column:
-    iso = c
+def _iso_order(c: Column) -> Column:
     for pattern, order in TO_ISO:
-        iso = F.regexp_replace(iso, pattern, order)
-    return F.regexp_extract(iso, ISO, 0).try_cast("timestamp")
+        c = F.regexp_replace(c, pattern, order)
+    return c
+
+
+def _numeric_timestamp(c: Column) -> Column:
+    return F.regexp_extract(_iso_order(c), ISO, 0).try_cast("timestamp")
 
 
 def _letter_timestamp(c: Column) -> Column:
+    # Of the shapes with letters only those with a time of day before noon or after begin with a digit order.
+    c = F.when(c.rlike(r"^\d.*[AaPp][Mm]$"), F.upper(_iso_order(c))).otherwise(c)
     chain = F.when(F.lit(False), F.lit(None).cast("timestamp"))
     for shape, fmt in LETTER_SHAPES:
         chain = chain.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(fmt)))
@@ -69,7 +83,7 @@ def parse_timestamp(c: Column) -> Column:
     trimmed = strip(c)
     return (
         F.when(trimmed.rlike(ISO), trimmed.try_cast("timestamp"))
-        .when(trimmed.rlike("[A-SU-Za-z]"), _letter_timestamp(trimmed))
+        .when(trimmed.rlike("[A-SU-Ya-z]"), _letter_timestamp(trimmed))
         .otherwise(_numeric_timestamp(trimmed))
     )
 

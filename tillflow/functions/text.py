@@ -88,8 +88,9 @@ def blank_to_null(c: Column) -> Column:
 
 
 def number_text(c: Column) -> Column:
-    """A double as fixed-point text, so equal numbers always give equal text."""
-    return F.coalesce(c.try_cast("decimal(28,4)").cast("string"), c.cast("string"))
+    """A double as text that is equal for equal numbers and for no others: whole numbers without a fraction."""
+    whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
+    return F.when(whole, c.try_cast("bigint").cast("string")).otherwise(c.cast("string"))
 
 
 def contains_search(c: Column, query: str) -> Column:

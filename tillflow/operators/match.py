@@ -9,33 +9,18 @@ from pyspark.sql import functions as F
 
 from tillflow.functions.lcs import block_matcher
 from tillflow.functions.text import blank_to_null, improved_name, normalise_barcode
-from tillflow.operators.skew import hottest, left_lookup
+from tillflow.operators.skew import left_lookup
 from tillflow.session import materialise
 
 THRESHOLD = 0.7
 
 # Names of a block have lengths in one band and agree on which signature letters they use.
 BAND_RATIO = 1.2
-SIGNATURE = "aeroilntscdm"
+SIGNATURE = "aeroiln"
 BLOCK_NAMES = 4096
 TASK_PROBES = 20_000
 
 
-def skewed_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: list[str],
-                  counted: DataFrame | None = None) -> DataFrame:
-    """:func:`left_lookup` where the hot keys are those most frequent in ``rows``.
-
-    ``counted`` is a stored table with the same keys to count instead, where ``rows`` is
-    the result of earlier joins and would be computed twice.
-    """
-    def hot() -> DataFrame:
-        base = rows if counted is None else counted
-        frequent = hottest(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "_n").select(*keys)
-        return lookup.join(F.broadcast(frequent), keys, "left_semi")
-
-    return left_lookup(rows, lookup, keys, hot, spread)
-
-
 def _last(value: str, of: Column) -> Column:
     return F.max(F.when(of, F.struct("position", F.col(value).alias("v"))))["v"]
 
@@ -75,13 +60,13 @@ def match_barcodes(keys: DataFrame, catalogue: DataFrame, spread: list[str]) ->
         {"category": "barcode_category", "tab": "barcode_tab"}
     )
     coded = keys.withColumn("barcode", normalise_barcode(F.col("item_code")))
-    return skewed_lookup(coded, lookup, ["barcode"], spread).drop("barcode")
+    return left_lookup(coded, lookup, ["barcode"]).drop("barcode")
 
 
 def match_names(keys: DataFrame, names: DataFrame, spread: list[str], counted: DataFrame | None = None) -> DataFrame:
     """Add ``name_category`` and ``name_tab`` from a :func:`name_lookup`."""
     lookup = names.drop("position").withColumnsRenamed({"category": "name_category", "tab": "name_tab"})
-    return skewed_lookup(keys, lookup, ["name"], spread, counted)
+    return left_lookup(keys, lookup, ["name"])
 
 
 def _band(length: Column) -> Column:
@@ -92,11 +77,6 @@ def _letter_count(name: Column, letter: str) -> Column:
     return F.length(name) - F.length(F.replace(name, F.lit(letter), F.lit("")))
 
 
-def signature_letters(total: int) -> str:
-    """Enough letters that a block holds about a thousand names."""
-    return SIGNATURE[: max(0, int(math.log2(max(total, 1) / 1024)))]
-
-
 def similar_names(probes: DataFrame, names: DataFrame, threshold: float = THRESHOLD, top: int = 1) -> DataFrame:
     """For each probe ``name`` the ``top`` entries of ``names`` (name, position) above ``threshold``.
 
@@ -111,8 +91,7 @@ def similar_names(probes: DataFrame, names: DataFrame, threshold: float = THRESH
     none_found = "name string, match string, position long, score double" + ("" if top == 1 else ", rank int")
     if probes.isEmpty():
         return probes.sparkSession.createDataFrame([], none_found)
-    total = names.count()
-    letters = signature_letters(total)
+    letters = SIGNATURE
 
     placed = names.where(F.col("name") != "").select(
         "name",
@@ -209,10 +188,10 @@ def match_products(keys: DataFrame, catalogue: DataFrame, threshold: float = THR
     similar = materialise(similar_names(names, entries.select("name", "position"), threshold), "similar")
     values = entries.select(F.col("name").alias("match"), F.col("category").alias("similar_category"),
                             F.col("tab").alias("similar_tab"))
-    lookup = materialise(skewed_lookup(
-        similar.select(F.col("name").alias("open_name"), "match", "score"), values, ["match"], ["open_name"]
+    lookup = materialise(left_lookup(
+        similar.select(F.col("name").alias("open_name"), "match", "score"), values, ["match"]
     ).select("open_name", "similar_category", "similar_tab", "score"), "similar-values")
-    joined = skewed_lookup(opened, lookup, ["open_name"], spread)
+    joined = left_lookup(opened, lookup, ["open_name"])
     method = (
         F.when(F.col("barcode_category").isNotNull() | F.col("barcode_tab").isNotNull(), "barcode")
         .when(~no_name_hit, "name")
@@ -232,19 +211,14 @@ def match_lines(lines: DataFrame, catalogue: DataFrame, threshold: float = THRES
 
     Each distinct pair is matched once, however many lines carry it.
     """
-    pairs = lines.groupBy("item_code", F.col("match_name").alias("name")).agg(F.count(F.lit(1)).alias("lines"))
+    code, name = F.coalesce("item_code", F.lit("")), F.coalesce("match_name", F.lit(""))
+    pairs = lines.groupBy(code.alias("item_code"), name.alias("name")).agg(F.count(F.lit(1)).alias("lines"))
     matched = materialise(match_products(materialise(pairs, "pairs"), catalogue, threshold), "matches")
     packed = matched.select(
-        F.coalesce("item_code", F.lit("")).alias("_code"),
-        F.coalesce("name", F.lit("")).alias("_name"),
-        F.struct("category", "tab").alias("_match"),
-        "lines",
+        F.col("item_code").alias("_code"), F.col("name").alias("_name"), F.struct("category", "tab").alias("_match")
     )
-    sided = lines.withColumns({
-        "_code": F.coalesce("item_code", F.lit("")),
-        "_name": F.coalesce("match_name", F.lit("")),
-    })
-    out = left_lookup(sided, packed, ["_code", "_name"], lambda: hottest(packed, "lines"))
+    sided = lines.withColumns({"_code": code, "_name": name})
+    out = left_lookup(sided, packed, ["_code", "_name"])
     return out.select(*lines.columns, F.col("_match.category").alias("category"), F.col("_match.tab").alias("tab"))
 
 

@@ -101,4 +101,4 @@ def recover_sales(rows: DataFrame) -> DataFrame:
     """Replace ``sales`` by the recovered value where the file's column is empty."""
     basics = materialise(file_basics(rows), "files")
     sources = sales_sources(rows, basics).select("file", "rows", "sales_source", "sales_slot")
-    return file_lookup(rows, sources, "rows").withColumn("sales", recovered_sales()).drop("rows", "sales_slot")
+    return file_lookup(rows, sources).withColumn("sales", recovered_sales()).drop("rows", "sales_slot")

@@ -1,74 +1,21 @@
-"""Joins that hold when one key owns a large share of the rows."""
+"""Joins of rows with lookups that are unique by key."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pyspark.sql import DataFrame
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-from tillflow.schema import POSITION
-
-# At most this many keys are broadcast. Any other key then holds less than
-# 1 / HOT_KEYS of the rows, so no shuffle partition can be dominated by one key.
-HOT_KEYS = 1000
-
-# A lookup is broadcast whole only when a count shows it has no more rows than this.
-SMALL_ROWS = 100_000
-
-
-def is_small(lookup: DataFrame) -> bool:
-    return lookup.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-
-
-def hottest(counts: DataFrame, by: str) -> DataFrame:
-    """The ``HOT_KEYS`` rows with the largest count; a bounded table by construction."""
-    return counts.orderBy(F.desc(by)).limit(HOT_KEYS)
-
-
-def left_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], hot: Callable[[], DataFrame],
-                spread: list[str] = POSITION) -> DataFrame:
+def left_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
     """Left join of ``rows`` with ``lookup``, a stored table that is unique on ``keys``.
 
-    A lookup that is counted and found small is broadcast. Otherwise ``hot`` gives its
-    bounded part for the most frequent keys: that part is broadcast, so rows of hot keys
-    need no shuffle. They, and rows with a null key, are spread over all partitions by
-    ``spread`` in the shuffle join that serves the remaining keys.
+    One plan at every size: Spark broadcasts the lookup if its stored bytes allow it. Otherwise both sides are
+    shuffled by key, and adaptive execution splits the partitions of hot keys, null among them, since every key
+    has one lookup row at most.
     """
-    if is_small(lookup):
-        return rows.join(F.broadcast(lookup), keys, "left").select(
-            *rows.columns, *[c for c in lookup.columns if c not in keys]
-        )
-    return _split_lookup(rows, lookup, keys, hot(), spread)
-
-
-def _split_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], hot: DataFrame, spread: list[str]) -> DataFrame:
     values = [c for c in lookup.columns if c not in keys]
-    served = F.broadcast(hot.select(*keys, F.struct(*values).alias("_hot")))
-    first = rows.join(served, keys, "left")
-
-    any_null = F.lit(False)
-    for k in keys:
-        any_null = any_null | F.col(k).isNull()
-    route = F.when(F.col("_hot").isNotNull() | any_null, F.xxhash64(F.lit("spread"), *spread)).otherwise(
-        F.xxhash64(*keys)
-    )
-    left = first.withColumn("_route", route)
-    right = lookup.select(
-        F.xxhash64(*keys).alias("_r"),
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.struct(*values).alias("_cold"),
-    )
-    match: Column = F.col("_route") == F.col("_r")
-    for k in keys:
-        match = match & (F.col(k) == F.col(f"_k_{k}"))
-    joined = left.join(right, match & F.col("_hot").isNull(), "left")
-    return joined.select(
-        *[F.col(c) for c in rows.columns],
-        *[F.coalesce(F.col(f"_hot.{v}"), F.col(f"_cold.{v}")).alias(v) for v in values],
-    )
+    return rows.join(lookup, keys, "left").select(*rows.columns, *values)
 
 
-def file_lookup(rows: DataFrame, per_file: DataFrame, count: str) -> DataFrame:
-    """Attach a table with one row per file, whose ``count`` column is the file's line count."""
-    return left_lookup(rows, per_file, ["file"], lambda: hottest(per_file, count))
+def file_lookup(rows: DataFrame, per_file: DataFrame) -> DataFrame:
+    """Attach a table with one row per file."""
+    return left_lookup(rows, per_file, ["file"])

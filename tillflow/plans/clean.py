@@ -72,7 +72,7 @@ def file_facts(typed: DataFrame) -> DataFrame:
 
 def finish_values(typed: DataFrame, per_file: DataFrame, scale_inferred: bool = False) -> DataFrame:
     """Sales, unit, quantity and profit, which depend on the whole file."""
-    rows = file_lookup(typed, per_file.select("file", "rows", "sales_source", "sales_slot", "has_unit"), "rows")
+    rows = file_lookup(typed, per_file.select("file", "rows", "sales_source", "sales_slot", "has_unit"))
     rows = rows.withColumns({
         "sales": recovered_sales(),
         "_unit": F.when(F.col("has_unit"), F.col("unit_column")).otherwise(F.col("unit_found")),
@@ -106,7 +106,7 @@ def _flag_files_without_identity(labelled: DataFrame, kept: Column) -> DataFrame
     flags = labelled.where(kept).groupBy("file").agg(
         F.count(F.lit(1)).alias("_kept"), (~F.max(has_identity)).alias("_no_identity")
     )
-    return file_lookup(labelled, materialise(flags, "flags"), "_kept")
+    return file_lookup(labelled, materialise(flags, "flags"))
 
 
 def finish_lines(labelled: DataFrame) -> DataFrame:

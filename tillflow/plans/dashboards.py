@@ -65,9 +65,9 @@ def weekly_trend(sales: DataFrame, by: list[str] = (), weeks: int = TREND_WEEKS)
 
 
 def month_over_month(purchases: DataFrame) -> DataFrame:
-    """Monthly revenue, orders and order value with their change in percent."""
+    """Monthly revenue, completed orders and revenue per completed order, with their change in percent."""
     monthly = purchases.groupBy(F.to_date(F.date_trunc("month", "date")).alias("month")).agg(
-        _revenue().alias("revenue"), F.count(F.lit(1)).cast("double").alias("orders")
+        _revenue().alias("revenue"), F.count_if(F.col("status") == COMPLETED).cast("double").alias("orders")
     ).withColumn("order_value", F.try_divide("revenue", "orders"))
     before = Window.orderBy("month")
 
