@@ -669,7 +669,7 @@ def load_report(spark, sf):
     """The facts of one load, read back from the warehouse."""
     root, folder = new_dir(spark, "warehouse"), write_reports(spark, sf, extra_files=True)
     load.run_reports(spark, folder, catalogue(spark, sf), root, days=order_days(spark, sf))
-    loaded = Warehouse(spark, root).facts.read()
+    loaded = Warehouse(spark, root).loaded_facts()
     return loaded.select("row_hash", "date_key", "receipt_number", "txn_type", F.round("sales_amount", 2).alias("sales_amount"))
 
 
@@ -689,7 +689,7 @@ def stream_ingest(spark, sf):
     stream.awaitTermination()
     if stream.exception():
         raise stream.exception()
-    return Warehouse(spark, root).facts.read().select("row_hash", "date_key", "receipt_number", "txn_type",
+    return Warehouse(spark, root).loaded_facts().select("row_hash", "date_key", "receipt_number", "txn_type",
                                                       F.round("sales_amount", 2).alias("sales_amount"))
 
 

@@ -68,7 +68,7 @@ def test_cleaning(spark, reports):
     assert files == {"may.csv": "OK", "bad.csv": "HEADER_NOT_FOUND"}
     assert cleaned.lines.count() + cleaned.rejects.count() == len(LINES)
     kept_text = cleaned.rejects.where(F.col("error_reason") == "duplicate row").first()
-    assert kept_text.sales == "1234.5600"
+    assert kept_text.sales == "1234.56"
 
 
 def test_result_does_not_depend_on_splits(spark, tmp_path):
@@ -190,3 +190,41 @@ def test_date_dimension(spark):
     assert days.count() == 9497
     first = days.where("date_key = date'2023-01-01'").first()
     assert (first.week, first.dow, first.is_weekend, first.quarter) == (52, 0, True, 1)
+
+
+def test_catalogue_rows_follow_file_names(spark, tmp_path):
+    """The later file is the larger one, which Spark would read first."""
+    head = "Product Name,Tab,Category,Barcode,SKU Number\n"
+    (tmp_path / "1.csv").write_text(head + "Tea,A,old,1,S\n")
+    (tmp_path / "2.csv").write_text(head + "".join(f"Name {n},A,c,{n + 2},S\n" for n in range(500)) + "Tea,A,new,1,S\n")
+    from tillflow.sources.catalogue import read_catalogue
+
+    rows = read_catalogue(spark, str(tmp_path)).orderBy("position").collect()
+    assert [r.position for r in rows] == list(range(502))
+    assert (rows[0].category, rows[-1].category) == ("old", "new")
+
+
+def test_missing_file_does_not_stop_the_others(spark, tmp_path):
+    from tillflow.plans.clean import clean_reports
+    from tillflow.schema import REQUIRED_HEADER
+
+    good = tmp_path / "good.csv"
+    good.write_text(",".join(REQUIRED_HEADER) + "\n2023-01-01,R1,,1,Tea,1,0,10,8,2,Cash,C1\n")
+    cleaned = clean_reports(spark, [str(good), str(tmp_path / "none.csv")])
+    assert cleaned.lines.count() == 1
+    assert sorted(r.status for r in cleaned.files.collect()) == ["FILE_NOT_FOUND", "OK"]
+
+
+def test_quality_gate_stops_and_ignores_blank_lines(spark, tmp_path):
+    from tillflow.plans.clean import clean_reports
+    from tillflow.schema import REQUIRED_HEADER
+
+    head = ",".join(REQUIRED_HEADER) + "\n"
+    line = "2023-01-01,R1,,1,Tea,1,0,10,8,2,Cash,C1\n"
+    (tmp_path / "blank.csv").write_text(head + line + ",,,,,,,,,,,\n" * 30)
+    (tmp_path / "fires.csv").write_text(head + line + ",,,,,,,,,,Cash,C1\n" * 30)
+    cleaned = clean_reports(spark, str(tmp_path))
+    status = {r.file.rsplit("/", 1)[1]: r.status for r in cleaned.files.collect()}
+    assert status == {"blank.csv": "OK", "fires.csv": "QUALITY_WARNING"}
+    kept = {r["file"].rsplit("/", 1)[1]: r["count"] for r in cleaned.lines.groupBy("file").count().collect()}
+    assert kept == {"blank.csv": 1, "fires.csv": 31}

@@ -53,11 +53,13 @@ def summary_pattern(raw_text: Column) -> Column:
     return F.coalesce(*[F.when(text.contains(p), p) for p in SUMMARY_PATTERNS])
 
 
-def reject_rules() -> list[tuple[str, str, Column]]:
+def reject_rules(stopped: Column | None = None) -> list[tuple[str, str, Column]]:
     """(stage, reason, condition) of every row-local rule, in the order they apply.
 
-    Expects typed columns plus ``summary`` and ``row_is_empty``, both taken from the raw line.
+    Expects typed columns plus ``summary`` and ``row_is_empty``, both taken from the raw line. Where ``stopped``
+    holds, the quality gate has ended the cleaning of the file after its blank and summary lines.
     """
+    going = F.lit(True) if stopped is None else ~stopped
     code = strip(F.col("item_code"))
     description = strip(F.col("description"))
     no_money = _all(_zero("sales"), _zero("cost"), _zero("profit"))
@@ -71,16 +73,16 @@ def reject_rules() -> list[tuple[str, str, Column]]:
         *[(PRE_MAP, f"summary/total row matched '{p}'", F.coalesce(F.col("summary") == p, F.lit(False)))
           for p in SUMMARY_PATTERNS],
         (PRE_MAP, EMPTY_ROW, F.col("row_is_empty")),
-        (INCOMPLETE, MISSING_SUPPORT, has_money & (is_blank(F.col("item_code")) | is_blank(F.col("description")))),
-        (INCOMPLETE, ALL_EMPTY, all_important_null()),
-        (INCOMPLETE, PLACEHOLDER, _zero("qty") & no_money & (F.coalesce(not_a_code, F.lit(False)) | blank_description)),
-        (INCOMPLETE, ADJUSTMENT, no_money & adjustment),
+        (INCOMPLETE, MISSING_SUPPORT, going & has_money & (is_blank(F.col("item_code")) | is_blank(F.col("description")))),
+        (INCOMPLETE, ALL_EMPTY, going & all_important_null()),
+        (INCOMPLETE, PLACEHOLDER, going & _zero("qty") & no_money & (F.coalesce(not_a_code, F.lit(False)) | blank_description)),
+        (INCOMPLETE, ADJUSTMENT, going & no_money & adjustment),
     ]
 
 
-def label_rejects(rows: DataFrame) -> DataFrame:
+def label_rejects(rows: DataFrame, stopped: Column | None = None) -> DataFrame:
     """Add ``error_stage`` and ``error_reason``; both null where the line is kept."""
-    rules = reject_rules()
+    rules = reject_rules(stopped)
     label = reduce(
         lambda chain, rule: chain.when(rule[2], F.struct(F.lit(rule[0]).alias("stage"), F.lit(rule[1]).alias("reason"))),
         rules[1:],
@@ -93,11 +95,12 @@ def label_rejects(rows: DataFrame) -> DataFrame:
     }).drop("_label")
 
 
-def label_repeats(rows: DataFrame, flag: str = "is_repeat") -> DataFrame:
+def label_repeats(rows: DataFrame, flag: str = "is_repeat", stopped: Column | None = None) -> DataFrame:
     """Turn flagged repeats into rejects, then apply the post-map rule to what is left."""
+    going = F.lit(True) if stopped is None else ~stopped
     kept = F.col("error_reason").isNull()
     repeat = kept & F.col(flag)
-    empty = kept & all_important_null()
+    empty = kept & going & all_important_null()
     return rows.withColumns({
         "error_stage": F.when(repeat, DUPLICATE_STAGE).when(empty, POST_MAP).otherwise(F.col("error_stage")),
         "error_reason": F.when(repeat, DUPLICATE).when(empty, ALL_EMPTY_POST).otherwise(F.col("error_reason")),
@@ -112,11 +115,15 @@ def rejected(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("error_reason").isNotNull())
 
 
-def gate_measures(important_null: Column, share: float = GATE_SHARE) -> list[Column]:
-    """Aggregates of a file: lines whose important fields are all null, and whether they are too many."""
+def gate_measures(important_null: Column, share: float = GATE_SHARE, counted: Column | None = None) -> list[Column]:
+    """Aggregates of a file: lines whose important fields are all null, and whether they are too many.
+
+    Only ``counted`` lines are looked at, all where it is left out; a file without any does not fire.
+    """
+    looked = F.lit(True) if counted is None else counted
+    fired = F.avg(F.when(looked, important_null.cast("double"))) > share
     return [
-        F.count_if(important_null).alias("empty_rows"),
-        (F.avg(important_null.cast("double")) > share).alias("gate_fired"),
+        F.count_if(looked & important_null).alias("empty_rows"), F.coalesce(fired, F.lit(False)).alias("gate_fired"),
     ]
 
 

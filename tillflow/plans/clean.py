@@ -13,7 +13,8 @@ from tillflow.operators.recovery import file_basics, recovered_sales, sales_sour
 from tillflow.operators.skew import file_lookup
 from tillflow.schema import IDENTITY_COLUMNS, POSITION
 from tillflow.session import materialise
-from tillflow.sources.reports import PARSERS, below_header, file_status, read_lines, require_readable
+from tillflow.sources.reports import FILE_NOT_FOUND, PARSERS, below_header, file_status, missing_paths, read_lines
+from tillflow.sources.reports import require_readable
 
 NUMBERS = ["qty", "discount", "sales", "cost", "profit"]
 TEXTS = ["receipt", "so", "payment", "cashier_id"]
@@ -62,7 +63,8 @@ def type_lines(raw: DataFrame) -> DataFrame:
 
 def file_facts(typed: DataFrame) -> DataFrame:
     """What the rules need to know about a whole file, from one aggregation: one row each."""
-    gate = rules.gate_measures(F.col("important_null"))
+    # The gate looks at what is left without summary and blank lines.
+    gate = rules.gate_measures(F.col("important_null"), counted=F.col("summary").isNull() & ~F.col("row_is_empty"))
     # Lines with a description and nothing else that identifies them; hardly any file has one.
     bare = F.coalesce(*[F.col(c).cast("string") for c in IDENTITY_COLUMNS]).isNull() & F.col("description").isNotNull()
     unit = F.max("unit_given").alias("has_unit")
@@ -72,7 +74,7 @@ def file_facts(typed: DataFrame) -> DataFrame:
 
 def finish_values(typed: DataFrame, per_file: DataFrame, scale_inferred: bool = False) -> DataFrame:
     """Sales, unit, quantity and profit, which depend on the whole file."""
-    rows = file_lookup(typed, per_file.select("file", "rows", "sales_source", "sales_slot", "has_unit"))
+    rows = file_lookup(typed, per_file.select("file", "rows", "sales_source", "sales_slot", "has_unit", "gate_fired"))
     rows = rows.withColumns({
         "sales": recovered_sales(),
         "_unit": F.when(F.col("has_unit"), F.col("unit_column")).otherwise(F.col("unit_found")),
@@ -87,9 +89,13 @@ def finish_values(typed: DataFrame, per_file: DataFrame, scale_inferred: bool =
 
 
 def label_lines(values: DataFrame, per_file: DataFrame) -> DataFrame:
-    """Reject rules, then keep-first duplicates among what they keep, then the post-map rule."""
-    labelled = rules.label_rejects(values)
-    kept = F.col("error_reason").isNull()
+    """Reject rules, then keep-first duplicates among what they keep, then the post-map rule.
+
+    A file whose gate fired is left as it is but for its blank and summary lines.
+    """
+    stopped = F.col("gate_fired")
+    labelled = rules.label_rejects(values, stopped)
+    kept = F.col("error_reason").isNull() & ~stopped
     if per_file.where(F.col("bare_lines") > 0).isEmpty():
         key = dedup.identity_key()
     else:
@@ -97,7 +103,7 @@ def label_lines(values: DataFrame, per_file: DataFrame) -> DataFrame:
         whole_row = [c for c in LINE_COLUMNS if c not in (*POSITION, "match_name")]
         key = dedup.identity_key(whole_row=whole_row, by_whole_row=F.col("_no_identity"))
     marked = dedup.mark_repeats(labelled, F.when(kept, key))
-    return rules.label_repeats(marked).drop("_kept", "_no_identity")
+    return rules.label_repeats(marked, stopped=stopped).drop("_kept", "_no_identity", "gate_fired")
 
 
 def _flag_files_without_identity(labelled: DataFrame, kept: Column) -> DataFrame:
@@ -156,5 +162,10 @@ def file_report(files: DataFrame, per_file: DataFrame) -> DataFrame:
 
 
 def clean_reports(spark: SparkSession, paths: str | list[str], mode: str = "strict") -> Cleaned:
-    """Read and clean all reports below ``paths``; bad files are reported in ``files``."""
-    return clean_lines_of(read_lines(spark, paths), mode)
+    """Read and clean all reports below ``paths``; bad and missing files are reported in ``files``."""
+    cleaned = clean_lines_of(read_lines(spark, paths), mode)
+    missing = missing_paths(spark, [paths] if isinstance(paths, str) else list(paths))
+    if missing:
+        absent = spark.createDataFrame([(p, FILE_NOT_FOUND, 0) for p in missing], "file string, status string, lines long")
+        cleaned.files = cleaned.files.unionByName(absent, allowMissingColumns=True)
+    return cleaned

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillflow.schema import CATALOGUE
+from tillflow.session import materialise
 from tillflow.sources.tables import SnapshotTable
 
 # Catalogue headers -> column names; headers match in any case.
@@ -27,11 +28,27 @@ def read_catalogue(spark: SparkSession, path: str, fmt: str = "csv") -> DataFram
     """The catalogue as text columns with row positions; empty where it cannot be read."""
     try:
         reader = spark.read.option("header", "true").option("quote", '"').option("escape", '"')
-        return to_catalogue(reader.format(fmt).load(path))
+        found = reader.format(fmt).load(path)
+        return to_catalogue(in_file_order(found.selectExpr("*", "_metadata.file_path AS _file", "_metadata.file_block_start AS _start")))
     except AnalysisException:
         return empty_catalogue(spark)
 
 
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """Add ``position``, the place of each row by file name and place in its file.
+
+    Spark reads files in the order of their sizes. Rows of one split are numbered in a run, so their places
+    follow from one row per split: how many rows the splits before it hold.
+    """
+    numbered = materialise(rows.withColumn("_number", F.monotonically_increasing_id()), "catalogue")
+    splits = numbered.groupBy("_file", "_start").agg(F.min("_number").alias("_least"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    placed = numbered.join(splits, ["_file", "_start"])
+    return placed.withColumn("position", F.col("_before") + F.col("_number") - F.col("_least")) \
+        .drop("_file", "_start", "_number", "_least", "_rows", "_before")
+
+
 def to_catalogue(rows: DataFrame) -> DataFrame:
     """Select the catalogue columns whatever the case of their names; missing ones are null."""
     by_name = {c.strip().lower(): c for c in rows.columns}
