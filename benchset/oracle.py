@@ -492,10 +492,12 @@ _columns = ["file", "chunk", "row_index", *CELLS]
 ORACLE["column_profile"] = f"WITH r AS MATERIALIZED ({RAW}) " + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE CAST({c} AS VARCHAR) NOT IN ('', 'nan')) AS non_null FROM r" for c in _columns)
 ORACLE["structure_profile"] = " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", '{t}' AS type, (SELECT string_agg(v, '|' ORDER BY v) FROM "
-    f"(SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM supplier ORDER BY v LIMIT 3)) AS samples"
+    f"SELECT '{c}' AS \"column\", '{t}' AS type, (SELECT string_agg(v, '|' ORDER BY s_suppkey) FROM "
+    f"(SELECT s_suppkey, CAST({c} AS VARCHAR) AS v FROM supplier ORDER BY s_suppkey LIMIT 3)) AS samples"
     for c, t in (("s_suppkey", "bigint"), ("s_name", "string"), ("s_nationkey", "int"), ("s_acctbal", "double")))
 
+ORACLE["head_rows"] = f"SELECT row_index, date, item_code, sales FROM ({RAW}) ORDER BY row_index LIMIT 10"
+
 ORACLE["kpi"] = f"""
 WITH p AS ({PURCHASES}), i AS ({INVENTORY})
 SELECT (SELECT CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) FROM p) AS total_revenue,

@@ -510,7 +510,13 @@ def column_profile(spark, sf):
 
 @query
 def structure_profile(spark, sf):
-    return audit.structure_profile(R.table(spark, sf, "supplier"))
+    return audit.structure_profile(R.table(spark, sf, "supplier"), ["s_suppkey"])
+
+
+@query
+def head_rows(spark, sf):
+    """The first ten report lines, by place."""
+    return audit.head_rows(raw_cells(spark, sf), ["row_index"], 10).select("row_index", "date", "item_code", "sales")
 
 
 # ---------------------------------------------------------------- dashboards
