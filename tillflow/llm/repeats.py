@@ -5,9 +5,9 @@ context, that is, of everything the windows of an anchor reach (:class:`tillflow
 
 1. A merged sketch flags the grams of anchors that may occur twice; the others cannot repeat.
 2. Occurrences whose whole context occurs elsewhere repeat with all their windows.
-3. Where contexts of one gram differ, the contexts themselves are compared: all with all in groups of at most
-   ``GROUP`` contexts, which are sent whole, else by the hashes of each of their windows, so no group is
-   unbounded. One occurrence per context takes part.
+3. Where contexts of one gram differ, the contexts are sent and their windows compared in one task, up to
+   ``GROUP`` contexts; beyond, the hashes of the single windows are shuffled, so no group is unbounded. One
+   occurrence per context takes part.
 
 A text is named by ``(id, tkey)``, its id and a hash of its text, so rows with equal ids stay apart.
 """
@@ -24,11 +24,12 @@ from pyspark.sql.types import StructType
 
 from tillflow.llm.batches import bounded
 from tillflow.llm.sketch import column_hashes, flags, holds
-from tillflow.llm.units import BYTE_HASH, PLAIN, U64, Anchors, cover, mix, signed, slices, word_bounds, word_hashes
+from tillflow.llm.units import BASES, BYTE_HASH, PLAIN, U64, Anchors, cover, mix, prefix, signed, slices, span
+from tillflow.llm.units import word_bounds, word_hashes
 from tillflow.session import materialise
 
-#: Contexts of one gram that are compared with each other in one task.
-GROUP = 256
+#: Contexts of one gram, each about a window and a half long, that are compared in one task.
+GROUP = 8192
 LAST = (1 << 63) - 1
 NAME = ["id", "tkey"]
 LANES = ["lane1", "lane2"]
@@ -66,8 +67,8 @@ class Earlier:
         return ids
 
     @staticmethod
-    def against(who: np.ndarray, one: int) -> np.ndarray:
-        return who < who[one]
+    def again(who: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return who > np.repeat(np.minimum.reduceat(who, first), size)
 
 
 class Anywhere:
@@ -88,8 +89,8 @@ class Anywhere:
         return tkeys ^ (ids << 24) ^ low
 
     @staticmethod
-    def against(who: np.ndarray, one: int) -> np.ndarray:
-        return np.arange(len(who)) != one
+    def again(who: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return np.repeat(size > 1, size)
 
 
 def named_texts(df: DataFrame, text: str, key: str, carried: list[str] | None = None) -> DataFrame:
@@ -128,44 +129,28 @@ def _occurrences(contexts: DataFrame) -> DataFrame:
 
 
 def _compare(table: pa.Table, window: int, rule: type, width: type) -> pa.Table:
-    """Marks of the windows that contexts of one gram share with others, found by their common extents.
-
-    Around the gram, two contexts agree on some units to the left and to the right; they share just the
-    windows that lie within.
-    """
-    size = table.num_rows
-    ids, tkeys, low, count, left, who = (table[c].combine_chunks().to_numpy()
-                                         for c in ("id", "tkey", "low", "count", "left", "who"))
-    units = [np.frombuffer(u, width) for u in table["units"].to_pylist()]
-    before = np.zeros((size, int(left.max())), width)
-    after_len = np.array([len(u) for u in units]) - left
-    after = np.zeros((size, int(after_len.max())), width)
-    for row, unit in enumerate(units):
-        before[row, :left[row]] = unit[:left[row]][::-1]
-        after[row, :after_len[row]] = unit[left[row]:]
-    out: list[tuple[int, int, int]] = []
-    for row in range(size):
-        other = rule.against(who, row)
-        if not other.any():
-            continue
-        agree = []
-        for side, limit in ((before, left), (after, after_len)):
-            unlike = side != side[row]
-            unlike = np.concatenate([unlike, np.ones((size, 1), bool)], axis=1)
-            agree.append(np.minimum(np.minimum(unlike.argmax(axis=1), limit), limit[row]))
-        start = left[row] - agree[0]
-        end = np.minimum(left[row] + agree[1] - window, count[row] - 1)
-        good = other & (start <= end)
-        if not good.any():
-            continue
-        hit = cover(int(count[row]), start[good], end[good] + 1)
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-        out += [(row, a, z - a) for a, z in zip(edge[::2], edge[1::2])]
-    pick = np.array([o[0] for o in out], np.int64)
-    return pa.table({
-        "id": pa.array(ids[pick], pa.int64()), "tkey": pa.array(tkeys[pick], pa.int64()),
-        "low": pa.array((low[pick] + np.array([o[1] for o in out], np.int64)).astype(np.int32)),
-        "count": pa.array(np.array([o[2] for o in out], np.int32))})
+    """Marks of the windows that contexts of one gram share with others, by the hashes of all their windows."""
+    ids, tkeys, low, count, who = (table[c].combine_chunks().to_numpy() for c in ("id", "tkey", "low", "count", "who"))
+    units = np.frombuffer(b"".join(table["units"].to_pylist()), width)
+    values = BYTE_HASH[units] if width is np.uint8 else units
+    first = np.cumsum(count + window - 1) - (count + window - 1)
+    owner = np.repeat(np.arange(len(count)), count)
+    shift = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    start = first[owner] + shift
+    one, other = (span(prefix(values, base), start, start + window, base) for base in BASES)
+    order = np.lexsort((other, one))
+    differ = np.ones(len(order), bool)
+    differ[1:] = (one[order][1:] != one[order][:-1]) | (other[order][1:] != other[order][:-1])
+    group = np.flatnonzero(differ)
+    again = np.empty(len(order), bool)
+    again[order] = rule.again(who[owner][order], group, np.diff(np.append(group, len(order))))
+    # Runs of marked windows of one context become one mark each.
+    edge = np.concatenate([[True], owner[1:] != owner[:-1]])
+    begin = np.flatnonzero(again & (edge | ~np.concatenate([[False], again[:-1]])))
+    end = np.flatnonzero(again & np.concatenate([edge[1:] | ~again[1:], [True]]))
+    pick = owner[begin]
+    return pa.table({"id": ids[pick], "tkey": tkeys[pick], "low": (low[pick] + shift[begin]).astype(np.int32),
+                     "count": (end - begin + 1).astype(np.int32)})
 
 
 def marks(texts: DataFrame, units: Units, window: int, gram: int, rule: type) -> DataFrame:
@@ -208,9 +193,8 @@ def marks(texts: DataFrame, units: Units, window: int, gram: int, rule: type) ->
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids[at]), pa.array(tkeys[at]), pa.array(low[at].astype(np.int32)),
                     pa.array((found.high - found.low + 1)[at].astype(np.int32)), pa.array(signed(found.gram[at])),
-                    pa.array((found.at - found.low)[at].astype(np.int32)), pa.array(who[at]),
-                    pa.array(parts, pa.binary())],
-                    names=["id", "tkey", "low", "count", "gram", "left", "who", "units"])
+                    pa.array(who[at]), pa.array(parts, pa.binary())],
+                    names=["id", "tkey", "low", "count", "gram", "who", "units"])
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found, ids, tkeys, low, _ in _anchors(batches, units, window, gram):
@@ -227,7 +211,7 @@ def marks(texts: DataFrame, units: Units, window: int, gram: int, rule: type) ->
                 pa.array(who[owner]), *(pa.array(signed(h)) for h in hashes)],
                 names=["id", "tkey", "low", "who", "hash1", "hash2"])
 
-    compared = body.mapInArrow(whole, f"{MARK}, gram long, left int, who long, units binary") \
+    compared = body.mapInArrow(whole, f"{MARK}, gram long, who long, units binary") \
         .groupBy("gram").applyInArrow(lambda t: _compare(t, window, rule, width), MARK)
     windows = materialise(body.mapInArrow(
         single, "id long, tkey long, low int, who long, hash1 long, hash2 long"), "windows")

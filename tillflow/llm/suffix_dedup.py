@@ -7,8 +7,8 @@ A bucket is then refined by the identifiers of all later offsets that its member
 together as one identifier of the context: hashes of content stand for ranks, so a task refines its own places
 without looking others up, and Spark's grouping by identifier takes the place of the sort that separates
 buckets. Members that still agree repeat as a whole. Buckets that the refinement splits are refined once more,
-place by place: by the lengths to which their members agree, or by the identifiers of single strings where a
-bucket is large.
+place by place, by the identifiers of the single strings of their members, in one task or, for large buckets,
+by another grouping.
 """
 
 from __future__ import annotations
