@@ -127,7 +127,7 @@ def test_kneser_ney_against_definition(spark):
     texts = [(" ".join("".join(rnd.choice(syllables[:4 + 2 * kind]) for _ in range(rnd.randint(1, 3)))
                        for _ in range(rnd.randint(3, 30))), kind) for kind in (0, 1) for _ in range(15)]
     top = toxicity.count_runs(spark.createDataFrame(texts, "text string, class int").repartition(3))
-    model = tuple(toxicity.layout(t) for t in toxicity.tables(top))
+    model = tuple(toxicity.layout(t, m) for t, m in zip(toxicity.tables(top), (0.0, 1.0)))
     probability = plain_model(texts)
     units = letters_of("banana moro idiot xyz moroba")
     ratios = toxicity.log_ratios(np.frombuffer(units, np.uint8), *model)

@@ -19,22 +19,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillflow.llm.batches import bounded
-from tillflow.llm.units import BASES, LOWER, U64, byte_table, mix, signed, slices
+from tillflow.llm.units import LOWER, U64, byte_table, mix, signed, slices
 from tillflow.session import materialise
 
 #: Letters of the longest run; the shortest run that each class counts for itself.
 ORDER, OWN_ORDER = 6, 4
 DISCOUNT = 0.75
-#: Slots of each model table, 8 bytes each: runs and contexts of both classes take 64 MB.
+#: Slots of each model table, 10 bytes each: runs and contexts of both classes take 42 MB.
 SLOT_BITS = 21
 SLOTS = 1 << SLOT_BITS
 #: Rows of the calibration fold that the few weights are fitted on at most, smallest hashes first.
 CALIBRATION_ROWS = 50_000
 STRONG = 3.0
+#: Bytes of texts scored together, few enough to stay in a core's cache.
+SLICE_BYTES = 1 << 17
 #: Folds of ``crc32(id as text) mod 5``: never learned from; used for calibration; the rest are counted.
 HELD_OUT, CALIBRATION, FOLDS = 0, 1, 5
 
@@ -109,7 +111,8 @@ def _shorter(column: str, size: int) -> F.Column:
 def tables(top: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(runs, contexts)``: ``size, class, run, n, value`` of all orders; class -1 is shared.
 
-    A run's value is its discounted share of its context; a context's value is what the discount freed.
+    A run's value is its discounted share of its context; a context's value is what the discount freed, for the
+    runs one letter longer.
     """
     levels = []
     counts = top
@@ -125,7 +128,7 @@ def tables(top: DataFrame) -> tuple[DataFrame, DataFrame]:
         keyed = counts.withColumn("context", F.shiftright("run", 8))
         contexts = keyed.groupBy("context", "class").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
         own_contexts.append(contexts.select(
-            F.lit(size).alias("size"), "class", F.col("context").alias("run"), F.col("total").alias("n"),
+            F.lit(size - 1).alias("size"), "class", F.col("context").alias("run"), F.col("total").alias("n"),
             (F.lit(DISCOUNT) * F.col("kinds") / F.col("total")).alias("value")))
         own_runs.append(keyed.join(contexts, ["context", "class"]).select(
             F.lit(size).alias("size"), "class", "run", "n", ((F.col("n") - DISCOUNT) / F.col("total")).alias("value")))
@@ -138,69 +141,81 @@ def tables(top: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both[0], both[1]
 
 
-def _slot(run: np.ndarray, size: np.ndarray | int, kind: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    """A run's slot and its tag, never 0."""
-    table = np.atleast_1d(size).astype(U64) << U64(3) ^ (np.atleast_1d(kind) + 1).astype(U64)
-    hashed = mix(run ^ mix(table ^ U64(BASES[1])))
-    return (hashed >> U64(64 - SLOT_BITS)).astype(np.int64), (hashed & U64(0xFFFF)).astype(np.uint16) | np.uint16(1)
+def _hash(run: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    return mix(run | np.atleast_1d(size).astype(U64) << U64(56))
 
 
-def layout(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """``(tags, values)`` of the table's slots; a slot keeps its most frequent run, the smallest of equals."""
+def layout(table: DataFrame, missing: float) -> tuple[np.ndarray, np.ndarray]:
+    """``(tags, values)`` of the table's slots, the values of both classes side by side.
+
+    A slot keeps its most frequent run, the smallest of equals. Shared runs have one value for both classes; a
+    class that has not seen a run that the other has gets ``missing``.
+    """
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, kind, run, n, value = (batch.column(c).to_numpy() for c in range(5))
-            slot, tag = _slot(run.view(U64), size, kind)
+            hashed = _hash(batch.column(1).to_numpy().view(U64), batch.column(0).to_numpy())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slot.astype(np.int32)), pa.array(n), pa.array(run), pa.array(tag.astype(np.int32)),
-                 pa.array(value)], names=["slot", "n", "run", "tag", "value"])
+                [pa.array((hashed >> U64(64 - SLOT_BITS)).astype(np.int32)), batch.column(2), batch.column(1),
+                 pa.array((hashed & U64(0xFFFF)).astype(np.int32) | 1), batch.column(3), batch.column(4)],
+                names=["slot", "n", "run", "tag", "ordinary", "toxic"])
+
+    def of(kind: int) -> Column:
+        value = F.max(F.when(F.col("class").isin(kind, -1), F.col("value")))
+        return F.coalesce(value, F.lit(missing))
 
-    kept = table.select("size", "class", "run", "n", "value") \
-        .mapInArrow(place, "slot int, n long, run long, tag int, value double") \
-        .groupBy("slot").agg(F.max(F.struct("n", "run", "tag", "value")).alias("most")) \
-        .select("slot", "most.tag", "most.value")
+    kept = table.groupBy("size", "run").agg(F.sum("n").alias("n"), of(0).alias("ordinary"), of(1).alias("toxic")) \
+        .mapInArrow(place, "slot int, n long, run long, tag int, ordinary double, toxic double") \
+        .groupBy("slot").agg(F.max(F.struct("n", "run", "tag", "ordinary", "toxic")).alias("most")) \
+        .select("slot", "most.tag", "most.ordinary", "most.toxic")
 
     def pack(part: pa.Table) -> pa.Table:
+        values = np.stack([part["ordinary"].to_numpy(), part["toxic"].to_numpy()], axis=1)
         return pa.table({
             "slots": pa.array([part["slot"].to_numpy().astype(np.int32).tobytes()]),
             "tags": pa.array([part["tag"].to_numpy().astype(np.uint16).tobytes()]),
-            "values": pa.array([part["value"].to_numpy().astype(np.float32).tobytes()])})
+            "values": pa.array([values.astype(np.float32).tobytes()])})
 
-    tags, values = np.zeros(SLOTS, np.uint16), np.zeros(SLOTS, np.float32)
+    tags, values = np.zeros(SLOTS, np.uint16), np.full((SLOTS, 2), missing, np.float32)
     packed = kept.groupBy(F.shiftright("slot", SLOT_BITS - 6)) \
         .applyInArrow(pack, "slots binary, tags binary, values binary")
     for row in packed.toLocalIterator():
         slot = np.frombuffer(row["slots"], np.int32)
         tags[slot] = np.frombuffer(row["tags"], np.uint16)
-        values[slot] = np.frombuffer(row["values"], np.float32)
+        values[slot] = np.frombuffer(row["values"], np.float32).reshape(-1, 2)
     return tags, values
 
 
-def _look(table: tuple[np.ndarray, np.ndarray], run: np.ndarray, size: int, kind: int, missing: float) -> np.ndarray:
-    slot, tag = _slot(run, size, kind)
-    return np.where(table[0][slot] == tag, table[1][slot], np.float32(missing))
+def _look(table: tuple[np.ndarray, np.ndarray], hashed: np.ndarray, missing: float) -> np.ndarray:
+    """The values of both classes for each run, by its hash."""
+    slot = (hashed >> U64(64 - SLOT_BITS)).astype(np.int64)
+    known = table[0][slot] == (hashed.astype(np.uint16) | np.uint16(1))
+    # Both values are fetched as one number of eight bytes.
+    pair = np.where(known, table[1].view(U64)[slot, 0], np.full(2, missing, np.float32).view(U64))
+    return pair.view(np.float32).reshape(-1, 2)
 
 
 def log_ratios(units: np.ndarray, of_runs, of_contexts) -> np.ndarray:
-    """The log of toxic over ordinary probability of every letter, given the letters before it."""
-    shared = np.full(len(units), 1 / 256, np.float32)
-    both: list[np.ndarray] = []
+    """The log of toxic over ordinary probability of every letter, given the letters before it.
+
+    A run's context is the run one shorter that ends a place earlier, so its hash is there already.
+    """
+    both = np.full((len(units), 2), 1 / 256, np.float32)
+    context = _hash(np.zeros(len(units), U64), 0)
+    run = np.zeros(len(units), U64)
     for size in range(1, ORDER + 1):
-        run = runs(units, size)
-        context = run >> U64(8)
-        if size < OWN_ORDER:
-            shared = _look(of_runs, run, size, -1, 0) + _look(of_contexts, context, size, -1, 1) * shared
-        else:
-            both = [_look(of_runs, run, size, kind, 0) + _look(of_contexts, context, size, kind, 1) * p
-                    for kind, p in enumerate(both or [shared, shared])]
-    return np.log(both[1]) - np.log(both[0])
+        run |= np.roll(units, size - 1).astype(U64) << U64(8 * (size - 1))
+        hashed = _hash(run, size)
+        both = _look(of_runs, hashed, 0) + _look(of_contexts, np.roll(context, 1), 1) * both
+        context = hashed
+    both = np.log(both)
+    return both[:, 1] - both[:, 0]
 
 
 def describe(column: pa.Array, model) -> np.ndarray:
     """``mean, above, strong, n`` of every text: what its score is made of; zeros for a text without letters."""
     parts = [np.zeros((4, 0))]
-    for _, _, data, offsets in slices(column):
+    for _, _, data, offsets in slices(column, SLICE_BYTES):
         units, bounds = _units(data, offsets)
         ratio = log_ratios(units, *model) if len(units) else np.zeros(0)
         ratio = np.where(_within(bounds, ORDER), ratio, 0)
@@ -252,7 +267,7 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                                     F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "id")
     classed = texts.filter(F.col("fold") != HELD_OUT).join(known, "id")
     top = materialise(count_runs(classed.filter(F.col("fold") != CALIBRATION).select("text", "class")), "runs")
-    model = tuple(layout(table) for table in tables(top))
+    model = tuple(layout(table, missing) for table, missing in zip(tables(top), (0.0, 1.0)))
     sample = features(classed.filter(F.col("fold") == CALIBRATION), model) \
         .orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS).collect()
     x = _inputs(*(np.array([r[c] for r in sample], float) for c in ("mean", "above", "strong", "n")))
