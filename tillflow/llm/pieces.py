@@ -35,7 +35,7 @@ MARK = "▁"
 #: Stands for the mark where a text itself holds it; no valid text holds a lone surrogate.
 OWN_MARK = "\ud800"
 #: Edges of cached word lattices before the cache starts anew, and letters of texts drawn together.
-CACHE_EDGES, SLICE_CHARS = 3_000_000, 1 << 19
+CACHE_EDGES, SLICE_CHARS = 2_000_000, 1 << 18
 ZIPF_OFFSET = 10.0
 #: Shares are cut to multiples of 1 / GRID, and logs added as multiples of 1 / FIXED: sums and comparisons are
 #: then exact, whatever texts and words stand beside.
