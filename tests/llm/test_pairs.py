@@ -55,13 +55,13 @@ def expected(rows):
     return sorted(((i, len(s), least.get(r)) for (i, _), s, r in zip(rows, sets, root)), key=repr)
 
 
-@pytest.mark.parametrize("seed,rounds", [(1, 3), (2, 1), (3, 0)])
+@pytest.mark.parametrize("seed,rounds", [(1, 2), (2, 1), (3, 0)])
 def test_documents_against_brute_force(spark, monkeypatch, seed, rounds):
     monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
     rows = documents(seed)
     got = join_similar(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA).repartition(3))
-    assert sorted((tuple(r) for r in got.collect()), key=repr) == expected(rows)
+    assert sorted((tuple(r)[:3] for r in got.collect()), key=repr) == expected(rows)
 
 
 def test_no_documents(spark):

@@ -17,7 +17,7 @@ blocks, and components come from links to pivots, not from all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,8 @@ from tillflow.session import materialise
 LEVEL_BITS, VECTOR = 22, 256
 BLOCK_BITS, MERGE_GROUPS = 16, 64
 #: Pivots per cell before its rest is compared in blocks of this many classes.
-ROUNDS, BLOCK = 3, 1024
+ROUNDS, BLOCK = 2, 1024
+LAST = (1 << 63) - 1
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -113,33 +114,94 @@ def vector_counts(bounds: np.ndarray, shingles: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(spot, minlength=rows * VECTOR), 255).astype(np.uint8).reshape(rows, VECTOR)
 
 
-def _distances(one: list[bytes], other: list[bytes], far: float) -> np.ndarray:
-    """Jaccard distances of pairs of classes; 1 where the count vectors show more than ``far``.
-
-    A class is its count vector followed by its sorted shingles.
-    """
+def _distances(one: list[bytes], other: list[bytes]) -> np.ndarray:
+    """Jaccard distances of pairs of sets, given as their sorted shingles."""
     out = np.ones(len(one))
     for n, (a, b) in enumerate(zip(one, other)):
-        sizes = (len(a) - VECTOR) // 8, (len(b) - VECTOR) // 8
-        apart = np.abs(np.frombuffer(a, np.uint8, VECTOR).astype(np.int16) - np.frombuffer(b, np.uint8, VECTOR)).sum()
-        if apart > far / (2 - far) * sum(sizes) + 1e-6:
-            continue
-        joined = np.concatenate([np.frombuffer(a, U64, offset=VECTOR), np.frombuffer(b, U64, offset=VECTOR)])
+        joined = np.frombuffer(a + b, U64).copy()
         joined.sort(kind="stable")
         both = int((joined[1:] == joined[:-1]).sum())
-        out[n] = 1 - both / (sum(sizes) - both)
+        out[n] = 1 - both / (len(joined) - both)
     return out
 
 
-def measured(pairs: DataFrame, sets: DataFrame, far: float) -> DataFrame:
-    """``a, b, distance`` of pairs of classes."""
+def _named(classes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Names one row of each class, the one with the smallest id."""
+    return mix(classes ^ mix(ids))
+
+
+def _named_columns(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield _named(batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy().view(U64))
+
+
+class Sets:
+    """Where the sets of classes come from: their texts are read again for those that are asked for.
+
+    ``rows`` names the classes of all texts. The text of a class that has the smallest id is found by flags of
+    hashed names, so texts are never shuffled.
+    """
+
+    def __init__(self, texts: DataFrame, rows: DataFrame, size: int):
+        self.texts, self.rows, self.size = texts, rows, size
+
+    def _read(self, classes: DataFrame, schema: str, row_of: Callable) -> DataFrame:
+        ones = self.rows.join(classes, "class").groupBy("class").agg(F.min(F.coalesce("id", F.lit(LAST))).alias("one"))
+        chosen = self.texts.sparkSession.sparkContext.broadcast(flags(ones, _named_columns, 1))
+        size = self.size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                given = batch.column(0).fill_null(LAST).to_numpy().view(U64)
+                for first, bounds, shingles in shingle_sets(batch.column(1), size):
+                    ids = class_ids(bounds, shingles)
+                    some = np.flatnonzero(holds(chosen.value, _named(ids, given[first:first + len(ids)])))
+                    if len(some):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(signed(ids[some])), *row_of(some, bounds, shingles)],
+                            names=["class", *schema.replace(",", "").split()[::2]])
+
+        found = self.texts.mapInArrow(run, f"class long, {schema}")
+        return found.join(classes, "class", "left_semi").dropDuplicates(["class"])
+
+    def whole(self, classes: DataFrame) -> DataFrame:
+        """``class, set`` with the sorted shingles."""
+        def row_of(some: np.ndarray, bounds: np.ndarray, shingles: np.ndarray) -> list[pa.Array]:
+            return [pa.array([shingles[bounds[r]:bounds[r + 1]].tobytes() for r in some], pa.binary())]
+
+        return materialise(self._read(classes, "set binary", row_of), "sets")
+
+    def counted(self, classes: DataFrame) -> DataFrame:
+        """``class, size, vector`` with the counts of shingles by hash."""
+        def row_of(some: np.ndarray, bounds: np.ndarray, shingles: np.ndarray) -> list[pa.Array]:
+            vectors = vector_counts(bounds, shingles)
+            return [pa.array(np.diff(bounds)[some]), pa.array([vectors[r].tobytes() for r in some], pa.binary())]
+
+        return materialise(self._read(classes, "size long, vector binary", row_of), "vectors")
+
+
+def measured(pairs: DataFrame, light: DataFrame, sets: Sets, far: float) -> DataFrame:
+    """``a, b, distance`` of the pairs of classes that their count vectors leave within ``far``; others are not."""
+
+    @F.arrow_udf("boolean")
+    def near(one: pa.Array, other: pa.Array, size: pa.Array, other_size: pa.Array) -> pa.Array:
+        if not len(one):
+            return pa.array([], pa.bool_())
+        left, right = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(-1, VECTOR).astype(np.int16)
+                       for v in (one, other))
+        total = size.to_numpy() + other_size.to_numpy()
+        return pa.array(np.abs(left - right).sum(axis=1) <= far / (2 - far) * total + 1e-6)
 
     @F.arrow_udf("double")
     def distance(one: pa.Array, other: pa.Array) -> pa.Array:
-        return pa.array(_distances(one.to_pylist(), other.to_pylist(), far), pa.float64())
+        return pa.array(_distances(one.to_pylist(), other.to_pylist()), pa.float64())
 
-    a, b = (sets.select(F.col("class").alias(c), F.col("set").alias(f"{c}_set")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", distance("a_set", "b_set").alias("distance"))
+    a, b = (light.select(F.col("class").alias(c), F.col("vector").alias(f"{c}_vector"), F.col("size").alias(f"{c}_size"))
+            for c in "ab")
+    close = materialise(pairs.join(a, "a").join(b, "b").filter(near("a_vector", "b_vector", "a_size", "b_size"))
+                        .select("a", "b"), "near")
+    whole = sets.whole(close.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+    a, b = (whole.select(F.col("class").alias(c), F.col("set").alias(f"{c}_set")) for c in "ab")
+    return close.join(a, "a").join(b, "b").select("a", "b", distance("a_set", "b_set").alias("distance"))
 
 
 def _near(table: pa.Table, apart: float) -> pa.Table:
@@ -157,15 +219,13 @@ def _near(table: pa.Table, apart: float) -> pa.Table:
     return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
 
-def rest_pairs(members: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
+def rest_pairs(members: DataFrame, light: DataFrame, limit: float) -> DataFrame:
     """``a, b``: pairs of classes that share a cell and may be within ``limit``; equal cells are compared once."""
     cells = members.groupBy("cell").agg(
         F.count("*").alias("n"), F.min("class").alias("least"), F.max("class").alias("most"),
         F.bit_xor(F.xxhash64("class")).alias("mixed")).filter("n > 1")
     cells = cells.groupBy("n", "least", "most", "mixed").agg(F.min("cell").alias("cell")) \
         .select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    light = sets.select("class", (F.length("set") / 8 - VECTOR / 8).cast("long").alias("size"),
-                        F.substring("set", 1, VECTOR).alias("vector"))
     placed = members.join(cells, "cell").join(light, "class") \
         .withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
@@ -174,7 +234,7 @@ def rest_pairs(members: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
         lambda t: _near(t, limit / (2 - limit)), "a long, b long").distinct()
 
 
-def linked_classes(sigs: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
+def linked_classes(sigs: DataFrame, light: DataFrame, sets: Sets, limit: float) -> DataFrame:
     """``a, b``: links that connect all linked classes, from ``cell, class`` of every class's first shingles."""
     members, links = sigs, []
     for _ in range(ROUNDS):
@@ -182,10 +242,10 @@ def linked_classes(sigs: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
             .filter("pivot < other").select("cell", "pivot")
         around = materialise(members.join(pivots, "cell").filter("class > pivot"), "cells")
         found = materialise(measured(around.select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct(),
-                                     sets, 2 * limit), "distances")
+                                     light, sets, 2 * limit), "distances")
         links.append(found.filter(F.col("distance") <= limit + 1e-9).select("a", "b"))
         known = around.join(found.select(F.col("a").alias("class"), F.col("b").alias("pivot"), "distance"),
-                            ["class", "pivot"])
+                            ["class", "pivot"], "left").withColumn("distance", F.coalesce("distance", F.lit(1.0)))
         # Outside the region all stay; of the region, those that reach the nearest one outside.
         outside = F.col("distance") > limit + 1e-9
         edge = known.groupBy("cell").agg(F.min(F.when(outside, F.col("distance"))).alias("nearest"),
@@ -193,7 +253,7 @@ def linked_classes(sigs: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
         members = materialise(
             known.join(edge, "cell").filter(outside | (F.col("distance") >= F.col("nearest") - limit - 1e-9))
             .select("cell", "class"), "members")
-    rest = measured(rest_pairs(members, sets, limit), sets, limit)
+    rest = measured(rest_pairs(members, light, limit), light, sets, limit)
     links.append(materialise(rest.filter(F.col("distance") <= limit + 1e-9).select("a", "b"), "rest"))
     whole = links[0]
     for part in links[1:]:
@@ -201,15 +261,6 @@ def linked_classes(sigs: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
     return whole
 
 
-def _named(classes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Names one row of each class, the one with the smallest id."""
-    return mix(classes ^ mix(ids))
-
-
-def _named_columns(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    yield _named(batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy().view(U64))
-
-
 def join_similar(df: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 80, size: int = 5) -> DataFrame:
     """``key, n_shingles, component_id, text_hash`` for every row of ``df``.
 
@@ -255,26 +306,8 @@ def join_similar(df: DataFrame, text: str = "text", key: str = "doc_id", percent
         .filter("least < most").select("cell")
     members = materialise(sigs.join(shared, "cell").distinct(), "members")
     wanted = members.select("class").distinct()
-    ones = rows.join(wanted, "class").groupBy("class").agg(F.min(F.coalesce("id", F.lit((1 << 63) - 1))).alias("one"))
-    chosen = spark.sparkContext.broadcast(flags(ones, _named_columns, 1))
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = (1 << 63) - 1
-        for batch in batches:
-            given = batch.column(0).fill_null(last).to_numpy().view(U64)
-            for first, bounds, shingles in shingle_sets(batch.column(1), size):
-                ids = class_ids(bounds, shingles)
-                some = np.flatnonzero(holds(chosen.value, _named(ids, given[first:first + len(ids)])))
-                if len(some):
-                    vectors = vector_counts(bounds, shingles)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(signed(ids[some])),
-                         pa.array([vectors[r].tobytes() + shingles[bounds[r]:bounds[r + 1]].tobytes() for r in some],
-                                  pa.binary())], names=["class", "set"])
-
-    sets = materialise(texts.mapInArrow(collect, "class long, set binary").join(wanted, "class", "left_semi")
-                       .dropDuplicates(["class"]), "sets")
-    roots = components(linked_classes(members, sets, limit))
+    sets = Sets(texts.select("id", "text"), rows, size)
+    roots = components(linked_classes(members, sets.counted(wanted), sets, limit))
     known = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("id").alias("least"))
     named = known.join(roots, known["class"] == roots["node"], "left").select(
         "class", "least", F.coalesce("root", "class").alias("root"))
