@@ -18,6 +18,7 @@ blocks, and components come from links to pivots, not from all pairs.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -206,13 +207,14 @@ def measured(pairs: DataFrame, light: DataFrame, sets: Sets, far: float) -> Data
 
 def _near(table: pa.Table, apart: float) -> pa.Table:
     """Pairs of classes of one cell and pair of blocks whose count vectors leave them near enough."""
-    ids, own, sizes = (table[c].to_numpy() for c in ("class", "own", "size"))
+    ids, own, sizes, roots = (table[c].to_numpy() for c in ("class", "own", "size", "root"))
     low, high = int(table["low"][0].as_py()), int(table["high"][0].as_py())
     vectors = np.frombuffer(b"".join(table["vector"].to_pylist()), np.uint8).reshape(-1, VECTOR).astype(np.int16)
     right = np.flatnonzero(own == high)
     out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for one in np.flatnonzero(own == low):
         other = right[ids[right] > ids[one]] if low == high else right
+        other = other[roots[other] != roots[one]]
         other = other[np.abs(vectors[other] - vectors[one]).sum(axis=1) <= apart * (sizes[other] + sizes[one]) + 1e-6]
         out_a.append(np.full(len(other), ids[one]))
         out_b.append(ids[other])
@@ -220,10 +222,14 @@ def _near(table: pa.Table, apart: float) -> pa.Table:
 
 
 def rest_pairs(members: DataFrame, light: DataFrame, limit: float) -> DataFrame:
-    """``a, b``: pairs of classes that share a cell and may be within ``limit``; equal cells are compared once."""
+    """``a, b``: pairs of classes that share a cell and may be within ``limit``; equal cells are compared once.
+
+    ``members`` has ``cell, class, root``; classes of one root are connected already and not compared.
+    """
     cells = members.groupBy("cell").agg(
         F.count("*").alias("n"), F.min("class").alias("least"), F.max("class").alias("most"),
-        F.bit_xor(F.xxhash64("class")).alias("mixed")).filter("n > 1")
+        F.bit_xor(F.xxhash64("class")).alias("mixed"),
+        F.min("root").alias("one"), F.max("root").alias("other")).filter("one < other")
     cells = cells.groupBy("n", "least", "most", "mixed").agg(F.min("cell").alias("cell")) \
         .select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     placed = members.join(cells, "cell").join(light, "class") \
@@ -253,12 +259,11 @@ def linked_classes(sigs: DataFrame, light: DataFrame, sets: Sets, limit: float)
         members = materialise(
             known.join(edge, "cell").filter(outside | (F.col("distance") >= F.col("nearest") - limit - 1e-9))
             .select("cell", "class"), "members")
-    rest = measured(rest_pairs(members, light, limit), light, sets, limit)
-    links.append(materialise(rest.filter(F.col("distance") <= limit + 1e-9).select("a", "b"), "rest"))
-    whole = links[0]
-    for part in links[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    known = reduce(DataFrame.unionByName, links, light.filter("false").select(F.col("class").alias("a"), F.col("class").alias("b")))
+    roots = components(known).withColumnRenamed("node", "class")
+    members = members.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rest = measured(rest_pairs(materialise(members, "members"), light, limit), light, sets, limit)
+    return known.unionByName(materialise(rest.filter(F.col("distance") <= limit + 1e-9).select("a", "b"), "rest"))
 
 
 def join_similar(df: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 80, size: int = 5) -> DataFrame:
