@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from tillflow.session import materialise
 
 
+def seal_of(links: DataFrame) -> tuple:
+    """Count and combined hash of distinct links: equal for equal tables."""
+    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root``: the smallest node that each node of ``links`` (``a, b``) reaches.
 
@@ -19,6 +24,7 @@ def components(links: DataFrame) -> DataFrame:
     both = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
     links = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                         .filter("a <> b").distinct(), "links")
+    sealed = seal_of(links)
     while True:
         sides = links.select(F.explode(both).alias("e")).select("e.*")
         least = sides.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
@@ -30,9 +36,10 @@ def components(links: DataFrame) -> DataFrame:
             small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")),
                                            F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.*").filter("a <> b").distinct(), "links")
-        if not fresh.exceptAll(links).limit(1).count() and not links.exceptAll(fresh).limit(1).count():
+        seal, links = seal_of(fresh), fresh
+        if seal == sealed:
             break
-        links = fresh
+        sealed = seal
     roots = links.groupBy("a").agg(F.min("b").alias("root"))
     tops = links.select(F.col("b").alias("node")).distinct().join(roots, F.col("node") == roots["a"], "left_anti")
     return roots.select(F.col("a").alias("node"), "root").unionByName(tops.select("node", F.col("node").alias("root")))
