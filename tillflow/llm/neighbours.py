@@ -22,7 +22,7 @@ from tillflow.session import materialise
 #: Rows that the parts are learned from, at most, and rows per part of that sample.
 SAMPLE_ROWS, PART_ROWS = 8192, 256
 GRAPH_K, HIDDEN, STEPS, RATE, SEED = 10, 96, 600, 0.01, 5
-RECALL, HELD_OUT = 0.95, 512
+RECALL, HELD_OUT = 0.97, 512
 #: Rows and queries that one task compares.
 CHUNK = 8192
 
