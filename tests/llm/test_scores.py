@@ -136,6 +136,30 @@ def test_kneser_ney_against_definition(spark):
         assert ratios[k] == pytest.approx(math.log(probability(run, 1) / probability(run, 0)), abs=2e-4)
 
 
+def test_no_run_is_lost(spark):
+    runs = 3_000_000
+    table = toxicity.layout(spark.range(runs).selectExpr(
+        "6 AS size", "cast(id % 2 AS int) AS class", "id AS run", "1L AS n", "cast(id % 7 + 1 AS double) AS value"), 0.0)
+    number = np.arange(runs + 1000, dtype=np.uint64)
+    found = table.look(toxicity._hash(number, 6))
+    want = np.zeros((runs + 1000, 2))
+    want[np.arange(runs), np.arange(runs) % 2] = np.arange(runs) % 7 + 1
+    assert (found == want).all()
+
+
+def test_shards_score_as_one(spark):
+    docs, labels = labelled(120, 8, lambda: "idiot")
+    kind = {i: k for i, k, _ in labels if k in (0, 1)}
+    texts = spark.createDataFrame([(t, kind[i]) for i, t in docs if i in kind and t], "text string, class int")
+    top = toxicity.materialise(toxicity.count_runs(texts), "runs")
+    one, many = toxicity.build(top), toxicity.build(top, 300)
+    assert len(one) == 1 and len(many) > 2
+    column = pa.array([t for _, t in docs] + ["unseen zzyzx words", "a"])
+    assert toxicity.describe(column, many) == pytest.approx(toxicity.describe(column, one), abs=1e-9)
+    smallest = min(len(t[0].records) for t in many)
+    assert smallest < 0.7 * len(next(iter(one))[0].records)
+
+
 def labelled(n, seed, mark):
     rnd = random.Random(seed)
     words = ["the", "river", "stone", "cloud", "walked", "under", "seven", "market", "lamp", "winter"]

@@ -6,8 +6,9 @@ folds; shorter runs count their distinct continuations, as Kneser-Ney does. Belo
 classes back off to one shared model, so an expression that one class has hardly seen costs both the same.
 
 Every run interpolates ``a(run) + b(context) * P(shorter run)``. The tables of ``a`` and ``b`` are made with
-joins and aggregates, grow with the text, and are laid out in ``SLOTS`` slots by hash; each slot keeps the run
-that its class saw most, with a tag that tells other runs apart. What the tasks get is bounded by ``SLOTS``.
+joins and aggregates, grow with the text, and hold every run. For scoring they are dealt into shards of about
+``SHARD_RUNS`` runs by the letters before the scored one: all that a letter's probability needs lies in one
+shard, so a text's sums add up over shards, and tasks hold one shard at a time.
 
 A text's score is logistic in the mean log ratio per letter, its positive part, and the share of letters whose
 ratio is strong; the few weights are fitted on the fold that no count has seen.
@@ -19,19 +20,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillflow.llm.batches import bounded
 from tillflow.llm.units import LOWER, U64, byte_table, mix, signed, slices
-from tillflow.session import materialise
+from tillflow.session import materialise, new_dir
 
 #: Letters of the longest run; the shortest run that each class counts for itself.
 ORDER, OWN_ORDER = 6, 4
 DISCOUNT = 0.75
-#: Slots of each model table, 10 bytes each: runs and contexts of both classes take 42 MB.
-SLOT_BITS = 21
-SLOTS = 1 << SLOT_BITS
+#: Runs and contexts of one shard, about; each takes 32 bytes of a task's memory.
+SHARD_RUNS = 1 << 22
+#: Letters before the scored one that choose its shard. Shorter contexts, and runs up to this size, are in every shard.
+SHARD_LETTERS = 3
+SPREAD, SPREAD_BITS = 2654435761, 20
+#: The key of an empty slot; no run has this hash.
+EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 #: Rows of the calibration fold that the few weights are fitted on at most, smallest hashes first.
 CALIBRATION_ROWS = 50_000
 STRONG = 3.0
@@ -145,95 +151,164 @@ def _hash(run: np.ndarray, size: np.ndarray | int) -> np.ndarray:
     return mix(run | np.atleast_1d(size).astype(U64) << U64(56))
 
 
-def layout(table: DataFrame, missing: float) -> tuple[np.ndarray, np.ndarray]:
-    """``(tags, values)`` of the table's slots, the values of both classes side by side.
+class Table:
+    """The values of both classes for every run given, by the run's hash, which no other run has.
 
-    A slot keeps its most frequent run, the smallest of equals. Shared runs have one value for both classes; a
-    class that has not seen a run that the other has gets ``missing``.
+    Runs lie in the order of their hashes, each in the first free slot from the one its hash points to.
     """
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashed = _hash(batch.column(1).to_numpy().view(U64), batch.column(0).to_numpy())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((hashed >> U64(64 - SLOT_BITS)).astype(np.int32)), batch.column(2), batch.column(1),
-                 pa.array((hashed & U64(0xFFFF)).astype(np.int32) | 1), batch.column(3), batch.column(4)],
-                names=["slot", "n", "run", "tag", "ordinary", "toxic"])
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: float):
+        order = np.argsort(keys)
+        self.slots = 2 * len(keys) + 1
+        at = np.arange(len(keys))
+        at += np.maximum.accumulate(self._home(keys[order]) - at) if len(keys) else 0
+        self.records = np.empty((max(self.slots, int(at[-1]) + 1 if len(at) else 0) + 1, 2), U64)
+        # Both values are kept and fetched as one number of eight bytes.
+        self.missing = np.full(2, missing, np.float32).view(U64)[0]
+        self.records[:, 0], self.records[:, 1] = EMPTY, self.missing
+        self.records[at, 0] = keys[order]
+        self.records[at, 1] = values[order].view(U64)[:, 0]
+
+    def _home(self, hashed: np.ndarray) -> np.ndarray:
+        return ((hashed >> U64(32)) * U64(self.slots) >> U64(32)).astype(np.int64)
+
+    def look(self, hashed: np.ndarray) -> np.ndarray:
+        slot = self._home(hashed)
+        key = self.records[slot, 0]
+        pair = np.where(key == hashed, self.records[slot, 1], self.missing)
+        some = np.flatnonzero(key < hashed)
+        slot = slot[some]
+        while len(some):
+            slot = slot + 1
+            key = self.records[slot, 0]
+            hit = key == hashed[some]
+            pair[some[hit]] = self.records[slot[hit], 1]
+            more = key < hashed[some]
+            some, slot = some[more], slot[more]
+        return pair.view(np.float32).reshape(-1, 2)
+
+
+class Model:
+    """The shards of the tables ``(runs, contexts)``; a task that needs several holds one at a time."""
+
+    def __init__(self, shards: list[Broadcast]):
+        self.shards = shards
+
+    def __len__(self) -> int:
+        return len(self.shards)
+
+    def __iter__(self) -> Iterator[tuple[Table, Table]]:
+        for shard in self.shards:
+            yield shard.value
+            if len(self.shards) > 1:
+                shard.__dict__.pop("_value", None)
+
+
+def _sided(table: DataFrame, missing: float) -> DataFrame:
+    """``size, run, ordinary, toxic``: one row per run. Shared runs have one value for both classes; a class that
+    has not seen a run that the other has gets ``missing``.
+    """
 
     def of(kind: int) -> Column:
         value = F.max(F.when(F.col("class").isin(kind, -1), F.col("value")))
-        return F.coalesce(value, F.lit(missing))
-
-    kept = table.groupBy("size", "run").agg(F.sum("n").alias("n"), of(0).alias("ordinary"), of(1).alias("toxic")) \
-        .mapInArrow(place, "slot int, n long, run long, tag int, ordinary double, toxic double") \
-        .groupBy("slot").agg(F.max(F.struct("n", "run", "tag", "ordinary", "toxic")).alias("most")) \
-        .select("slot", "most.tag", "most.ordinary", "most.toxic")
-
-    def pack(part: pa.Table) -> pa.Table:
-        values = np.stack([part["ordinary"].to_numpy(), part["toxic"].to_numpy()], axis=1)
-        return pa.table({
-            "slots": pa.array([part["slot"].to_numpy().astype(np.int32).tobytes()]),
-            "tags": pa.array([part["tag"].to_numpy().astype(np.uint16).tobytes()]),
-            "values": pa.array([values.astype(np.float32).tobytes()])})
-
-    tags, values = np.zeros(SLOTS, np.uint16), np.full((SLOTS, 2), missing, np.float32)
-    packed = kept.groupBy(F.shiftright("slot", SLOT_BITS - 6)) \
-        .applyInArrow(pack, "slots binary, tags binary, values binary")
-    for row in packed.toLocalIterator():
-        slot = np.frombuffer(row["slots"], np.int32)
-        tags[slot] = np.frombuffer(row["tags"], np.uint16)
-        values[slot] = np.frombuffer(row["values"], np.float32).reshape(-1, 2)
-    return tags, values
-
-
-def _look(table: tuple[np.ndarray, np.ndarray], hashed: np.ndarray, missing: float) -> np.ndarray:
-    """The values of both classes for each run, by its hash."""
-    slot = (hashed >> U64(64 - SLOT_BITS)).astype(np.int64)
-    known = table[0][slot] == (hashed.astype(np.uint16) | np.uint16(1))
-    # Both values are fetched as one number of eight bytes.
-    pair = np.where(known, table[1].view(U64)[slot, 0], np.full(2, missing, np.float32).view(U64))
-    return pair.view(np.float32).reshape(-1, 2)
-
-
-def log_ratios(units: np.ndarray, of_runs, of_contexts) -> np.ndarray:
-    """The log of toxic over ordinary probability of every letter, given the letters before it.
+        return F.coalesce(value, F.lit(missing)).cast("float")
+
+    return table.groupBy("size", "run").agg(of(0).alias("ordinary"), of(1).alias("toxic"))
+
+
+def _laid(sided: DataFrame, missing: float) -> Table:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _hash(batch.column(1).to_numpy().view(U64), batch.column(0).to_numpy())
+            values = np.stack([batch.column(2).to_numpy(), batch.column(3).to_numpy()], axis=1).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()]), pa.array([values.tobytes()])],
+                                             names=["keys", "values"])
+
+    packed = sided.select("size", "run", "ordinary", "toxic").mapInArrow(pack, "keys binary, values binary")
+    found = [(np.frombuffer(row["keys"], U64), np.frombuffer(row["values"], np.float32).reshape(-1, 2))
+             for row in packed.toLocalIterator()]
+    if not found:
+        return Table(np.zeros(0, U64), np.zeros((0, 2), np.float32), missing)
+    return Table(np.concatenate([k for k, _ in found]), np.concatenate([v for _, v in found]), missing)
+
+
+def layout(table: DataFrame, missing: float) -> Table:
+    """All runs of the table, for lookups by hash."""
+    return _laid(_sided(table, missing), missing)
+
+
+def _dealt(sided: DataFrame, number: int, last: int) -> DataFrame:
+    """``sided`` stored by ``shard``; the letters that choose it end ``last`` letters before the end of the run."""
+    letters_of = F.shiftright("run", 8 * last).bitwiseAND(F.lit((1 << 8 * SHARD_LETTERS) - 1))
+    one = F.array((F.shiftright(letters_of * F.lit(SPREAD), SPREAD_BITS) % number).cast("int"))
+    every = F.array(*(F.lit(n) for n in range(number)))
+    short = F.col("size") < SHARD_LETTERS + last
+    path = new_dir(sided.sparkSession, "shards")
+    sided.withColumn("shard", F.explode(F.when(short, every).otherwise(one))).write.partitionBy("shard").parquet(path)
+    return sided.sparkSession.read.schema("size int, run long, ordinary float, toxic float, shard int").parquet(path)
+
+
+def build(top: DataFrame, shard_runs: int | None = None) -> Model:
+    """The model of all runs, in as many shards as their number asks for."""
+    context = top.sparkSession.sparkContext
+    sided = [(materialise(_sided(table, missing), "sided"), missing, last)
+             for table, missing, last in zip(tables(top), (0.0, 1.0), (1, 0))]
+    number = -(-sum(rows.count() for rows, _, _ in sided) // (shard_runs or SHARD_RUNS))
+    if number <= 1:
+        return Model([context.broadcast(tuple(_laid(rows, missing) for rows, missing, _ in sided))])
+    dealt = [(_dealt(rows, number, last), missing) for rows, missing, last in sided]
+    return Model([context.broadcast(tuple(_laid(rows.filter(F.col("shard") == shard), missing) for rows, missing in dealt))
+                  for shard in range(number)])
+
+
+def shard_of(units: np.ndarray, number: int) -> np.ndarray:
+    """The shard of every letter, chosen by the letters before it."""
+    before = np.roll(runs(units, SHARD_LETTERS), 1)
+    return (before * U64(SPREAD) >> U64(SPREAD_BITS)) % U64(number)
+
+
+def log_ratios(units: np.ndarray, of_runs: Table, of_contexts: Table, places: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """The log of toxic over ordinary probability of every letter at ``places``, given the letters before it.
 
     A run's context is the run one shorter that ends a place earlier, so its hash is there already.
     """
-    both = np.full((len(units), 2), 1 / 256, np.float32)
+    both = np.full((len(units[places]), 2), 1 / 256, np.float32)
     context = _hash(np.zeros(len(units), U64), 0)
     run = np.zeros(len(units), U64)
     for size in range(1, ORDER + 1):
         run |= np.roll(units, size - 1).astype(U64) << U64(8 * (size - 1))
         hashed = _hash(run, size)
-        both = _look(of_runs, hashed, 0) + _look(of_contexts, np.roll(context, 1), 1) * both
+        both = of_runs.look(hashed[places]) + of_contexts.look(np.roll(context, 1)[places]) * both
         context = hashed
     both = np.log(both)
     return both[:, 1] - both[:, 0]
 
 
-def describe(column: pa.Array, model) -> np.ndarray:
+def describe(column: pa.Array, model: Model) -> np.ndarray:
     """``mean, above, strong, n`` of every text: what its score is made of; zeros for a text without letters."""
-    parts = [np.zeros((4, 0))]
-    for _, _, data, offsets in slices(column, SLICE_BYTES):
-        units, bounds = _units(data, offsets)
-        ratio = log_ratios(units, *model) if len(units) else np.zeros(0)
-        ratio = np.where(_within(bounds, ORDER), ratio, 0)
-        n = np.maximum(np.diff(bounds) - (ORDER - 1), 0)
-        sums = [np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])
-                for x in (ratio, np.maximum(ratio, 0), ratio > STRONG)]
-        parts.append(np.stack([(s[bounds[1:]] - s[bounds[:-1]]) / np.maximum(n, 1) for s in sums] + [n]))
-    return np.concatenate(parts, axis=1)
+    total = np.zeros((3, len(column)))
+    n = np.zeros(len(column))
+    for shard, (of_runs, of_contexts) in enumerate(model if len(column) else ()):
+        for first, last, data, offsets in slices(column, SLICE_BYTES):
+            units, bounds = _units(data, offsets)
+            whole = _within(bounds, ORDER)
+            places = np.flatnonzero(whole if len(model) == 1 else whole & (shard_of(units, len(model)) == shard))
+            ratio = np.zeros(len(units))
+            if len(places):
+                ratio[places] = log_ratios(units, of_runs, of_contexts, places)
+            n[first:last] = np.maximum(np.diff(bounds) - (ORDER - 1), 0)
+            sums = [np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])
+                    for x in (ratio, np.maximum(ratio, 0), ratio > STRONG)]
+            total[:, first:last] += np.stack([s[bounds[1:]] - s[bounds[:-1]] for s in sums])
+    return np.concatenate([total / np.maximum(n, 1), n[None]])
 
 
 def features(texts: DataFrame, model) -> DataFrame:
     """``id, class`` and what :func:`describe` finds, for every row."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2)] + [pa.array(f) for f in describe(batch.column(1), shared.value)],
+                [batch.column(0), batch.column(2)] + [pa.array(f) for f in describe(batch.column(1), model)],
                 names=["id", "class", "mean", "above", "strong", "n"])
 
     return texts.select("id", "text", "class").mapInArrow(
@@ -267,7 +342,7 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                                     F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "id")
     classed = texts.filter(F.col("fold") != HELD_OUT).join(known, "id")
     top = materialise(count_runs(classed.filter(F.col("fold") != CALIBRATION).select("text", "class")), "runs")
-    model = tuple(layout(table, missing) for table, missing in zip(tables(top), (0.0, 1.0)))
+    model = build(top)
     sample = features(classed.filter(F.col("fold") == CALIBRATION), model) \
         .orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS).collect()
     x = _inputs(*(np.array([r[c] for r in sample], float) for c in ("mean", "above", "strong", "n")))
@@ -276,11 +351,10 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
 def scorer(spark: SparkSession, trained):
     """A column function from texts to scores; null and empty texts get the score of no evidence."""
-    shared = spark.sparkContext.broadcast(trained)
+    model, weights = trained
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
-        model, weights = shared.value
         return pa.array(1 / (1 + np.exp(-np.clip(_inputs(*describe(column, model)) @ weights, -500, 500))))
 
     return score
