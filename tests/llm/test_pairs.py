@@ -104,3 +104,19 @@ def test_vectors_against_brute_force(spark, monkeypatch, seed):
     assert missed <= 0.02 * sum(w[0] for w in want.values())
     if not missed:
         assert found == want
+
+
+@pytest.mark.parametrize("mean,shard_rows", [(0.0, 1 << 15), (1.0, 1 << 15), (1.0, 100)])
+def test_no_link_at_the_limit_is_lost(spark, monkeypatch, mean, shard_rows):
+    monkeypatch.setattr(vector_dedup, "SHARD_ROWS", shard_rows)
+    random_state = np.random.default_rng(9)
+    common = mean * np.ones(64)
+    rows = np.concatenate([common + random_state.normal(size=(1, 64)) + random_state.normal(size=(4, 64)) * (0.33 + 0.1 * mean)
+                           for _ in range(150)])
+    unit = vector_dedup.unit(rows)
+    close = unit @ unit.T >= 0.9
+    root = brute.components([(a, b) for a, b in np.argwhere(np.tril(close, -1)).tolist()], len(rows))
+    got = link_vectors(spark.createDataFrame(list(enumerate(rows.tolist())), "vec_id long, embedding array<double>"))
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got.collect()}
+    assert close.sum() - len(rows) > 100
+    assert found == {i: (int(close[i].sum()) - 1, root[i]) for i in range(len(rows))}

@@ -5,6 +5,10 @@ whose Hamming distances follow their angles. Codes are looked up in ``TABLES`` t
 under every key within one bit: vectors meet if any part differs by at most two bits. Pairs within ``RADIUS``
 bits are ranked again by the cosine of the original vectors, so no false link remains.
 
+Links whose codes lie farther apart come from an exact pass: every vector is compared with the vectors of one
+shard after another, in chunks that lie within a window of angles around a pivot. Chunks that the triangle
+inequality of angles proves too far are skipped; on vectors without structure none are, and the pass is quadratic.
+
 Equal vectors count as one with a multiplicity. Dense groups are not expanded into pairs: vectors within half
 the limiting angle of one leader are all linked with each other, which the triangle inequality of angles proves,
 so such a clique is counted by its size, and only pairs that no clique holds are compared.
@@ -31,6 +35,10 @@ PART_BITS = BITS // TABLES
 RADIUS = 20
 #: Rows of one key that one task compares; larger keys are divided into blocks.
 BLOCK = 4096
+#: Vectors of one shard of the exact pass, of one of its chunks, and pivots whose angles order them.
+SHARD_ROWS, CHUNK, PIVOTS = 32_768, 512, 64
+#: What single precision may take from a cosine; pairs that near to the limit are decided in double precision.
+ROUNDING = 1e-4
 #: Candidate leaders per key, and how often leaders spread.
 LEADERS, SPREADS = 32, 3
 
@@ -193,11 +201,106 @@ def candidates(coded: DataFrame) -> DataFrame:
     return placed.groupBy("table", "part", "low", "high").applyInArrow(_pairs, "a long, b long")
 
 
+def _covered(differ: np.ndarray) -> np.ndarray:
+    """Whether codes that differ so meet in the tables within ``RADIUS`` bits."""
+    least = np.min([_ones(_part(differ, table)) for table in range(TABLES)], axis=0)
+    return (least <= 2) & (_ones(differ) <= RADIUS)
+
+
+def _angles(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(rows @ pivots.T, -1, 1))
+
+
+def far_pivots(rows: np.ndarray) -> np.ndarray:
+    """Up to ``PIVOTS`` of the rows, each the one farthest from those before it."""
+    chosen = rows[:1]
+    nearest = rows @ chosen[0] if len(rows) else np.zeros(0)
+    while 0 < len(chosen) < min(PIVOTS, len(rows)):
+        chosen = np.concatenate([chosen, rows[[nearest.argmin()]]])
+        nearest = np.maximum(nearest, rows @ chosen[-1])
+    return chosen
+
+
+class Shard:
+    """Vectors in chunks of one pivot each, with the least and the largest angle of a chunk to its pivot."""
+
+    def __init__(self, ids: np.ndarray, codes: np.ndarray, leaders: np.ndarray, rows: np.ndarray, pivots: np.ndarray):
+        angles = _angles(rows, pivots)
+        pivot = angles.argmin(axis=1)
+        angle = angles[np.arange(len(rows)), pivot]
+        order = np.lexsort((angle, pivot))
+        self.ids, self.codes, self.leaders = ids[order], codes[order], leaders[order]
+        self.rows, self.pivots = rows[order].astype(np.float32), pivots
+        self.chunks = []
+        for number in np.unique(pivot):
+            first, end = np.searchsorted(pivot[order], [number, number + 1])
+            for start in range(first, end, CHUNK):
+                stop = min(start + CHUNK, end)
+                self.chunks.append((start, stop, number, angle[order[start]], angle[order[stop - 1]]))
+
+    def missed(self, ids: np.ndarray, codes: np.ndarray, leaders: np.ndarray, rows: np.ndarray, same: np.ndarray,
+               cosine: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs near the limit or above it that no table and no clique holds; ``same`` rows are in the shard too."""
+        wide = np.arccos(np.clip(cosine, -1, 1)) + 1e-6
+        angles = _angles(rows, self.pivots)
+        single = rows.astype(np.float32)
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for start, stop, number, low, high in self.chunks:
+            some = np.flatnonzero((angles[:, number] >= low - wide) & (angles[:, number] <= high + wide))
+            a, b = np.nonzero(single[some] @ self.rows[start:stop].T >= cosine - ROUNDING)
+            a, b = some[a], b + start
+            new = (leaders[a] != self.leaders[b]) & ~(same[a] & (ids[a] >= self.ids[b]))
+            a, b = a[new], b[new]
+            if len(a):
+                new = ~_covered(codes[a] ^ self.codes[b])
+                out_a.append(ids[a[new]])
+                out_b.append(self.ids[b[new]])
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        return np.minimum(a, b), np.maximum(a, b)
+
+
+def beyond_tables(classes: DataFrame, length: int, cosine: float, pivots: np.ndarray) -> DataFrame:
+    """``a, b``: each pair once that :func:`candidates` cannot bring together and whose cosine reaches the limit, but
+    for rounding. ``classes`` has ``id, code, leader, vec``.
+    """
+    spark = classes.sparkSession
+    number = -(-classes.count() // SHARD_ROWS)
+    placed = classes.select("id", "code", "leader", "vec").withColumn(
+        "shard", F.pmod(F.xxhash64("id"), F.lit(max(number, 1))).cast("int"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [batch.column(c).to_numpy().tobytes() for c in range(3)]
+            rows = unit(matrix(batch.column(3), length)) if batch.num_rows else np.zeros((0, length))
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in (*parts, rows.tobytes())],
+                                             names=["id", "code", "leader", "rows"])
+
+    found = spark.createDataFrame([], "a long, b long")
+    for shard in range(number):
+        packed = placed.filter(F.col("shard") == shard)             .mapInArrow(pack, "id binary, code binary, leader binary, rows binary").collect()
+        ids, codes, leaders, rows = (np.frombuffer(b"".join(r[c] for r in packed), kind) for c, kind in (
+            ("id", np.int64), ("code", U64), ("leader", np.int64), ("rows", np.float64)))
+        shared = spark.sparkContext.broadcast(Shard(ids, codes, leaders, rows.reshape(-1, length), pivots))
+
+        def compare(batches: Iterator[pa.RecordBatch], shard: int = shard, shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    a, b = shared.value.missed(
+                        batch.column(0).to_numpy(), batch.column(1).to_numpy().view(U64), batch.column(2).to_numpy(),
+                        unit(matrix(batch.column(3), length)), batch.column(4).to_numpy() == shard, cosine)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        # Pairs of two shards are compared where the larger one is shared.
+        part = placed.filter(F.col("shard") <= shard).mapInArrow(compare, "a long, b long")
+        found = found.unionByName(materialise(part, "beyond"))
+    return found
+
+
 def link_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id", cosine: float = 0.9) -> DataFrame:
     """``key, n_links, component_id, kept`` for every row of ``df``.
 
-    Rows link where the cosine of their vectors, in double precision, is at least ``cosine``; links are found by
-    the tables, none below is reported. ``n_links`` counts the other rows linked directly, ``component_id`` is
+    Rows link where the cosine of their vectors, in double precision, is at least ``cosine``; all links are found, by
+    the tables or by the exact pass, none below is reported. ``n_links`` counts the other rows linked directly, ``component_id`` is
     the smallest id reachable and ``kept`` marks the rows that carry it. Rows that take no part (see
     :func:`tillflow.llm.vectors.usable`) link with nothing; a null id has no component and is not kept. Rows
     that repeat an id with different vectors are separate vectors of one id; their links add up by row. Other
@@ -205,7 +308,8 @@ def link_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id",
     """
     rows, length = usable(df, vector, key)
     rows = rows.withColumn("hash", F.xxhash64("vec"))
-    quantiser = Quantiser(unit(sample(rows, length, SAMPLE_ROWS)), length)
+    sampled = unit(sample(rows, length, SAMPLE_ROWS))
+    quantiser = Quantiser(sampled, length)
     shared = df.sparkSession.sparkContext.broadcast(quantiser)
 
     @F.arrow_udf("long")
@@ -217,7 +321,8 @@ def link_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id",
                           .select(F.col("hash").alias("id"), "vec", "times", "least", code("vec").alias("code")), "classes")
     followed = cliques(classes.select("id", "vec", "code"), length, cosine)
     coded = materialise(classes.select("id", "code", "times").join(followed, "id"), "coded")
-    found = candidates(coded)
+    near = classes.select("id", "code", "vec").join(followed, "id")
+    found = candidates(coded).unionByName(beyond_tables(materialise(near, "near"), length, cosine, far_pivots(sampled)))
     a, b = (classes.select(F.col("id").alias(c), F.col("vec").alias(f"{c}_vec"), F.col("times").alias(f"{c}_times"))
             for c in "ab")
 
