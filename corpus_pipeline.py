@@ -26,16 +26,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; of rows that share it, one text.
+    """Of each group of linked documents one: that with the smallest id, of rows that share it one text.
 
-    Documents without words are no group and stay. Groups in which no row has an id keep one text.
+    Rows with one id but different texts may belong to several groups, each of which keeps its own. Documents
+    without words are no group and stay. Groups in which no row has an id keep one text.
     """
     found = join_similar(docs)
     alone = found.filter("n_shingles = 0").select("doc_id", "text_hash")
-    leading = found.filter("n_shingles > 0 AND doc_id <=> component_id") \
-        .groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
-    nameless = found.filter("n_shingles > 0 AND doc_id IS NULL AND component_id IS NULL").select("doc_id", "text_hash")
-    kept = leading.filter("doc_id IS NOT NULL").unionByName(alone).unionByName(nameless).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
+    leading = found.filter("n_shingles > 0").groupBy("root").agg(first).select("first.doc_id", "first.text_hash")
+    kept = leading.unionByName(alone).distinct()
     hashed = docs.withColumn("text hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     same = hashed["doc_id"].eqNullSafe(kept["doc_id"]) & (hashed["text hash"] == kept["text_hash"])
     return hashed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text hash"]).select(*docs.columns)

@@ -76,6 +76,17 @@ def test_one_of_each_group_stays(stages):
     assert sum(not brute.shingles(r[1]) for r in kept) == len({r[:2] for r, s in zip(given, sets) if not s})
 
 
+def test_groups_that_share_an_id_each_keep_one(spark):
+    words = [" ".join(f"{mark}{n}" for n in range(60)) for mark in "abcd"]
+    near = [text + " end" for text in words]
+    rows = [(5, words[0]), (5, words[1]), (9, near[1]), (7, near[0]), (None, words[2]), (None, near[2]), (5, words[3]),
+            (5, near[3]), (5, ""), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], SCHEMA).repartition(3)
+    kept = [tuple(r)[:2] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert {(5, words[0]), (5, words[1]), (5, ""), (6, None)} <= set(kept) and len(kept) == 6
+    assert sum(r in kept for r in rows[4:6]) == sum(r in kept for r in rows[6:8]) == 1
+
+
 def test_repeated_windows_go(stages):
     given, kept = stages["near_duplicates"][1], {r[0]: r for r in stages["substring_dedup"][1]}
     assert len(kept) == len(given)

@@ -267,13 +267,14 @@ def linked_classes(sigs: DataFrame, light: DataFrame, sets: Sets, limit: float)
 
 
 def join_similar(df: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 80, size: int = 5) -> DataFrame:
-    """``key, n_shingles, component_id, text_hash`` for every row of ``df``.
+    """``key, n_shingles, component_id, text_hash, root`` for every row of ``df``.
 
     Two rows link when 100 times the intersection of their sets of ``size``-word shingles is at least ``percent``
     times the union; words are runs of characters other than ASCII white space, with A-Z lower-cased.
     ``component_id`` is the smallest id reachable by links, its own included. Rows without words have no
     shingles and link with nothing. Rows without id take part in links but name no component: theirs is null
-    where no row with id is reachable. Other columns are not read.
+    where no row with id is reachable. ``root`` names the component whatever its ids; it is null without shingles.
+    Other columns are not read.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     texts = bounded(df).select(F.col(key).cast("long").alias("id"), body.alias("text"),
@@ -317,7 +318,8 @@ def join_similar(df: DataFrame, text: str = "text", key: str = "doc_id", percent
     named = known.join(roots, known["class"] == roots["node"], "left").select(
         "class", "least", F.coalesce("root", "class").alias("root"))
     component = named.groupBy("root").agg(F.min("least").alias("component"))
-    classes = named.join(component, "root").select("class", "component")
+    classes = named.join(component, "root").select("class", "component", "root")
     return rows.join(classes, "class", "left").select(
         F.col("id").alias(key), "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"), "text_hash")
+        F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"), "text_hash",
+        "root")
