@@ -1,4 +1,4 @@
-"""Suffix-array dedup by bucket-pointer refinement: bytes of strings that occur more than once.
+"""Dedup of bytes of strings that occur more than once: anchors and content hashes in place of bucket-pointer refinement.
 
 Suffixes are not sorted to their ends: two of them matter to each other only if they share ``window`` bytes.
 Initial buckets are those of the q-grams, with ``q`` half a window, at content-chosen anchors: a string that
