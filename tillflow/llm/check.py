@@ -18,7 +18,7 @@ def main(sf_dir: str, names: list[str]) -> int:
         "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("OFF")
     db = duckdb.connect()
-    for table in ("documents", "embeddings", "labels"):
+    for table in ("documents", "embeddings", "labels", "conversations"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     bad = 0
     for name in names or QUERIES:
