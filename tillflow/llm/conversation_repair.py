@@ -47,6 +47,10 @@ FORCED = {0: (2, "u"), 1: (2, "u"), 2: (3, "a"), 3: (2, "u")}
 CLOSING = {0: "", 1: "ua", 2: "a", 3: ""}
 NAMES = {"u": "user", "a": "assistant"}
 FAR = 1 << 60
+#: What it costs at most to go on from the first state as from the second one: inserted turns that lead there, a
+#: system turn deleted that the second state could keep, or the turns that close a conversation.
+BRIDGE = {(0, 1): 0, (0, 2): 3, (0, 3): 0, (1, 0): 6, (1, 2): 3, (1, 3): 6, (2, 0): 7, (2, 1): 3, (2, 3): 3,
+          (3, 0): 4, (3, 1): 0, (3, 2): 3}
 
 
 def moves(initial: str, must_go: bool, truncated: bool) -> list[list[tuple[int, int, str, str]]]:
@@ -105,7 +109,7 @@ class Search:
         self.root.uses = 1
 
     def add(self, steps: list[list[tuple[int, int, str, str]]]) -> list[tuple[str, str]]:
-        ends: dict[int, tuple[int, Node]] = {}
+        ends: dict[int, tuple] = {}
         for to in STATES:
             best = None
             for start, cost, edits, roles in steps[to]:
@@ -115,7 +119,10 @@ class Search:
                 if best is None or total < best[0] or (total == best[0] and self._before(node, edits, best)):
                     best = (total, node, edits, roles)
             if best:
-                ends[to] = (best[0], Node(best[1], best[2], best[3]))
+                ends[to] = best
+        # A survivor that another one outdoes whatever follows is no survivor, else nothing would ever be settled.
+        ends = {to: (best[0], Node(best[1], best[2], best[3])) for to, best in ends.items()
+                if all(ends[s][0] + BRIDGE[s, to] >= best[0] for s in ends if s != to)}
         for _, node in ends.values():
             node.uses += 1
         for _, node in self.ends.values():
@@ -137,7 +144,10 @@ class Search:
             node = node.parent
 
     def _settled(self) -> list[tuple[str, str]]:
-        """Move the root to the last common ancestor of the survivors; the edits on the way are settled."""
+        """Move the root to the last common ancestor of the survivors; the edits on the way are settled.
+
+        The newest turn stays open, since turns that close the conversation may follow it.
+        """
         if self.root.uses != 1:
             return []
         way = []
@@ -146,7 +156,7 @@ class Search:
             way.append(node)
             node = node.parent
         out = []
-        while way and self.root.uses == 1:
+        while len(way) > 1 and self.root.uses == 1:
             self.root = way.pop()
             self.root.parent = None
             out.append((self.root.edits, self.root.roles))
@@ -276,10 +286,7 @@ def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = search.rest(state)
         if plan[2]:
             end = CLOSING[state]
-            if rest:
-                rest[-1] = (rest[-1][0] + "I" * len(end), rest[-1][1] + end)
-            elif end:
-                raise AssertionError("the last turn of a conversation is settled only when it closes")
+            rest[-1] = (rest[-1][0] + "I" * len(end), rest[-1][1] + end)
         for found in rest:
             settle(*found)
 

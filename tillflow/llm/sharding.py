@@ -29,14 +29,16 @@ SHARDS, ROUNDS = 16, 24
 BUCKETS, STEPS = 4096, 1 << 20
 #: Free documents of at least a FINE-th of all bytes are dealt out one by one.
 FINE = 4096
+#: A shard with less room than this part of it is full.
+LEAST_ROOM = 64
 
 
 def _bucket(*of: str) -> Column:
     return F.pmod(F.xxhash64(*of, F.lit(13)), F.lit(BUCKETS)).cast("int")
 
 
-def _share(row: str = "row") -> Column:
-    return F.pmod(F.xxhash64(row, F.lit(31)), F.lit(STEPS))
+def _share(turn: int) -> Column:
+    return F.pmod(F.xxhash64("row", F.lit(31 + turn)), F.lit(STEPS))
 
 
 def documents_of(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -71,9 +73,9 @@ def admitted(wishes: DataFrame, room: list[int]) -> DataFrame:
 def propagate(linked: DataFrame, shards: int, capacity: int) -> DataFrame:
     """``linked`` (``row, group, size, shard``) after rounds of moves under quotas."""
     full: list[int] = loads(linked, shards)
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         room = [capacity - n for n in full]
-        open_shards = [s for s in range(shards) if room[s] > 0]
+        open_shards = [s for s in range(shards) if room[s] > capacity // LEAST_ROOM]
         votes = materialise(linked.groupBy("group", "shard").agg(F.sum("size").alias("size")), "votes")
         # A group wants to be in the open shard that holds most of it.
         best = F.max(F.struct(F.col("shard").isin(open_shards).alias("open"), "size", (-F.col("shard")).alias("low"))).alias("best")
@@ -90,7 +92,7 @@ def propagate(linked: DataFrame, shards: int, capacity: int) -> DataFrame:
         plan = materialise(left_lookup(moving.drop("size"), entry, ["wanted", "bucket"]).filter("part IS NOT NULL")
                            .select("group", "shard", "wanted", "part"), "moves")
         placed = left_lookup(linked, plan, ["group", "shard"])
-        goes = F.coalesce(_share() < F.col("part") * STEPS, F.lit(False))
+        goes = F.coalesce(_share(turn) < F.col("part") * STEPS, F.lit(False))
         placed = materialise(placed.select("row", "group", "size", F.when(goes, F.col("wanted")).otherwise(F.col("shard")).alias("shard"),
                                            goes.alias("moved")), "linked")
         moved = placed.filter("moved").limit(1).count()
@@ -104,7 +106,7 @@ def free_surplus(linked: DataFrame, shards: int, capacity: int) -> DataFrame:
     """``linked`` with a null shard for what lies beyond a shard's capacity, in the order of the groups' hashes."""
     keep = materialise(admitted(linked.select("shard", _bucket("group").alias("bucket"), "size"), [capacity] * shards), "kept")
     placed = left_lookup(linked.withColumn("bucket", _bucket("group")), keep, ["shard", "bucket"])
-    stays = F.coalesce(_share() < F.col("part") * STEPS, F.lit(False))
+    stays = F.coalesce(_share(ROUNDS) < F.col("part") * STEPS, F.lit(False))
     return placed.select("row", "group", "size", F.when(stays, F.col("shard")).alias("shard"))
 
 
