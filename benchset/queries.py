@@ -35,7 +35,7 @@ def raw_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 def raw_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The derived report rows in the shape the cleaner takes."""
-    cells = raw_cells(spark, sf)
+    cells = materialise(raw_cells(spark, sf), "cells")
     names = [TARGET_COLUMNS[h] for h in REQUIRED_HEADER]
     present = {c: text.csv_missing_to_null(F.col(c)) if c in names else F.lit(None).cast("string") for c in RAW_COLUMNS}
     rows = cells.select("file", "chunk", "row_index", F.concat_ws(",", *names).alias("raw_text"),

@@ -57,9 +57,12 @@ def test_tiers(spark):
 
 def test_trend_and_change(spark):
     start = dt.datetime(2024, 1, 1)
-    rows = spark.createDataFrame([(float(10 * (i + 1)), start + dt.timedelta(days=7 * i)) for i in range(6)], "price double, date timestamp")
+    rows = [(float(10 * (i + 1)), start + dt.timedelta(days=7 * i), "pending" if i == 1 else "completed") for i in range(6)]
+    rows = spark.createDataFrame(rows, "price double, date timestamp, status string")
     trend = [r.trend for r in dashboards.weekly_trend(rows).orderBy("week").collect()]
     assert trend == [10.0, 15.0, 20.0, 25.0, 35.0, 45.0]
     change = dashboards.month_over_month(rows).orderBy("month").collect()
     assert change[0].revenue_change is None and change[1].revenue_change == (60.0 - 150.0) * 100 / 150.0
+    # January has five orders, of which one is pending.
+    assert [c.orders for c in change] == [4.0, 1.0] and change[0].order_value == 150.0 / 4
     assert dashboards.last_days(rows, "date", 7).count() == 2

@@ -20,17 +20,38 @@ def test_flagship(spark, entry):
     assert entry.entry(spark).count() > 0
 
 
+#: Queries that SQL cannot express: learned, searched and sampled results. Their tests compare them with definitions.
+WITHOUT_SQL = {
+    "op2_license_scan", "op4_nearest_neighbours", "op5_toxicity", "op6_suffix_dedup", "op7_mixing", "op8_quality",
+    "op9_vector_dedup", "op10_sampled_pieces", "op13_sharding", "pipeline",
+}
+
+
 def test_every_query_has_sql(entry):
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(entry.queries()) - set(entry.oracle_sql()) <= WITHOUT_SQL
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["numeric_clean", "fill_down", "fuzzy_match", "product_merge", "traffic_tier"])
-def test_query_equals_sql(spark, entry, name):
-    from benchset.check import TABLES, rows_of
+@pytest.fixture(scope="module")
+def db():
+    from benchset.check import TABLES
 
-    db = duckdb.connect()
+    connection = duckdb.connect()
     for t in TABLES:
-        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        connection.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return connection
+
+
+def core_queries():
+    from benchset.queries import QUERIES
+
+    return sorted(QUERIES)
+
+
+@pytest.mark.parametrize("name", core_queries())
+def test_query_equals_sql(spark, entry, db, name):
+    from benchset.check import rows_of
+
     found = entry.queries()[name](spark, SF)
     cursor = db.execute(entry.oracle_sql()[name])
     assert rows_of(found.columns, [tuple(r) for r in found.collect()]) == rows_of([d[0] for d in cursor.description], cursor.fetchall())

@@ -41,6 +41,10 @@ def test_dates(column):
         "5 January 2023": dt.datetime(2023, 1, 5), "2023.01.15": dt.datetime(2023, 1, 15), "Nov 2024": dt.datetime(2024, 11, 1),
         "3/4/2023 7:05 PM": dt.datetime(2023, 3, 4, 19, 5), "soon": None, "": None, "12:30": None, "12345": None,
         "2023-02-30": None, None: None,
+        "2023-01-15T14:30:00+08:00": dt.datetime(2023, 1, 15, 14, 30), "2023-01-15 02:30 -0500": dt.datetime(2023, 1, 15, 2, 30),
+        "1/15/2023 02:30:00 +0800": dt.datetime(2023, 1, 15, 2, 30), "Sun, 15 Jan 2023": dt.datetime(2023, 1, 15),
+        "Sunday 2023-01-15": dt.datetime(2023, 1, 15), "Wed, 1/18/2023": dt.datetime(2023, 1, 18),
+        "Monday, January 16, 2023": dt.datetime(2023, 1, 16), "Sunshine": None, "2023-01-15+08": None,
     }
     assert column(dates.clean_date, list(cases)) == list(cases.values())
 

@@ -7,16 +7,22 @@ from pyspark.sql import functions as F
 
 from tillflow.functions.text import is_blank, strip
 
-# Rewrites of numeric dates to ISO order, month before day. Two-digit years from 69 on are in
+# Rewrites of numeric dates to ISO order by how they begin, month before day. Two-digit years from 69 on are in
 # the last century.
-TO_ISO = [
+MONTH_FIRST = [
     (r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4})(?!\d)", "$4-$1-$3"),
     (r"^(\d{1,2})([/.-])(\d{1,2})\2(69|[7-9]\d)(?= |$)", "19$4-$1-$3"),
     (r"^(\d{1,2})([/.-])(\d{1,2})\2([0-6]\d)(?= |$)", "20$4-$1-$3"),
-    (r"^(\d{4})([/.])(\d{1,2})\2(\d{1,2})(?= |$)", "$1-$3-$4"),
-    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
 ]
-ISO = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?Z?)?$"
+TO_ISO = [
+    (r"^\d{1,2}[/.-]", MONTH_FIRST),
+    (r"^\d{4}[/.]", [(r"^(\d{4})([/.])(\d{1,2})\2(\d{1,2})(?= |$)", "$1-$3-$4")]),
+    (r"^\d{8}$", [(r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")]),
+]
+PLAIN_ISO = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?Z?)?$"
+# As above, with an offset from UTC behind the time of day.
+ISO = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z| ?[+-]\d{2}:?\d{2})?)?$"
+WEEKDAY = r"(?i)^(mon|tues?|wed(nes)?|thu(rs)?|fri|sat(ur)?|sun)(day)?,? +"
 
 # Shapes with letters. A failed parse throws inside the JVM, so each is tried only on text
 # that looks like it.
@@ -59,14 +65,26 @@ EXPIRY_RESIDUE = [
 ]
 
 
-def _iso_order(c: Column) -> Column:
-    for pattern, order in TO_ISO:
+def _rewrite(c: Column, steps: list[tuple[str, str]]) -> Column:
+    for pattern, order in steps:
         c = F.regexp_replace(c, pattern, order)
     return c
 
 
+def _iso_order(c: Column) -> Column:
+    chain = F.when(F.lit(False), c)
+    for start, steps in TO_ISO:
+        chain = chain.when(c.rlike(start), _rewrite(c, steps))
+    return chain.otherwise(c)
+
+
+def _without_offset(c: Column) -> Column:
+    """A sale belongs to the day its till shows, so an offset from UTC moves nothing."""
+    return F.regexp_replace(c, r" ?[+-]\d{2}:?\d{2}$", "")
+
+
 def _numeric_timestamp(c: Column) -> Column:
-    return F.regexp_extract(_iso_order(c), ISO, 0).try_cast("timestamp")
+    return _without_offset(F.regexp_extract(_iso_order(c), ISO, 0)).try_cast("timestamp")
 
 
 def _letter_timestamp(c: Column) -> Column:
@@ -78,12 +96,22 @@ def _letter_timestamp(c: Column) -> Column:
     return chain
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once, however often it is used; for the rare shapes."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _worded_timestamp(c: Column) -> Column:
+    """Text with letters; the name of a weekday goes unchecked."""
+    return F.when(c.rlike("[A-SU-Ya-z]"), _letter_timestamp(c)).otherwise(_numeric_timestamp(c))
+
+
 def parse_timestamp(c: Column) -> Column:
     """Text to timestamp by its shape; null where no shape fits or the date is impossible."""
     trimmed = strip(c)
     return (
-        F.when(trimmed.rlike(ISO), trimmed.try_cast("timestamp"))
-        .when(trimmed.rlike("[A-SU-Ya-z]"), _letter_timestamp(trimmed))
+        F.when(trimmed.rlike(PLAIN_ISO), trimmed.try_cast("timestamp"))
+        .when(trimmed.rlike("[A-SU-Ya-z]"), _once(F.regexp_replace(trimmed, WEEKDAY, ""), _worded_timestamp))
         .otherwise(_numeric_timestamp(trimmed))
     )
 
@@ -116,26 +144,31 @@ def split_expiry(rows: DataFrame, column: str, expiry: str, bare: str) -> DataFr
     evaluated twice.
     """
     c = F.col(column)
-    names = [f"_{expiry}_{i}" for i in range(len(EXPIRY_PATTERNS))]
+    places = range(len(EXPIRY_PATTERNS))
+    texts, days = [f"_{expiry}_text_{i}" for i in places], [f"_{expiry}_{i}" for i in places]
+    marked, cut = f"_{expiry}_marked", f"_{expiry}_cut"
     low, high = EXPIRY_YEARS
-    found = {
-        n: F.when(_may_hold_expiry(c), _numeric_timestamp(F.regexp_extract(c, f"(?iU){p}", 1))).cast("date")
-        for n, p in zip(names, EXPIRY_PATTERNS)
-    }
-    dated = rows.withColumns(found)
-    valid = [F.when(F.year(F.col(n)).between(low, high), F.col(n)) for n in names]
+    found = rows.withColumn(marked, _may_hold_expiry(c)).withColumns(
+        {t: F.when(F.col(marked), F.regexp_extract(c, f"(?iU){p}", 1)) for t, p in zip(texts, EXPIRY_PATTERNS)})
+
+    def day(text: Column, pattern: str) -> Column:
+        # A pattern that wants the year first is in ISO order as it is.
+        iso = r"(\d{4}-" in pattern
+        return F.when(text != "", text.try_cast("date") if iso else _rewrite(text, MONTH_FIRST).try_cast("date"))
+
+    dated = found.withColumns({d: day(F.col(t), p) for d, t, p in zip(days, texts, EXPIRY_PATTERNS)})
+    dated = dated.withColumns({d: F.when(F.year(d).between(low, high), F.col(d)) for d in days})
     chosen = F.when(F.lit(False), c)
-    for day, pattern in zip(valid, EXPIRY_PATTERNS):
-        chosen = chosen.when(day.isNotNull(), F.regexp_replace(c, f"(?iU){pattern}", ""))
-    cut = dated.withColumns({expiry: F.coalesce(*valid), bare: chosen.otherwise(c)}).drop(*names)
-    residue = F.col(bare)
+    for d, pattern in zip(days, EXPIRY_PATTERNS):
+        chosen = chosen.when(F.col(d).isNotNull(), F.regexp_replace(c, f"(?iU){pattern}", ""))
+    left = dated.withColumns({expiry: F.coalesce(*[F.col(d) for d in days]), cut: chosen.otherwise(c)})
+    residue = F.col(cut)
     for pattern in EXPIRY_RESIDUE:
         residue = F.regexp_replace(residue, f"(?iU){pattern}", "")
-    residue = F.when(_may_hold_expiry(c), residue).otherwise(F.col(bare))
-    tidy = F.btrim(F.regexp_replace(residue, r"(?U)\s+", " "), F.lit(" ,-#:()"))
-    return cut.withColumn(bare, tidy).withColumn(
-        bare, F.when(is_empty(c) | (F.col(bare) == ""), c).otherwise(F.col(bare))
-    )
+    left = left.withColumn(bare, F.when(F.col(cut).rlike("(?i)exp|bb|#"), residue).otherwise(F.col(cut)))
+    left = left.withColumn(bare, F.btrim(F.regexp_replace(bare, r"(?U)\s+", " "), F.lit(" ,-#:()")))
+    return left.withColumn(bare, F.when(is_empty(c) | (F.col(bare) == ""), c).otherwise(F.col(bare))).drop(
+        marked, cut, *texts, *days)
 
 
 def is_empty(c: Column) -> Column:

@@ -14,10 +14,8 @@ def _decimal_point(c: Column, thousands_comma: bool) -> Column:
     The separator that comes last is the decimal mark, so a lone comma is a decimal
     comma. ``thousands_comma`` reads ``1,234,567`` as a whole number instead.
     """
-    comma_is_last = c.contains(",") & ~F.substring_index(c, ",", -1).contains(".")
-    without_commas = F.replace(c, F.lit(","), F.lit(""))
-    with_point = F.replace(F.replace(c, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    plain = F.when(comma_is_last, with_point).otherwise(without_commas)
+    without_commas = F.translate(c, ",", "")
+    plain = F.when(c.rlike(r",[^.]*$"), F.translate(c, ",.", ".")).otherwise(without_commas)
     if thousands_comma:
         return F.when(c.rlike(r"^-?\d{1,3}(,\d{3})+$"), without_commas).otherwise(plain)
     return plain
@@ -34,7 +32,7 @@ def _plain_or(c: Column, parsed: Column) -> Column:
 
 
 def _brackets_to_minus(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\(([^)]+)\)$", "-$1")
+    return F.when(c.startswith("("), F.regexp_replace(c, r"^\(([^)]+)\)$", "-$1")).otherwise(c)
 
 
 def money_parse(c: Column, paren_negative: bool = True, thousands_comma: bool = False) -> Column:
@@ -52,8 +50,7 @@ def money_parse(c: Column, paren_negative: bool = True, thousands_comma: bool =
 def numeric_clean(c: Column, paren_negative: bool = True, thousands_comma: bool = False) -> Column:
     """Quantities and amounts of the report columns; null where nothing numeric is left."""
     text = _brackets_to_minus(strip(c)) if paren_negative else c
-    bare = F.regexp_replace(text, r"^[$()]+|[$()]+$", "")
-    return _plain_or(c, _to_double(bare, thousands_comma))
+    return _plain_or(c, _to_double(text, thousands_comma))
 
 
 def strict_numeric(c: Column) -> Column:

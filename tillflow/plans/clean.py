@@ -13,9 +13,9 @@ from tillflow.operators.recovery import file_basics, recovered_sales, sales_sour
 from tillflow.operators.skew import file_lookup
 from tillflow.schema import IDENTITY_COLUMNS, POSITION
 from tillflow.session import materialise
-from tillflow.sources.reports import FILE_NOT_FOUND, PARSERS, below_header, file_status, missing_paths, read_lines
-from tillflow.sources.reports import require_readable
+from tillflow.sources.reports import FILE_NOT_FOUND, below_header, missing_paths, read_scan, require_readable, store_rows
 
+QUALITY_WARNING = "QUALITY_WARNING"
 NUMBERS = ["qty", "discount", "sales", "cost", "profit"]
 TEXTS = ["receipt", "so", "payment", "cashier_id"]
 
@@ -34,30 +34,35 @@ class Cleaned:
 
 def type_lines(raw: DataFrame) -> DataFrame:
     """Every cell parsed once. Text of numbers that did not parse is kept for the error table."""
-    description = F.col("description")
     staged = dates.split_expiry(raw, "description", "_found_expiry", "_bare_description")
+    # What is used more than once is a column of its own, so it is evaluated once and the generated code stays small.
+    staged = staged.withColumns({
+        **{f"_{c}": money.numeric_clean(F.col(c)) for c in NUMBERS},
+        "_unit_word": units.unit_from_description(F.col("_bare_description")),
+        "_unit_text": F.lower(text.strip(F.col("unit"))),
+    })
     typed: dict[str, Column] = {
         "summary": rules.summary_pattern(F.col("raw_text")),
         "row_is_empty": F.col("row_is_empty"),
         "important_null": rules.all_important_null(),
-        "match_name": text.improved_name(description),
+        "match_name": text.improved_name(F.col("description")),
         "date": dates.clean_date(F.col("date")),
         **{c: text.clean_text(F.col(c)) for c in TEXTS},
         "item_code": text.clean_item_code(F.col("item_code")),
         "description": text.clean_text(F.col("_bare_description")),
         "expiration_date": F.coalesce("_found_expiry", dates.clean_expiry_column(F.col("expiration_date"))),
-        **{c: money.numeric_clean(F.col(c)) for c in NUMBERS},
-        **{f"raw_{c}": F.when(money.numeric_clean(F.col(c)).isNull(), F.col(c)) for c in NUMBERS},
+        **{c: F.col(f"_{c}") for c in NUMBERS},
+        **{f"raw_{c}": F.when(F.col(f"_{c}").isNull(), F.col(c)) for c in NUMBERS},
         "plain_qty": money.plain_number(F.col("qty")),
         "plain_sales": money.plain_number(F.col("sales")),
         "payment_amount": F.when(F.col("payment").rlike(r"\d"), money.money_parse(F.col("payment"))),
         "literal_amounts": F.col("literal_amounts"),
         "other_amounts": F.col("other_amounts"),
         "unit_given": units.unit_is_given(F.col("unit")),
-        "unit_column": units.canonical_unit(F.col("unit")),
-        "unit_found": units.canonical_unit(units.unit_from_description(F.col("_bare_description"))),
+        "unit_column": units.canonical_unit(F.col("_unit_text")),
+        "unit_found": units.canonical_unit(F.col("_unit_word")),
     }
-    carried = [c for c in ("is_header",) if c in raw.columns]
+    carried = [c for c in ("is_header", "open_quote") if c in raw.columns]
     return staged.select(*POSITION, *carried, *[e.alias(c) for c, e in typed.items()])
 
 
@@ -135,15 +140,14 @@ def reject_rows(labelled: DataFrame) -> DataFrame:
     )
 
 
-def clean_lines_of(lines: DataFrame, mode: str = "strict") -> Cleaned:
-    """Clean placed report lines. Typed, labelled and finished lines are each written once.
+def clean_scan(scan: DataFrame, mode: str = "strict") -> Cleaned:
+    """Clean scanned report lines. Typed, labelled and finished lines are each written once.
 
     Text is parsed a single time, which also fixes the lines' places. Headers, per-file facts
     and duplicate keys are read from columns of the typed table, both outputs from the
     labelled one.
     """
-    typed = materialise(type_lines(PARSERS[mode](lines)), "typed")
-    files = materialise(file_status(typed), "status")
+    typed, files = store_rows(scan, mode, type_lines, "typed")
     require_readable(files)
     body = below_header(typed, files)
     per_file = file_facts(body)
@@ -157,13 +161,13 @@ def clean_lines_of(lines: DataFrame, mode: str = "strict") -> Cleaned:
 
 def file_report(files: DataFrame, per_file: DataFrame) -> DataFrame:
     facts = per_file.select("file", "rows", "empty_rows", "sales_source", "gate_fired")
-    warned = F.when(F.col("gate_fired"), "QUALITY_WARNING").otherwise(F.col("status"))
+    warned = F.when(F.col("gate_fired"), QUALITY_WARNING).otherwise(F.col("status"))
     return files.join(facts, "file", "left").withColumn("status", warned).drop("gate_fired")
 
 
 def clean_reports(spark: SparkSession, paths: str | list[str], mode: str = "strict") -> Cleaned:
     """Read and clean all reports below ``paths``; bad and missing files are reported in ``files``."""
-    cleaned = clean_lines_of(read_lines(spark, paths), mode)
+    cleaned = clean_scan(read_scan(spark, paths), mode)
     missing = missing_paths(spark, [paths] if isinstance(paths, str) else list(paths))
     if missing:
         absent = spark.createDataFrame([(p, FILE_NOT_FOUND, 0) for p in missing], "file string, status string, lines long")
