@@ -11,6 +11,7 @@ RAW = R.duck(R.RAW)
 STAGED = R.duck(R.STAGED)
 CATALOGUE = R.duck(R.CATALOGUE)
 PRODUCTS = R.duck(R.PRODUCTS)
+SOME_PRODUCTS = R.duck(R.SOME_PRODUCTS)
 MONEY = R.duck(R.MONEY_TEXT)
 PURCHASES = R.duck(R.PURCHASES)
 INVENTORY = R.duck(R.INVENTORY)
@@ -447,13 +448,13 @@ _rollup = ", ".join(f"max(NULLIF({c}, '')) AS {c}" for c in ("description", "uni
 ROLLUP = f"SELECT item_code, {_rollup}, min(date) AS first_seen_date, max(date) AS last_seen_date FROM ({STAGED}) WHERE item_code IS NOT NULL"
 ORACLE["product_rollup"] = f"{ROLLUP} AND run_id = 'run-a' GROUP BY item_code"
 ORACLE["product_merge"] = f"""
-WITH n AS ({ROLLUP} GROUP BY item_code), o AS ({PRODUCTS})
+WITH n AS ({ROLLUP} GROUP BY item_code), o AS ({SOME_PRODUCTS})
 SELECT COALESCE(n.item_code, o.item_code) AS item_code, COALESCE(n.description, o.description) AS description,
   COALESCE(n.unit, o.unit) AS unit, COALESCE(n.category, o.category) AS category, COALESCE(n.tab, o.tab) AS tab,
   least(o.first_seen_date, n.first_seen_date) AS first_seen_date, greatest(o.last_seen_date, n.last_seen_date) AS last_seen_date
 FROM o FULL JOIN n ON n.item_code = o.item_code"""
 ORACLE["product_keys"] = f"""
-WITH n AS ({ROLLUP} GROUP BY item_code), o AS ({PRODUCTS}), fresh AS (SELECT count(*) AS c FROM n ANTI JOIN o USING (item_code))
+WITH n AS ({ROLLUP} GROUP BY item_code), o AS ({SOME_PRODUCTS}), fresh AS (SELECT count(*) AS c FROM n ANTI JOIN o USING (item_code))
 SELECT count(*) + (SELECT c FROM fresh) AS products, count(*) + (SELECT c FROM fresh) AS keys, min(product_key) AS first_key,
        max(product_key) + (SELECT c FROM fresh) AS last_key FROM o"""
 ORACLE["category_fill"] = f"""
@@ -466,8 +467,12 @@ ORACLE["uncategorised"] = f"""
 SELECT DISTINCT item_code, description FROM ({PRODUCTS}) WHERE COALESCE(category, '') = '' AND item_code <> '' AND description <> ''"""
 ORACLE["key_lookup"] = f"SELECT row_hash, receipt, qty, sales FROM ({STAGED}) WHERE item_code = '00000123'"
 
-DAYS = """days AS (SELECT CAST(d AS DATE) AS date_key FROM (SELECT unnest(generate_series(
-  date_trunc('year', min(l_shipdate)), date_trunc('month', max(l_shipdate)), INTERVAL 1 DAY)) AS d FROM lineitem))"""
+def days(last="day"):
+    return f"""days AS (SELECT CAST(d AS DATE) AS date_key FROM (SELECT unnest(generate_series(
+      date_trunc('year', min(l_shipdate)), date_trunc('{last}', max(l_shipdate)), INTERVAL 1 DAY)) AS d FROM lineitem))"""
+
+
+DAYS = days()
 ORACLE["dim_date"] = f"""
 WITH {DAYS} SELECT date_key, day(date_key) AS day, week(date_key) AS week, month(date_key) AS month, quarter(date_key) AS quarter,
   year(date_key) AS year, dayofweek(date_key) AS dow, dayofweek(date_key) IN (0, 6) AS is_weekend FROM days"""
@@ -477,11 +482,15 @@ _fact = """
   COALESCE(s.discount, 0) / NULLIF(s.sales + COALESCE(s.discount, 0), 0) AS discount_rate, s.sales AS sales_amount,
   s.sales + COALESCE(s.discount, 0) AS gross_amount, s.cost AS cost_amount, s.profit AS profit_amount, s.payment, s.cashier_id,
   COALESCE(s.txn_type, 'SALE') AS txn_type, s.expiration_date, s.row_hash, year(d.date_key) AS year, month(d.date_key) AS month"""
-STAR = f"""p AS ({PRODUCTS}), {DAYS}, s AS ({STAGED}),
-facts AS (SELECT {_fact} FROM s JOIN p ON p.item_code = s.item_code JOIN days d ON d.date_key = s.date)"""
+def star(products, calendar):
+    return f"""p AS ({products}), {calendar}, s AS ({STAGED}),
+    facts AS (SELECT {_fact} FROM s JOIN p ON p.item_code = s.item_code JOIN days d ON d.date_key = s.date)"""
+
+
+STAR = star(PRODUCTS, DAYS)
 ORACLE["fact_sales"] = f"WITH {STAR} SELECT * FROM facts WHERE run_id = 'run-a'"
 ORACLE["fact_unmatched"] = f"""
-WITH {STAR} SELECT row_hash, item_code, date, 'FACT' AS error_stage, 'NO_DIM_MATCH' AS error_reason FROM s ANTI JOIN facts USING (row_hash)"""
+WITH {star(SOME_PRODUCTS, days('month'))} SELECT row_hash, item_code, date, 'FACT' AS error_stage, 'NO_DIM_MATCH' AS error_reason FROM s ANTI JOIN facts USING (row_hash)"""
 ORACLE["run_audit"] = f"""
 WITH {HALVES}, {STAR}, new AS (SELECT * FROM batch ANTI JOIN stored USING (row_hash)),
 c AS (SELECT (SELECT count(*) FROM batch) AS rows_cleaned, (SELECT count(*) FROM new) AS rows_staged,

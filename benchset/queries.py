@@ -73,6 +73,11 @@ def products(spark: SparkSession, sf: str) -> DataFrame:
     return R.run_sql(spark, sf, R.PRODUCTS)
 
 
+def some_products(spark: SparkSession, sf: str) -> DataFrame:
+    """The product dimension with gaps."""
+    return R.run_sql(spark, sf, R.SOME_PRODUCTS)
+
+
 def probes(spark: SparkSession, sf: str) -> DataFrame:
     named = R.run_sql(spark, sf, R.PROBES)
     names = named.select(text.improved_name(F.col("name")).alias("name")).where(F.col("name") != "").distinct()
@@ -92,11 +97,11 @@ def event_products(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def order_days(spark: SparkSession, sf: str) -> DataFrame:
-    """The date dimension over the years the lines can fall in."""
+def order_days(spark: SparkSession, sf: str, last: str = "day") -> DataFrame:
+    """The date dimension from the first year of the lines to their last day, or to the first day of that ``month``."""
     span = R.table(spark, sf, "lineitem").agg(
         F.date_trunc("year", F.min("l_shipdate")).cast("date").alias("lo"),
-        F.to_date(F.date_trunc("month", F.max("l_shipdate"))).alias("hi"),
+        F.to_date(F.date_trunc(last, F.max("l_shipdate"))).alias("hi"),
     )
     return product.date_attributes(span.select(F.explode(F.sequence("lo", "hi")).alias("date_key")))
 
@@ -441,14 +446,14 @@ def product_rollup(spark, sf):
 
 @query
 def product_merge(spark, sf):
-    merged = product.merge_products(products(spark, sf), product.product_rollup(staged(spark, sf)))
+    merged = product.merge_products(some_products(spark, sf), product.product_rollup(staged(spark, sf)))
     return merged.drop("product_key")
 
 
 @query
 def product_keys(spark, sf):
     """Old keys stay; new ones are dense and above them."""
-    before = products(spark, sf)
+    before = some_products(spark, sf)
     merged = product.merge_products(before, product.product_rollup(staged(spark, sf)))
     return merged.agg(F.count(F.lit(1)).alias("products"), F.countDistinct("product_key").alias("keys"),
                       F.min("product_key").alias("first_key"), F.max("product_key").alias("last_key"))
@@ -484,7 +489,8 @@ def fact_sales(spark, sf):
 
 @query
 def fact_unmatched(spark, sf):
-    joined = facts.with_dimensions(staged(spark, sf), products(spark, sf), order_days(spark, sf))
+    """Lines whose product or day the dimensions lack, which here have gaps."""
+    joined = facts.with_dimensions(staged(spark, sf), some_products(spark, sf), order_days(spark, sf, "month"))
     return facts.unmatched_lines(joined).select("row_hash", "item_code", "date", "error_stage", "error_reason")
 
 
@@ -607,7 +613,7 @@ def write_reports(spark, sf, extra_files: bool = False) -> str:
     """The derived rows as report files with a preamble and header, one file per ``file``."""
     cells = raw_cells(spark, sf)
     names = [TARGET_COLUMNS[h] for h in REQUIRED_HEADER]
-    quoted = [F.concat(F.lit('"'), F.col(c), F.lit('"')) for c in names]
+    quoted = [F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for c in names]
     body = cells.select("file", "row_index", F.concat_ws(",", *quoted).alias("line"))
     each_file = cells.select("file").distinct()
     preamble = ["Inventory Sales Detail Report", "", "Period, all, branches", ",".join(REQUIRED_HEADER)]
@@ -631,7 +637,13 @@ def file_label(c: str = "file"):
 
 @query
 def report_scan(spark, sf):
-    rows, _ = reports.scan_reports(spark, write_reports(spark, sf))
+    """Splits are made small, so that some cut records that span lines."""
+    folder, old = write_reports(spark, sf), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 20))
+    try:
+        rows, _ = reports.scan_reports(spark, folder)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     names = [TARGET_COLUMNS[h] for h in REQUIRED_HEADER]
     return rows.select(file_label().alias("file"), *names)
 

@@ -124,6 +124,7 @@ def _raw() -> str:
         "item_code": f"""CASE WHEN {empty} OR {hollow} OR k % 29 = 0 THEN '' WHEN k % 31 = 0 THEN 'Account : ' || {text('o')}
             WHEN k % 37 = 0 THEN 'disc' ELSE ' ' || lpad({text('p')}, 8, '0') END""",
         "description": f"""CASE WHEN {empty} OR {hollow} OR k % 43 = 0 THEN '' WHEN k % 101 = 0 THEN name || ' Total: '
+            WHEN k % 67 = 0 THEN name || chr(10) || '5" wide, ' || chr(10) || chr(10) || 'blue'
             WHEN k % 41 = 0 THEN 'Senior discount' WHEN k % 47 = 0 THEN name || ' refund'
             WHEN k % 59 = 0 THEN name || ' EXP 2011-01-01' WHEN k % 8 = 0 THEN name || ' #EXP2024-11-01'
             WHEN k % 8 = 1 THEN name || ' 195ml' WHEN k % 8 = 2 THEN upper(name) || '  exp: 3/15/2026'
@@ -190,7 +191,7 @@ SELECT p_name AS product_name,
 FROM {{part}}
 """
 
-# The product dimension before the run: two of three products, older dates, gaps.
+# The product dimension before the run: older dates, missing values.
 PRODUCTS = f"""
 SELECT p_partkey + 1 AS product_key, lpad({text('p_partkey')}, 8, '0') AS item_code,
        CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 1 THEN p_name || ' old' ELSE p_name END AS description,
@@ -198,9 +199,12 @@ SELECT p_partkey + 1 AS product_key, lpad({text('p_partkey')}, 8, '0') AS item_c
        CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 5 = 1 THEN NULL ELSE p_type END AS category,
        CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE p_brand END AS tab,
        CAST('1996-06-01' AS DATE) AS first_seen_date, CAST('1999-06-01' AS DATE) AS last_seen_date
-FROM {{part}} WHERE p_partkey % 3 <> 2
+FROM {{part}}
 """
 
+# The same with two of three products, for what lines without a product and products without a key become.
+SOME_PRODUCTS = f"{PRODUCTS} WHERE p_partkey % 3 <> 2"
+
 # Names to look up: plain, misspelt, extended and unknown ones.
 PROBES = """
 SELECT DISTINCT CASE CAST((l_orderkey + l_partkey) % 6 AS INT)
