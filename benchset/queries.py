@@ -384,20 +384,20 @@ def name_lookup(spark, sf):
 @query
 def barcode_match(spark, sf):
     lines = typed_rows(spark, sf).select("file", "chunk", "row_index", "item_code")
-    matched = match.match_barcodes(lines, catalogue(spark, sf), ["file", "chunk", "row_index"])
+    matched = match.match_barcodes(lines, catalogue(spark, sf))
     return matched.select("row_index", "item_code", "barcode_category", "barcode_tab")
 
 
 @query
 def name_match(spark, sf):
     lines = typed_rows(spark, sf).select("file", "chunk", "row_index", F.col("match_name").alias("name"))
-    matched = match.match_names(lines, materialise(match.name_lookup(catalogue(spark, sf)), "names"), ["file", "chunk", "row_index"])
+    matched = match.match_names(lines, materialise(match.name_lookup(catalogue(spark, sf)), "names"))
     return matched.select("row_index", "name", "name_category", "name_tab")
 
 
 @query
 def fuzzy_match(spark, sf):
-    names = match.name_lookup(catalogue(spark, sf)).select("name", "position")
+    names = materialise(match.name_lookup(catalogue(spark, sf)).select("name", "position"), "names")
     found = match.similar_names(probes(spark, sf), names)
     return found.select("name", "match", F.round("score", 6).alias("score"))
 

@@ -132,3 +132,27 @@ def test_update_never_erases(spark):
     updates = spark.createDataFrame([("a", None, "new"), ("b", "new", None), ("c", "no", "no")], "item_code string, category string, tab string")
     got = sorted(tuple(r) for r in product.update_categories(products, updates).collect())
     assert got == [("a", "old", "new"), ("b", "new", "t"), ("c", "x", "y")]
+
+
+def test_seeds_leave_few_pairs_and_lose_none(spark):
+    """Three thousand names of three words over one small set of letters, which letter counts hardly tell apart."""
+    rnd = random.Random(11)
+    syllables = ["ba", "co", "di", "fe", "gu", "ha", "jo", "ki", "lo", "mi", "na", "po", "ra", "se", "ti", "ve"]
+    words = ["".join(rnd.choice(syllables) for _ in range(rnd.randint(2, 4))) for _ in range(1500)]
+    names = sorted({" ".join(rnd.choice(words) for _ in range(3)) for _ in range(3000)})
+    probes = {"nothing like these at all", "", "x"}
+    for name in rnd.sample(names, 120):
+        letters = list(name)
+        for _ in range(rnd.randint(0, 4)):
+            letters[rnd.randrange(len(letters))] = rnd.choice("abcdefgh ")
+        probes.add(" ".join("".join(letters).split()))
+    probes = sorted(probes)
+    p = spark.createDataFrame([(x,) for x in probes], "name string")
+    n = spark.createDataFrame([(x, i) for i, x in enumerate(names)], "name string, position long")
+    found = [(r.name, r.match, round(r.score, 9)) for r in match.similar_names(p, n).collect()]
+    assert sorted(found) == brute(probes, names)
+    entries, directory = match.blocks_of(n)
+    asked = match.left_lookup(p, match.seed_scores(p, n, match.THRESHOLD, 1), ["name"])
+    sizes = entries.groupBy("band", "bits", "block_chunk").agg(F.count(F.lit(1)).alias("n"))
+    pairs = match.route(asked, directory, match.THRESHOLD).join(sizes, ["band", "bits", "block_chunk"]).agg(F.sum("n")).first()[0]
+    assert pairs <= 0.25 * len(probes) * len(names)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillflow.functions.lcs import block_matcher
+from tillflow.functions.lcs import block_matcher, pair_score
 from tillflow.functions.text import blank_to_null, improved_name, normalise_barcode
 from tillflow.operators.skew import left_lookup
 from tillflow.session import materialise
@@ -15,8 +15,11 @@ from tillflow.session import materialise
 THRESHOLD = 0.7
 
 # Names of a block have lengths in one band and agree on which signature letters they use.
-BAND_RATIO = 1.2
-SIGNATURE = "aeroiln"
+BAND_RATIO = 1.1
+SIGNATURE = "aeroilnst"
+# Seeds: candidates that share a piece of a name with at most so many names, how many of them are scored for a probe,
+# and the lengths of the pieces: short ones are rare in small catalogues, long ones also in large ones.
+RARE, SEEDS, GRAMS = 48, 12, (4, 6, 8)
 BLOCK_NAMES = 4096
 TASK_PROBES = 20_000
 
@@ -54,7 +57,7 @@ def name_lookup(catalogue: DataFrame) -> DataFrame:
     )
 
 
-def match_barcodes(keys: DataFrame, catalogue: DataFrame, spread: list[str]) -> DataFrame:
+def match_barcodes(keys: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Add ``barcode_category`` and ``barcode_tab`` by item code."""
     lookup = materialise(barcode_lookup(catalogue), "barcodes").withColumnsRenamed(
         {"category": "barcode_category", "tab": "barcode_tab"}
@@ -63,7 +66,7 @@ def match_barcodes(keys: DataFrame, catalogue: DataFrame, spread: list[str]) ->
     return left_lookup(coded, lookup, ["barcode"]).drop("barcode")
 
 
-def match_names(keys: DataFrame, names: DataFrame, spread: list[str], counted: DataFrame | None = None) -> DataFrame:
+def match_names(keys: DataFrame, names: DataFrame) -> DataFrame:
     """Add ``name_category`` and ``name_tab`` from a :func:`name_lookup`."""
     lookup = names.drop("position").withColumnsRenamed({"category": "name_category", "tab": "name_tab"})
     return left_lookup(keys, lookup, ["name"])
@@ -74,54 +77,72 @@ def _band(length: Column) -> Column:
 
 
 def _letter_count(name: Column, letter: str) -> Column:
-    return F.length(name) - F.length(F.replace(name, F.lit(letter), F.lit("")))
+    return F.length(name) - F.length(F.translate(name, letter, ""))
+
+
+def _grams(name: Column) -> Column:
+    """The distinct pieces of ``GRAMS`` letters; a shorter name is a piece itself."""
+    def pieces(q: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(name) - (q - 1), F.lit(1)))
+        return F.transform(places, lambda i: F.substring(name, i, F.lit(q)))
+
+    return F.array_distinct(F.concat(*[pieces(q) for q in GRAMS]))
+
+
+def seed_scores(probes: DataFrame, names: DataFrame, threshold: float, top: int) -> DataFrame:
+    """(name, seed) for probes of which ``top`` names above ``threshold`` are found by rare pieces.
+
+    The seed is the score that the probe's ``top``-th best name reaches at least. It only spares work: a probe
+    without one is compared with all that the threshold allows.
+    """
+    postings = names.select(F.col("name").alias("match"), F.explode(_grams(F.col("name"))).alias("gram"))
+    rare = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= RARE).select("gram")
+    wanted = probes.select("name", F.explode(_grams(F.col("name"))).alias("gram"))
+    shared = wanted.join(rare, "gram").join(postings, "gram").groupBy("name", "match").agg(F.count(F.lit(1)).alias("shared"))
+    likely = Window.partitionBy("name").orderBy(F.desc("shared"), "match")
+    pairs = shared.withColumn("_nth", F.row_number().over(likely)).where(F.col("_nth") <= max(SEEDS, 2 * top))
+    # A probe has a bounded number of pairs here.
+    scored = pairs.select("name", pair_score(F.col("name"), F.col("match")).alias("score")).where(F.col("score") > threshold)
+    best = F.sort_array(F.collect_list("score"), asc=False)
+    return scored.groupBy("name").agg(F.get(best, F.lit(top - 1)).alias("seed")).where(F.col("seed").isNotNull())
+
+
+def route(probes: DataFrame, directory: DataFrame, threshold: float) -> DataFrame:
+    """(name, least, block): the blocks that can hold a name as similar as the probe's ``least`` score."""
+    m, least = F.length("name"), F.col("least")
+    ratio = least / (2 - least)
+    shortest = F.greatest(F.lit(1), F.floor(m * ratio - 1e-9).cast("int"))
+    longest = F.ceil(m / ratio + 1e-9).cast("int")
+    counts = {f"_p{i}": _letter_count(F.col("name"), letter) for i, letter in enumerate(SIGNATURE)}
+    placed = probes.withColumn("least", F.coalesce("seed", F.lit(threshold))).where(F.col("name") != "").select(
+        "name", "least", m.alias("m"), *[c.alias(n) for n, c in counts.items()],
+        F.explode(F.sequence(_band(shortest), _band(longest))).alias("band"))
+    lost, unmet = F.lit(0), F.lit(0)
+    for i in range(len(SIGNATURE)):
+        lost = lost + F.greatest(F.col(f"_p{i}") - F.col(f"_hi{i}"), F.lit(0))
+        unmet = unmet + F.greatest(F.col(f"_lo{i}") - F.col(f"_p{i}"), F.lit(0))
+    # Upper bounds of the score with any name of the block, by letters the block lacks and by letters it needs.
+    by_probe = 2 * (F.col("m") - lost) + 1e-9 >= least * (F.col("m") + F.greatest(F.col("min_n"), F.col("m") - lost))
+    by_block = 2 * (F.col("max_n") - unmet) + 1e-9 >= least * (F.col("m") + F.col("max_n"))
+    return placed.join(F.broadcast(directory), "band").where(by_probe & by_block).select(
+        "name", "least", "band", "bits", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("block_chunk"))
 
 
 def similar_names(probes: DataFrame, names: DataFrame, threshold: float = THRESHOLD, top: int = 1) -> DataFrame:
     """For each probe ``name`` the ``top`` entries of ``names`` (name, position) above ``threshold``.
 
-    The score is 2 * LCS / (m + n). Every pair above the threshold has lengths within a fixed
-    ratio and shares enough letters, so the catalogue is cut into blocks by length band and by
-    the signature letters its names use, and a probe is sent only to blocks that can hold a
-    match: an equi-join on the band, with the letter bounds checked before the shuffle. The
-    bounds never lose a pair. Blocks are limited in names and salted by their number of
-    probes, so no task gets more than a slice of either; inside a task only the best
-    ``top`` per probe leave.
+    The score is 2 * LCS / (m + n). Rare pieces find most probes a good name at once; its score is the probe's
+    seed, and only blocks of the catalogue that can hold a name as good are visited. Blocks are cut by length band
+    and by the signature letters their names use; the most and fewest of each such letter bound the score of a
+    whole block, and the bounds never lose a pair. Blocks are limited in names and salted by their number of
+    probes, so no task gets more than a slice of either; inside a task only the best ``top`` per probe leave.
     """
     none_found = "name string, match string, position long, score double" + ("" if top == 1 else ", rank int")
     if probes.isEmpty():
         return probes.sparkSession.createDataFrame([], none_found)
-    letters = SIGNATURE
-
-    placed = names.where(F.col("name") != "").select(
-        "name",
-        "position",
-        F.length("name").alias("n"),
-        _band(F.length("name")).alias("band"),
-        _bits(F.col("name"), letters).alias("bits"),
-    )
-    # One row per (band, set of signature letters): bounded by bands * 2 ** len(letters).
-    directory = placed.groupBy("band", "bits").agg(
-        F.min("n").alias("min_n"),
-        F.max("n").alias("max_n"),
-        F.ceil(F.count(F.lit(1)) / BLOCK_NAMES).cast("int").alias("chunks"),
-    )
-    entries = placed.join(F.broadcast(directory.select("band", "bits", "chunks")), ["band", "bits"]).withColumn(
-        "block_chunk", F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int")
-    )
-
-    m = F.length("name")
-    ratio = threshold / (2 - threshold)
-    shortest = F.greatest(F.lit(1), F.floor(m * ratio))
-    longest = F.ceil(m / ratio)
-    routed = (
-        probes.select("name").where(F.col("name") != "")
-        .select("name", m.alias("m"),
-                F.explode(F.sequence(_band(shortest), _band(longest))).alias("band"))
-        .join(F.broadcast(directory), "band")
-        .where(_may_match(letters, threshold))
-        .select("name", "band", "bits", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("block_chunk"))
-    )
+    entries, directory = blocks_of(names)
+    asked = left_lookup(probes.select("name"), materialise(seed_scores(probes, names, threshold, top), "seeds"), ["name"])
+    routed = route(asked, directory, threshold)
     block = ["band", "bits", "block_chunk"]
     salts = routed.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / TASK_PROBES).cast("int").alias("salts"))
     salted_probes = routed.join(salts, block).withColumn("salt", F.pmod(F.xxhash64("name"), F.col("salts")).cast("int"))
@@ -131,13 +152,29 @@ def similar_names(probes: DataFrame, names: DataFrame, threshold: float = THRESH
     theirs = [f"entry_{g}" for g in group]
     entry_groups = salted_names.select("name", "position", *[F.col(g).alias(t) for g, t in zip(group, theirs)])
     found = (
-        salted_probes.select("name", *group).groupBy(*group)
+        salted_probes.select("name", "least", *group).groupBy(*group)
         .cogroup(entry_groups.groupBy(*theirs))
         .applyInPandas(block_matcher(threshold, top), "name string, match string, position long, score double")
     )
     return _best(found, top)
 
 
+def blocks_of(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(names with their block, one row per block: bounded by bands * 2 ** letters)."""
+    placed = names.where(F.col("name") != "").select(
+        "name", "position", F.length("name").alias("n"), _band(F.length("name")).alias("band"),
+        _bits(F.col("name"), SIGNATURE).alias("bits"),
+        *[_letter_count(F.col("name"), letter).alias(f"_c{i}") for i, letter in enumerate(SIGNATURE)])
+    bounds = [f(F.col(f"_c{i}")).alias(f"{label}{i}") for i in range(len(SIGNATURE)) for f, label in ((F.max, "_hi"), (F.min, "_lo"))]
+    directory = placed.groupBy("band", "bits").agg(
+        F.min("n").alias("min_n"), F.max("n").alias("max_n"),
+        F.ceil(F.count(F.lit(1)) / BLOCK_NAMES).cast("int").alias("chunks"), *bounds)
+    entries = placed.join(F.broadcast(directory.select("band", "bits", "chunks")), ["band", "bits"]).withColumn(
+        "block_chunk", F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int")).drop(
+            "n", *[f"_c{i}" for i in range(len(SIGNATURE))])
+    return entries, directory
+
+
 def _bits(name: Column, letters: str) -> Column:
     bits = F.lit(0)
     for i, letter in enumerate(letters):
@@ -145,20 +182,6 @@ def _bits(name: Column, letters: str) -> Column:
     return bits
 
 
-def _may_match(letters: str, threshold: float) -> Column:
-    """Upper bounds of the LCS with any name of a block, from the letters the block lacks or needs."""
-    lost = F.lit(0)
-    unmet = F.lit(0)
-    for i, letter in enumerate(letters):
-        here = _letter_count(F.col("name"), letter)
-        in_block = F.col("bits").bitwiseAND(F.lit(1 << i)) != 0
-        lost = lost + F.when(~in_block, here).otherwise(0)
-        unmet = unmet + F.when(in_block & (here == 0), F.lit(1)).otherwise(0)
-    from_probe = 2 * (F.col("m") - lost) > threshold * (F.col("m") + F.col("min_n"))
-    from_block = 2 * (F.col("max_n") - unmet) > threshold * (F.col("m") + F.col("max_n"))
-    return from_probe & from_block
-
-
 def _best(found: DataFrame, top: int) -> DataFrame:
     if top == 1:
         best = F.max(F.struct("score", (-F.col("position")).alias("neg"), "match")).alias("b")
@@ -175,9 +198,8 @@ def match_products(keys: DataFrame, catalogue: DataFrame, threshold: float = THR
     The barcode decides; what it leaves open the exact name fills, then the most similar name.
     Only names still open reach the similarity step, each once.
     """
-    spread = ["item_code", "name"]
     entries = materialise(name_lookup(catalogue), "names")
-    exact = match_names(match_barcodes(keys, catalogue, spread), entries, spread, keys)
+    exact = match_names(match_barcodes(keys, catalogue), entries)
     category = F.coalesce("barcode_category", "name_category")
     tab = F.coalesce("barcode_tab", "name_tab")
     no_name_hit = F.col("name_category").isNull() & F.col("name_tab").isNull()
