@@ -128,6 +128,28 @@ CATALOGUE = T.StructType([
     T.StructField("position", T.LongType()),
 ])
 
+# Which months of the fact table a run wrote; what is not listed is not read.
+FACT_MONTHS = T.StructType([
+    T.StructField("run_id", T.StringType()),
+    T.StructField("year", T.IntegerType()),
+    T.StructField("month", T.IntegerType()),
+    T.StructField("rows", T.LongType()),
+])
+
+# The run that loads a micro-batch, and the files of the batch.
+BATCHES = T.StructType([
+    T.StructField("stream", T.StringType()),
+    T.StructField("batch_id", T.LongType()),
+    T.StructField("run_id", T.StringType()),
+    T.StructField("at", T.TimestampType()),
+    T.StructField("status", T.StringType()),
+])
+
+BATCH_FILES = T.StructType([
+    T.StructField("file", T.StringType()),
+    T.StructField("run_id", T.StringType()),
+])
+
 RUNS = T.StructType([
     T.StructField("run_id", T.StringType()),
     T.StructField("file_name", T.StringType()),
