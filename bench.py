@@ -15,7 +15,7 @@ from tillflow.session import get_session  # noqa: E402
 HEADLINE = [
     "weekly_category_revenue", "numeric_clean", "date_clean", "expiry_extract", "reject_summary", "dedup_first",
     "fill_down", "barcode_match", "fuzzy_match", "product_match", "product_merge", "fact_sales", "kpi",
-    "traffic_tier", "clean_report",
+    "traffic_tier", "clean_report", "load_report", "stream_ingest",
 ]
 
 

@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from benchset import queries as Q
 from benchset import rawdata as R
+# The SQL is its own; only the fixed values are those of the library.
+from tillflow.functions.dates import EXPIRY_PATTERNS, EXPIRY_RESIDUE
+from tillflow.functions.text import CSV_NA_TOKENS, NULL_TOKENS
+from tillflow.functions.txn import ADJUSTMENT_WORDS, RETURN_WORDS
+from tillflow.functions.units import DESCRIPTION_UNITS, PIECE_FORMS, UNIT_ALIASES, UNIT_PATTERNS
+from tillflow.operators.rules import ADJUSTMENT_CODES, ADJUSTMENT_TEXT
 
 ORACLE: dict[str, str] = {}
 
@@ -16,11 +22,8 @@ MONEY = R.duck(R.MONEY_TEXT)
 PURCHASES = R.duck(R.PURCHASES)
 INVENTORY = R.duck(R.INVENTORY)
 
-NULLS = "('nan', 'none', 'null', '', 'NaN', 'None', 'NULL')"
-CSV_NULLS = (
-    "('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', "
-    "'<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null')"
-)
+NULLS = "(" + ", ".join(f"'{t}'" for t in NULL_TOKENS) + ")"
+CSV_NULLS = "(" + ", ".join(f"'{t}'" for t in CSV_NA_TOKENS) + ")"
 
 
 def strip(x):
@@ -87,26 +90,17 @@ def day(x):
     return f"NULLIF({moment(x)}, TIMESTAMP '1970-01-01 00:00:00')"
 
 
-EXPIRY = [
-    "[#$\\s]?EXP\\s*(\\d{4}-\\d{2}-\\d{2})\\$?",
-    "(?:exp(?:iry|iration)?|best\\s*by|use\\s*by|expires?|bb)[:\\s\\-]*(\\d{1,2}[/-]\\d{1,2}[/-]\\d{2,4})",
-    "(\\d{1,2}[/-]\\d{1,2}[/-]\\d{2,4})\\s*(?:exp|bb)\\b",
-    "\\b(\\d{4}-\\d{2}-\\d{2})\\b",
-]
-RESIDUE = ["#exp\\w*", "exp\\d+", "bb\\d+", "#bb\\w*", "exp[:\\s]*$", "bb[:\\s]*$", "#\\s*$", "\\s+#\\s*"]
-
-
 def expiry_steps(x):
     """Select items that end in ``expiry`` and ``bare``."""
     items = []
-    for i, pattern in enumerate(EXPIRY):
+    for i, pattern in enumerate(EXPIRY_PATTERNS):
         found = f"regexp_extract({x}, '(?i){pattern}', 1)"
         items.append(f"CAST({moment(found)} AS DATE) AS day{i}")
         items.append(f"CASE WHEN year(day{i}) BETWEEN 2020 AND 2045 THEN day{i} END AS ok{i}")
-    whens = " ".join(f"WHEN ok{i} IS NOT NULL THEN regexp_replace({x}, '(?i){p}', '', 'g')" for i, p in enumerate(EXPIRY))
+    whens = " ".join(f"WHEN ok{i} IS NOT NULL THEN regexp_replace({x}, '(?i){p}', '', 'g')" for i, p in enumerate(EXPIRY_PATTERNS))
     items.append(f"CASE {whens} ELSE {x} END AS cut")
     left = "cut"
-    for p in RESIDUE:
+    for p in EXPIRY_RESIDUE:
         left = f"regexp_replace({left}, '(?i){p}', '', 'g')"
     items.append(f"trim(regexp_replace({left}, '\\s+', ' ', 'g'), ' ,-#:()') AS tidied")
     items.append("COALESCE(ok0, ok1, ok2, ok3) AS expiry")
@@ -127,33 +121,20 @@ def improved(x):
     return basic(t)
 
 
-ALIASES = {
-    "pcs": "pc pcs piece pieces unit units", "box": "box boxes bx", "pack": "pack packs pkt packet packets",
-    "kg": "kg kilogram kilograms", "g": "g gram grams", "l": "l liter liters", "ml": "ml milliliter milliliters",
-}
-FORMS = ("tab tabs tablet tablets cap caps capsule capsules vial vials amp ampule ampoule sachet sachets bottle bottles "
-         "bot btl tube tubes jar jars can cans tin tins strip blister blisters roll rolls pair pairs set sets mg mcg iu")
-LOOSE = [("pcs?", "pcs"), ("pieces?", "pcs"), ("boxes?", "box"), ("packs?|pkt|packets?", "pack"), ("kg|kilograms?", "kg"),
-         ("grams?|g", "g"), ("liters?|l", "l"), ("milliliters?|ml", "ml")]
-WORDS = ("pc pcs piece pieces unit units box boxes pack packs pkt packet packets sachet sachets vial vials amp ampule ampoule "
-         "tube tubes bottle bottles bot btl jar jars can cans tin tins strip blister blisters cap caps capsule capsules "
-         "tab tabs tablet tablets roll rolls pair pairs set sets kg g mg ml iu")
-
-
 def listed(words):
-    return "(" + ", ".join(f"'{w}'" for w in words.split()) + ")"
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
 def canonical(x, forms=True):
     t = f"lower({strip(x)})"
-    first = f"WHEN {t} IN {listed(FORMS)} THEN 'pcs' " if forms else ""
-    exact = " ".join(f"WHEN {t} IN {listed(w)} THEN '{u}'" for u, w in ALIASES.items())
-    loose = " ".join(f"WHEN regexp_matches({t}, '\\b(?:{p})\\b') THEN '{u}'" for p, u in LOOSE)
+    first = f"WHEN {t} IN {listed(PIECE_FORMS)} THEN 'pcs' " if forms else ""
+    exact = " ".join(f"WHEN {t} IN {listed(w)} THEN '{u}'" for u, w in UNIT_ALIASES.items())
+    loose = " ".join(f"WHEN regexp_matches({t}, '{p}') THEN '{u}'" for p, u in UNIT_PATTERNS)
     return f"CASE {first}{exact} {loose} END"
 
 
 def unit_word(x):
-    found = f"regexp_extract({x}, '(?i)(?:^|[^A-Za-z])({'|'.join(WORDS.split())})(?:$|[^A-Za-z])', 1)"
+    found = f"regexp_extract({x}, '(?i)(?:^|[^A-Za-z])({'|'.join(DESCRIPTION_UNITS)})(?:$|[^A-Za-z])', 1)"
     return f"NULLIF({found}, '')"
 
 
@@ -162,8 +143,6 @@ def unit_word(x):
 CELLS = ["date", "receipt", "so", "item_code", "description", "qty", "discount", "sales", "cost", "profit", "payment", "cashier_id"]
 _missing = ", ".join(f"CASE WHEN {c} NOT IN {CSV_NULLS} THEN {c} END AS {c}" for c in CELLS)
 _typed = ", ".join(f"{numeric(c)} AS {c}" for c in ("qty", "discount", "sales", "cost", "profit"))
-ADJUST = "(sales\\s*discount|^discount$|less\\s*discount|void|cancel|round(?:ing|[-\\s]*off)|change|senior|pwd|rebate|price\\s*adj|adjustment)"
-TXN_ADJUST = "(discount|void|round(?:ing|[-\\s]*off)|price\\s*adj|adjustment|rebate|change|senior|pwd)"
 
 CHAIN = f"""
 raw AS ({RAW}),
@@ -194,8 +173,8 @@ labelled AS (
       WHEN item_code IS NULL AND description IS NULL AND qty IS NULL AND sales IS NULL AND cost IS NULL THEN 'all important fields empty'
       WHEN COALESCE(qty, 0) = 0 AND no_money AND ((item_code IS NOT NULL AND NOT regexp_full_match(item_code, '\\d+')) OR description IS NULL)
         THEN 'placeholder/non-item row (e.g., header like "Account : ...")'
-      WHEN no_money AND (COALESCE(regexp_matches(lower(description), '{ADJUST}'), FALSE)
-                         OR COALESCE(lower(item_code) IN ('sd', 'disc', 'discount', 'void', 'sc', 'pwd', 'rebate'), FALSE))
+      WHEN no_money AND (COALESCE(regexp_matches(lower(description), '{ADJUSTMENT_TEXT}'), FALSE)
+                         OR COALESCE(lower(item_code) IN {listed(ADJUSTMENT_CODES)}, FALSE))
         THEN 'non-item adjustment (e.g., Sales Discount/VOID/rounding)'
     END AS error_reason,
     CASE WHEN summary IS NOT NULL OR row_is_empty THEN 'pre-map'
@@ -221,8 +200,8 @@ lines AS (
                                         ELSE strftime(date, '%Y-%m-%dT%H:%M:%S') END, ''),
       COALESCE(receipt, ''), COALESCE(so, ''), COALESCE(item_code, ''),
       {', '.join(f"COALESCE({number_text(c)}, '')" for c in ('qty', 'sales', 'cost'))})) AS row_hash,
-    CASE WHEN regexp_matches(lower(COALESCE(description, '')), '{TXN_ADJUST}') THEN 'ADJUSTMENT'
-         WHEN qty < 0 OR regexp_matches(lower(COALESCE(description, '')), '(return|refund|rtn|rtv)') THEN 'RETURN' ELSE 'SALE' END AS txn_type
+    CASE WHEN regexp_matches(lower(COALESCE(description, '')), '{ADJUSTMENT_WORDS}') THEN 'ADJUSTMENT'
+         WHEN qty < 0 OR regexp_matches(lower(COALESCE(description, '')), '{RETURN_WORDS}') THEN 'RETURN' ELSE 'SALE' END AS txn_type
   FROM filled),
 staged AS (SELECT * FROM lines QUALIFY row_number() OVER (PARTITION BY row_hash ORDER BY file, chunk, row_index) = 1)
 """
@@ -331,8 +310,8 @@ SELECT row_index, lower(w) AS word, {canonical('w')} AS unit FROM (SELECT row_in
 ORACLE["profit_fill"] = f"""
 SELECT row_index, round(COALESCE({numeric('profit')}, {numeric('sales')} - {numeric('cost')}), 4) AS profit FROM ({RAW})"""
 ORACLE["txn_type"] = f"""
-SELECT row_index, CASE WHEN regexp_matches(lower(COALESCE(description, '')), '{TXN_ADJUST}') THEN 'ADJUSTMENT'
-  WHEN {numeric('qty')} < 0 OR regexp_matches(lower(COALESCE(description, '')), '(return|refund|rtn|rtv)') THEN 'RETURN'
+SELECT row_index, CASE WHEN regexp_matches(lower(COALESCE(description, '')), '{ADJUSTMENT_WORDS}') THEN 'ADJUSTMENT'
+  WHEN {numeric('qty')} < 0 OR regexp_matches(lower(COALESCE(description, '')), '{RETURN_WORDS}') THEN 'RETURN'
   ELSE 'SALE' END AS txn_type FROM ({RAW})"""
 ORACLE["row_key"] = f"""
 WITH {CHAIN}

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillflow.operators.rank import with_rank
+from tillflow.operators.skew import left_lookup
+from tillflow.session import materialise
+
 COMPLETED = "completed"
 CONVERSION_RATE = 3.2
 
@@ -96,25 +100,20 @@ def product_traffic(events: DataFrame, view: str = "view", sale: str = "purchase
 
 
 def traffic_tiers(traffic: DataFrame) -> DataFrame:
-    """Tercile of each product by views, from the percent rank.
+    """Tercile of each product by views, from the percent rank: the share of the others with fewer views.
 
-    The rank comes from the histogram of view counts. Distinct counts k sum to at least
-    k * k / 2 views, so the histogram has no more rows than the root of twice the views,
-    while the number of products is unbounded; its window and broadcast stay small.
+    Products are numbered by a range shuffle with the counts of earlier parts, so no task sees them all; the lowest
+    number of a view count is the number of products with fewer views.
     """
-    histogram = traffic.groupBy("views").agg(F.count(F.lit(1)).alias("n"))
-    below = Window.orderBy("views").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    ranks = histogram.select(
-        "views",
-        F.coalesce(F.sum("n").over(below), F.lit(0)).alias("below"),
-        F.sum("n").over(everything).alias("products"),
-    ).withColumn("percent_rank", F.coalesce(F.try_divide(F.col("below").cast("double"), F.col("products") - 1.0), F.lit(0.0)))
+    placed = with_rank(traffic.select("product", "views"), ["views", "product"], name="below")
+    ranks = materialise(placed.groupBy("views").agg(F.min("below").alias("below")), "views")
+    others = traffic.agg(F.count(F.lit(1)) - 1.0).scalar()
+    share = F.coalesce(F.try_divide(F.col("below").cast("double"), others), F.lit(0.0))
+    ranked = left_lookup(traffic, ranks, ["views"]).withColumn("percent_rank", share)
     tier = (
         F.when(F.col("percent_rank") >= 2 / 3, "high").when(F.col("percent_rank") >= 1 / 3, "medium").otherwise("low")
     )
-    tiers = ranks.select("views", F.round("percent_rank", 6).alias("percent_rank"), tier.alias("tier"))
-    return traffic.join(F.broadcast(tiers), "views").select("product", "views", "percent_rank", "tier")
+    return ranked.select("product", "views", F.round("percent_rank", 6).alias("percent_rank"), tier.alias("tier"))
 
 
 def tier_counts(tiers: DataFrame) -> DataFrame:
