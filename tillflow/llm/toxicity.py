@@ -40,6 +40,8 @@ SPREAD, SPREAD_BITS = 2654435761, 20
 EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 #: Rows of the calibration fold that the few weights are fitted on at most, smallest hashes first.
 CALIBRATION_ROWS = 50_000
+#: Labelled ids that are broadcast at most, about 100 MB of them.
+BROADCAST_LABELS = 1 << 22
 STRONG = 3.0
 #: Bytes of texts scored together, few enough to stay in a core's cache.
 SLICE_BYTES = 1 << 17
@@ -340,6 +342,9 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         .filter("id IS NOT NULL AND class IN (0, 1)").groupBy("id").agg(F.max("class").alias("class"))
     texts = fold(bounded(df).select(F.col(key).cast("long").alias("id"),
                                     F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "id")
+    known = materialise(fold(known, "id").filter(F.col("fold") != HELD_OUT).drop("fold"), "known")
+    # Texts stay where they are while the labelled ids fit a task; beyond that both sides are shuffled.
+    known = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known.hint("merge")
     classed = texts.filter(F.col("fold") != HELD_OUT).join(known, "id")
     top = materialise(count_runs(classed.filter(F.col("fold") != CALIBRATION).select("text", "class")), "runs")
     model = build(top)
