@@ -136,6 +136,23 @@ FACT_MONTHS = T.StructType([
     T.StructField("rows", T.LongType()),
 ])
 
+# Which months of staging a run wrote, and the level of its key filter there. Every run has a row without a month.
+STAGED_MONTHS = T.StructType([
+    T.StructField("run_id", T.StringType()),
+    T.StructField("month", T.StringType()),
+    T.StructField("rows", T.LongType()),
+    T.StructField("level", T.IntegerType()),
+])
+
+# Words of the filters of stored row keys.
+KEY_WORDS = T.StructType([
+    T.StructField("run_id", T.StringType()),
+    T.StructField("month", T.StringType()),
+    T.StructField("level", T.IntegerType()),
+    T.StructField("slot", T.LongType()),
+    T.StructField("bits", T.LongType()),
+])
+
 # The run that loads a micro-batch, and the files of the batch.
 BATCHES = T.StructType([
     T.StructField("stream", T.StringType()),
