@@ -36,6 +36,8 @@ MARK = "▁"
 OWN_MARK = "\ud800"
 #: Edges of cached word lattices before the cache starts anew, and letters of texts drawn together.
 CACHE_EDGES, SLICE_CHARS = 2_000_000, 1 << 18
+#: Bits of a piece's hash by which it is looked up first.
+HEAD = 18
 ZIPF_OFFSET = 10.0
 #: Shares are cut to multiples of 1 / GRID, and logs added as multiples of 1 / FIXED: sums and comparisons are
 #: then exact, whatever texts and words stand beside.
@@ -78,6 +80,9 @@ class Vocabulary:
         order = np.argsort(hashes)
         #: Hashes of all beginnings of pieces; their ids, -1 where they are no pieces, and log-probabilities.
         self.hashes = hashes[order]
+        #: Where the hashes of each value of their first ``HEAD`` bits begin; few share one.
+        heads = np.arange(1 << HEAD, dtype=U64) << U64(64 - HEAD)
+        self.heads = np.minimum(np.searchsorted(self.hashes, heads), len(order) - 1)
         self.piece = np.array([self.ids.get(p, -1) for p in starts])[order]
         self.weight = np.array([self.log_prob.get(p, 0.0) for p in starts])[order]
         inner = {c for piece in self.ids if len(piece) > 1 for c in piece}
@@ -89,7 +94,7 @@ class Vocabulary:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Where each hash stands among those of beginnings, -1 for others."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        at = _climb(self.hashes, self.heads[hashes >> U64(64 - HEAD)], hashes, np.less, len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, at, -1)
 
     def split(self, text: str) -> list[str]:
@@ -124,6 +129,20 @@ class Grown:
         return self.room[:self.size]
 
 
+def _climb(values: np.ndarray, at: np.ndarray, wanted: np.ndarray, below, last: int) -> np.ndarray:
+    """The first place from ``at`` on whose value is not ``below`` what is wanted, ``last`` at most.
+
+    Places are near where the search begins, so a few steps take less time than bisection of all values.
+    """
+    at = at.copy()
+    on = np.flatnonzero(below(values[at], wanted) & (at < last))
+    while len(on):
+        at[on] += 1
+        here = at[on]
+        on = on[below(values[here], wanted[on]) & (here < last)]
+    return at
+
+
 def _letters(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -157,7 +176,7 @@ class Lattices:
         new = [word for word in dict.fromkeys(words) if word not in start]
         if new:
             self.add(new)
-        return np.fromiter((start[word] for word in words), np.int64, len(words))
+        return np.fromiter(map(start.__getitem__, words), np.int64, len(words))
 
     def _edges(self, letters: np.ndarray, end: np.ndarray):
         """``(state, length, log_prob, piece)`` of all edges by state and length; piece -1 is spelled in bytes."""
@@ -179,16 +198,17 @@ class Lattices:
         spelled = np.flatnonzero(~single)
         code = letters[spelled]
         width = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
-        parts.append((spelled, np.ones(len(spelled), np.int64), width * self.words.byte_log_prob,
-                      np.full(len(spelled), -1)))
+        # Parts stand by length, so that a stable order by state is one by state and length.
+        parts.insert(0, (spelled, np.ones(len(spelled), np.int64), width * self.words.byte_log_prob,
+                         np.full(len(spelled), -1)))
         state, length, weight, piece = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        order = np.lexsort((length, state))
+        order = np.argsort(state, kind="stable")
         return state[order], length[order], weight[order], piece[order]
 
     def add(self, words: list[str]) -> None:
         """Build the lattices of new words together."""
         letters = _letters("".join(words))
-        sizes = np.fromiter((len(w) for w in words), np.int64, len(words))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
         end = np.repeat(ends, sizes)
         state, length, weight, piece = self._edges(letters, end)
@@ -196,7 +216,9 @@ class Lattices:
         final = goal == end[state]
         # Log masses of the paths from each state to its word's end, from the ends backwards.
         left = end - np.arange(len(letters))
-        by_left = np.argsort(left[state], kind="stable")
+        # Small numbers are sorted by counting.
+        narrow = np.uint16 if int(left.max()) < 1 << 16 else np.int64
+        by_left = np.argsort(left[state].astype(narrow), kind="stable")
         steps = np.searchsorted(left[state][by_left], np.arange(1, int(left.max()) + 2))
         mass = np.zeros(len(letters))
         for low, high in zip(steps[:-1], steps[1:]):
@@ -245,13 +267,13 @@ class Lattices:
 
         Random numbers are hashes of ``key``, ``place`` and the step.
         """
-        reach, target = self.reach.all, self.target.all
+        reach, target, first = self.reach.all, self.target.all, self.first.all
         walker = np.arange(len(at))
         walkers, edges = [], []
         step = 0
         while len(walker):
             draw = np.floor(uniform(key[walker], place[walker], step) * GRID) / GRID
-            edge = np.searchsorted(reach, at + draw, "right")
+            edge = _climb(reach, first[at], at + draw, np.less_equal, len(reach) - 1)
             walkers.append(walker)
             edges.append(edge)
             at = target[edge]
