@@ -21,8 +21,7 @@ from tillflow.session import materialise
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half; a null text counts as empty and stays."""
     score = scorer(spark, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    kept = docs.withColumn("toxicity score", score(F.col("text").cast("string")))
-    return kept.filter(F.col("toxicity score") < 0.5).select(*docs.columns)
+    return docs.filter(score(F.col("text").cast("string")) < 0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +35,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
     leading = found.filter("n_shingles > 0").groupBy("root").agg(first).select("first.doc_id", "first.text_hash")
     kept = leading.unionByName(alone).distinct()
-    hashed = docs.withColumn("text hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    same = hashed["doc_id"].eqNullSafe(kept["doc_id"]) & (hashed["text hash"] == kept["text_hash"])
-    return hashed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text hash"]).select(*docs.columns)
+    hashed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id",
+                         F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"))
+    same = hashed["doc_id"].eqNullSafe(kept["doc_id"]) & (hashed["hash"] == kept["text_hash"])
+    return hashed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "hash"]).select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
