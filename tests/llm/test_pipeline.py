@@ -103,3 +103,13 @@ def test_mix_and_pieces(stages):
     encoded = stages["encoding"][1]
     assert {r[0] for r in encoded} == {r[0] for r in mixed}
     assert sorted(map(repr, encoded)) == sorted(map(repr, stages["run"]))
+
+
+def test_names_of_columns_do_not_clash(spark):
+    """Columns may be named like what a stage computes; an empty table stays empty."""
+    columns = "doc_id long, text string, root long, hash string, row string, text_hash string, `text hash` string, `a.b` int"
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, 7, "h", "r", "t", "s", 3), (2, text, 8, "h", "r", "t", "s", 4)], columns)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, text, 7, "h", "r", "t", "s", 3)]
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").collect() == []
