@@ -62,7 +62,7 @@ def type_lines(raw: DataFrame) -> DataFrame:
         "unit_column": units.canonical_unit(F.col("_unit_text")),
         "unit_found": units.canonical_unit(F.col("_unit_word")),
     }
-    carried = [c for c in ("is_header", "open_quote") if c in raw.columns]
+    carried = [c for c in ("is_header", "open_quote", "has_zero") if c in raw.columns]
     return staged.select(*POSITION, *carried, *[e.alias(c) for c, e in typed.items()])
 
 
