@@ -442,6 +442,13 @@ WITH {BARCODES}, keys AS (SELECT item_code, {improved('description')} AS name, 1
 SELECT p.item_code, CASE WHEN COALESCE(p.category, '') = '' OR COALESCE(p.tab, '') = '' THEN COALESCE(m.category, p.category) ELSE p.category END AS category,
   CASE WHEN COALESCE(p.category, '') = '' OR COALESCE(p.tab, '') = '' THEN COALESCE(m.tab, p.tab) ELSE p.tab END AS tab
 FROM ({PRODUCTS}) p LEFT JOIN matched m ON m.item_code = p.item_code"""
+ORACLE["category_settled"] = f"""
+SELECT filled.*, item_code[-1] NOT IN ('0', '2', '4', '6', '8')
+  AND (COALESCE(p.category, '') = '' OR COALESCE(p.tab, '') = '') AS matched_now
+FROM ({ORACLE["category_fill"]}) filled JOIN ({PRODUCTS}) p USING (item_code)"""
+ORACLE["catalog_files"] = f"""
+SELECT product_name, tab, category, barcode, sku_number, row_number() OVER (ORDER BY position) - 1 AS position,
+  row_number() OVER (ORDER BY position) <= 100 AS in_backup FROM ({CATALOGUE})"""
 ORACLE["uncategorised"] = f"""
 SELECT DISTINCT item_code, description FROM ({PRODUCTS}) WHERE COALESCE(category, '') = '' AND item_code <> '' AND description <> ''"""
 ORACLE["key_lookup"] = f"SELECT row_hash, receipt, qty, sales FROM ({STAGED}) WHERE item_code = '00000123'"
@@ -520,7 +527,7 @@ SELECT month, revenue, orders, order_value,
   (orders - lag(orders) OVER w) * 100 / lag(orders) OVER w AS orders_change,
   (order_value - lag(order_value) OVER w) * 100 / lag(order_value) OVER w AS order_value_change
 FROM v WINDOW w AS (ORDER BY month)"""
-ORACLE["last_30_days"] = f"""
+ORACLE["purchases_export"] = ORACLE["last_30_days"] = f"""
 WITH p AS ({PURCHASES}) SELECT id, price, status FROM p WHERE date >= (SELECT max(date) FROM p) - INTERVAL 30 DAY"""
 EVENTS = "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS product, event_type, ts AS date FROM events"
 TRAFFIC = f"""SELECT product, count(*) FILTER (WHERE event_type = 'view') AS views, count(*) FILTER (WHERE event_type = 'purchase') AS sales
@@ -556,7 +563,9 @@ FROM c WHERE before > 0 AND now * days > 2.0 * before"""
 ORACLE["report_scan"] = f"WITH {CHAIN} SELECT file, {', '.join(CELLS)} FROM cells"
 ORACLE["report_files"] = f"""
 SELECT file, 'OK' AS status, count(*) + 3 AS lines FROM ({RAW}) GROUP BY 1
-UNION ALL SELECT DISTINCT 'bad-' || file, 'HEADER_NOT_FOUND', 1 FROM ({RAW})"""
+UNION ALL SELECT DISTINCT 'bad-' || file, 'HEADER_NOT_FOUND', 1 FROM ({RAW})
+UNION ALL SELECT DISTINCT 'binary-' || file, 'NOT_TEXT', 1 FROM ({RAW})
+UNION ALL SELECT 'torn-' || min(file), 'UNREADABLE', 0 FROM ({RAW}) HAVING count(*) > 0"""
 ORACLE["file_rows"] = f"SELECT file, count(*) AS rows FROM ({RAW}) GROUP BY 1"
 ORACLE["clean_report"] = f"""
 WITH {CHAIN} SELECT file, CAST(date AS DATE) AS date, receipt, so, item_code, description, expiration_date, unit,
@@ -565,6 +574,9 @@ ORACLE["clean_rejects"] = f"""
 WITH {CHAIN} SELECT file, error_stage, error_reason, count(*) AS count FROM final WHERE error_reason IS NOT NULL GROUP BY ALL"""
 _loaded = f"""{CHAIN}, {DAYS}, loaded AS (SELECT row_hash, date_key, receipt AS receipt_number, txn_type, round(sales, 2) AS sales_amount
   FROM staged JOIN days ON date_key = CAST(date AS DATE) WHERE item_code IS NOT NULL)"""
+ORACLE["cleaned_sink"] = f"""
+WITH {CHAIN} SELECT file, CAST(date AS DATE) AS date, receipt, item_code, description, round(qty, 4) AS qty, round(sales, 4) AS sales, row_hash FROM lines"""
+ORACLE["reject_sink"] = ORACLE["clean_rejects"]
 ORACLE["load_report"] = f"WITH {_loaded} SELECT * FROM loaded"
 ORACLE["stream_ingest"] = ORACLE["load_report"]
 ORACLE["run_history"] = f"""

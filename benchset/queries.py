@@ -11,11 +11,11 @@ from benchset import rawdata as R
 from tillflow.functions import dates, keys, money, text, txn, units
 from tillflow.operators import audit, dedup, facts, mapping, match, product, recovery, rules, skew
 from tillflow.plans import clean, dashboards, load
-from tillflow.schema import IMPORTANT_COLUMNS, RAW_COLUMNS, REQUIRED_HEADER, TARGET_COLUMNS
+from tillflow.schema import CATALOGUE, IMPORTANT_COLUMNS, RAW_COLUMNS, REQUIRED_HEADER, TARGET_COLUMNS
 from tillflow.session import materialise, new_dir
 from tillflow.sources import reports
-from tillflow.sources.catalogue import append_products, to_catalogue
-from tillflow.sources.tables import Warehouse
+from tillflow.sources.catalogue import append_products, load_saved_catalogue, read_catalogue, save_catalogue, to_catalogue
+from tillflow.sources.tables import SnapshotTable, Warehouse, files_matching, read_csv, save_csv, save_rejects
 from tillflow.streaming.ingest import ingest_reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -465,6 +465,19 @@ def category_fill(spark, sf):
     return filled.select("item_code", "category", "tab")
 
 
+@query
+def category_settled(spark, sf):
+    """As category_fill, with the matches of half the products settled and stored by an earlier run."""
+    house, known = Warehouse(spark, new_dir(spark, "warehouse")), materialise(products(spark, sf), "products")
+    early = F.right("item_code", F.lit(1)).isin("0", "2", "4", "6", "8")
+    _, found = product.fill_settled(known.where(early), catalogue(spark, sf), house.settled_matches("v", "second"))
+    house.settle("v", "first", found)
+    filled, later = product.fill_settled(known, catalogue(spark, sf), house.settled_matches("v", "second"))
+    asked = later.select("item_code", F.lit(True).alias("_now"))
+    return filled.join(asked, "item_code", "left").select(
+        "item_code", "category", "tab", F.coalesce("_now", F.lit(False)).alias("matched_now"))
+
+
 @query
 def uncategorised(spark, sf):
     return product.uncategorised(products(spark, sf))
@@ -577,6 +590,15 @@ def last_30_days(spark, sf):
     return dashboards.last_days(purchases(spark, sf), "date").select("id", "price", "status")
 
 
+@query
+def purchases_export(spark, sf):
+    """The purchases of the last 30 days as CSV, read back."""
+    path = new_dir(spark, "export")
+    recent = last_30_days(spark, sf)
+    save_csv(recent, path)
+    return read_csv(spark, path, recent.schema)
+
+
 @query
 def traffic_conversion(spark, sf):
     return dashboards.product_traffic(event_products(spark, sf))
@@ -622,12 +644,19 @@ def write_reports(spark, sf, extra_files: bool = False) -> str:
     )
     lines = body.unionByName(heads)
     if extra_files:
-        bad = each_file.select(F.concat(F.lit("bad-"), "file").alias("file"), F.lit(0).cast("long").alias("row_index"),
-                               F.lit("no header, here").alias("line"))
-        lines = lines.unionByName(bad)
+        def more(kind: str, line: str) -> DataFrame:
+            return each_file.select(F.concat(F.lit(kind), "file").alias("file"), F.lit(0).cast("long").alias("row_index"),
+                                    F.lit(line).alias("line"))
+
+        lines = lines.unionByName(more("bad-", "no header, here")).unionByName(more("binary-", "PK\x03\x04\0\0, not text"))
+        lines = lines.unionByName(more("torn-", "this is no archive").orderBy("file").limit(1))
     folder = new_dir(spark, "reports")
     ordered = lines.repartition("file").sortWithinPartitions("file", "row_index")
     ordered.select("file", "line").write.partitionBy("file").text(folder)
+    for torn in files_matching(spark, f"{folder}/file=torn-*/part-*"):
+        # Named like an archive, so that reading it fails.
+        path = spark._jvm.org.apache.hadoop.fs.Path(torn)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).rename(path, path.suffix(".gz"))
     return folder
 
 
@@ -691,6 +720,42 @@ def load_report(spark, sf):
     return loaded.select("row_hash", "date_key", "receipt_number", "txn_type", F.round("sales_amount", 2).alias("sales_amount"))
 
 
+@query
+def cleaned_sink(spark, sf):
+    """Kept lines written as a CSV folder and read back."""
+    path = new_dir(spark, "cleaned")
+    lines = clean.clean_reports(spark, write_reports(spark, sf)).lines
+    chosen = lines.select(file_label().alias("file"), F.col("date").cast("date").alias("date"), "receipt", "item_code",
+                          "description", F.round("qty", 4).alias("qty"), F.round("sales", 4).alias("sales"), "row_hash")
+    save_csv(chosen, path)
+    return read_csv(spark, path, chosen.schema)
+
+
+@query
+def reject_sink(spark, sf):
+    """Rejected lines written beside the output and read back, as many as there are of each reason."""
+    rejects = clean.clean_reports(spark, write_reports(spark, sf)).rejects
+    path = save_rejects(rejects.withColumn("file", file_label()), f"{new_dir(spark, 'out')}/cleaned.csv")
+    back = read_csv(spark, path, rejects.schema)
+    return back.groupBy("file", "error_stage", "error_reason").agg(F.count(F.lit(1)).alias("count"))
+
+
+@query
+def catalog_files(spark, sf):
+    """A catalogue of two CSV files, read in their order and saved twice: without its last rows, then whole."""
+    folder, root = new_dir(spark, "catalogue"), new_dir(spark, "saved")
+    rows = materialise(catalogue(spark, sf), "catalogue-rows")
+    parts = rows.withColumn("part", F.when(F.col("position") <= rows.count() // 8, "1").otherwise("2"))
+    parts.repartition("part").sortWithinPartitions("part", "position").drop("position").write.options(
+        header="true", escape='"', ignoreLeadingWhiteSpace="false").partitionBy("part").csv(folder)
+    whole = read_catalogue(spark, folder)
+    save_catalogue(whole.where(F.col("position") < 100), root)
+    save_catalogue(whole, root)
+    backup = SnapshotTable(spark, root, CATALOGUE).read(1).select("position", F.lit(True).alias("in_backup"))
+    saved = load_saved_catalogue(spark, root).join(backup, "position", "left")
+    return saved.withColumn("in_backup", F.coalesce("in_backup", F.lit(False)))
+
+
 @query
 def run_history(spark, sf):
     """The audit rows of two loads of the same reports: the second adds nothing."""

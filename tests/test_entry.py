@@ -43,7 +43,8 @@ def db():
 
 
 #: They clean or load whole reports, which their own tests do too; ``python -m benchset.check`` compares them with SQL.
-WHOLE_LOADS = {"clean_report", "clean_rejects", "load_report", "run_history", "stream_ingest"}
+WHOLE_LOADS = {"clean_report", "clean_rejects", "load_report", "run_history", "stream_ingest",
+               "cleaned_sink", "reject_sink"}
 
 
 def core_queries():

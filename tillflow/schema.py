@@ -96,6 +96,17 @@ DIM_PRODUCT = T.StructType([
     T.StructField("last_seen_date", T.DateType()),
 ])
 
+#: What the catalogue of a version says about a product's code and name, found once.
+SETTLED = T.StructType([
+    T.StructField("version", T.StringType()),
+    T.StructField("run_id", T.StringType()),
+    T.StructField("item_code", T.StringType()),
+    T.StructField("name", T.StringType()),
+    T.StructField("category", T.StringType()),
+    T.StructField("tab", T.StringType()),
+    T.StructField("method", T.StringType()),
+])
+
 FACT_SALES = T.StructType([
     T.StructField("run_id", T.StringType()),
     T.StructField("date_key", T.DateType()),
