@@ -63,3 +63,10 @@ def test_expiry_dates_of_both_orders_are_found(spark):
     found = [(str(r.e) if r.e else None, r.b) for r in dates.split_expiry(rows, "t", "e", "b").collect()]
     assert found[:4] == [("2026-01-02", "a"), ("2026-03-15", "b"), ("2025-12-31", "c"), ("2027-02-03", "d")]
     assert [e for e, _ in found[4:]] == [None, None]
+
+
+def test_cells_of_a_lenient_line_lose_their_quotes_without_a_pattern(column):
+    lines = ['a,"b, c",""', '"x ""y""",",', '"', '"two\nlines",3', ',"', None]
+    assert column(reports.line_cells, lines) == [
+        ["a", "b, c", ""], ['x "y"', '"', ""], ['"'], ["two\nlines", "3"], ["", '"'], None]
+    assert "RLIKE" not in str(reports.line_cells(F.col("v"))).upper()
