@@ -120,3 +120,22 @@ def test_no_link_at_the_limit_is_lost(spark, monkeypatch, mean, shard_rows):
     found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got.collect()}
     assert close.sum() - len(rows) > 100
     assert found == {i: (int(close[i].sum()) - 1, root[i]) for i in range(len(rows))}
+
+
+def test_counts_of_the_sketch_stay_in_the_tasks(spark, monkeypatch):
+    """The driver gets one byte per cell, and the levels are those of all counts taken together."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows = [(" ".join(f"w{(n * k) % 97}" for k in range(40)),) for n in range(60)] + [("same five words in here",)] * 300
+    texts = spark.createDataFrame(rows, "text string").repartition(5)
+    hits = np.zeros(1 << jaccard_join.LEVEL_BITS, np.int64)
+    import pyarrow as pa
+
+    for _, _, shingles in jaccard_join.shingle_sets(pa.array([t for t, in rows]), 5):
+        np.add.at(hits, jaccard_join._cell(shingles), 1)
+    mean = hits.mean()
+    wanted = np.log2(1 + np.maximum(hits - mean, 0) / (1 + 2 * np.sqrt(mean))).astype(np.uint8)
+    sizes, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: [sizes.append(sum(len(v) for v in r if isinstance(v, bytes | bytearray))) or r for r in collect(self)])
+    assert (jaccard_join.levels(texts, 5) == wanted).all()
+    assert 0 < sum(sizes) <= 1 << jaccard_join.LEVEL_BITS

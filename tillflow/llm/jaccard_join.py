@@ -78,8 +78,11 @@ def _cell(shingles: np.ndarray) -> np.ndarray:
 
 
 def levels(texts: DataFrame, size: int) -> np.ndarray:
-    """For each sketch cell, how much more often than a usual one it was hit, as a power of two."""
-    blocks = "block int, counts binary"
+    """For each sketch cell, how much more often than a usual one it was hit, as a power of two.
+
+    Counts stay in the tasks: the driver gets their sum and one byte per cell.
+    """
+    blocks, summed = "block int, counts binary", "block int, counts binary, hits long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << LEVEL_BITS, np.uint8)
@@ -91,21 +94,31 @@ def levels(texts: DataFrame, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([block.tobytes()], pa.binary())],
                                              names=["block", "counts"])
 
-    def merge(kind_in: type, table: pa.Table) -> pa.Table:
+    def merge(kind_in: type, table: pa.Table, sums: bool) -> pa.Table:
         total = np.zeros(1 << BLOCK_BITS, np.int64)
         for counts in table["counts"].to_pylist():
             total += np.frombuffer(counts, kind_in)
-        return pa.table({"block": table["block"].slice(0, 1).combine_chunks(), "counts": pa.array([total.tobytes()])})
+        merged = {"block": table["block"].slice(0, 1).combine_chunks(), "counts": pa.array([total.tobytes()])}
+        return pa.table(merged | ({"hits": pa.array([int(total.sum())])} if sums else {}))
 
     parts = texts.select("text").mapInArrow(count, blocks) \
         .withColumn("part", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)))
-    merged = parts.groupBy("block", "part").applyInArrow(lambda t: merge(np.uint8, t), blocks) \
-        .groupBy("block").applyInArrow(lambda t: merge(np.int64, t), blocks)
-    hits = np.zeros((1 << LEVEL_BITS - BLOCK_BITS, 1 << BLOCK_BITS), np.int64)
-    for row in merged.collect():
-        hits[row["block"]] = np.frombuffer(row["counts"], np.int64)
-    mean = hits.mean()
-    return np.log2(1 + np.maximum(hits - mean, 0) / (1 + 2 * np.sqrt(mean))).astype(np.uint8).ravel()
+    merged = materialise(parts.groupBy("block", "part").applyInArrow(lambda t: merge(np.uint8, t, False), blocks)
+                         .groupBy("block").applyInArrow(lambda t: merge(np.int64, t, True), summed), "counts")
+    mean = (merged.agg(F.sum("hits")).first()[0] or 0) / (1 << LEVEL_BITS)
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                over = np.maximum(np.frombuffer(counts.as_buffer(), np.int64) - mean, 0)
+                level = np.log2(1 + over / (1 + 2 * np.sqrt(mean))).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())],
+                                                 names=["block", "level"])
+
+    out = np.zeros((1 << LEVEL_BITS - BLOCK_BITS, 1 << BLOCK_BITS), np.uint8)
+    for row in merged.select("block", "counts").mapInArrow(rate, "block int, level binary").collect():
+        out[row["block"]] = np.frombuffer(row["level"], np.uint8)
+    return out.ravel()
 
 
 def vector_counts(bounds: np.ndarray, shingles: np.ndarray) -> np.ndarray:
